@@ -143,9 +143,14 @@ def batch_target_size(batched: DataFrame, size: str, max_sample_size: int | None
 
 
 def with_target_size(batched: DataFrame, size: str, max_sample_size: int | None, pad_audio: bool) -> DataFrame:
-    """Rows with their batch's common length; a batch's rows are bounded by its capacity."""
-    targets = batch_target_size(batched, size, max_sample_size, pad_audio).drop("nsentences")
-    return batched.join(targets, "batch_id")
+    """Rows with their batch's common length.
+
+    A window per batch is safe: its rows are bounded by the batch's capacity.
+    """
+    extreme = (F.max(size) if pad_audio else F.min(size)).over(Window.partitionBy("batch_id"))
+    if max_sample_size is not None:
+        extreme = F.least(extreme, F.lit(max_sample_size))
+    return batched.withColumn("target_size", extreme)
 
 
 def pad_and_mask(df: DataFrame, source: str, target: str, start: Column, filler: Column, pad_audio: bool) -> DataFrame:
@@ -195,21 +200,17 @@ def align_frame_labels(
     pad is cut to the fewest labels any of its samples has left. A rate of -1
     marks sequence labels, which are only padded.
     """
+    in_batch = Window.partitionBy("batch_id")
     if label_rate < 0:
         cut = df.withColumn("label_start", F.lit(0)).withColumn("target", F.col(labels))
     else:
         ratio = label_rate / sample_rate
-        placed = df.withColumn("label_start", F.bround(F.col(start) * F.lit(ratio)).cast("int")).withColumn(
-            "_wanted", F.bround(F.col(audio_size) * F.lit(ratio)).cast("int")
-        )
+        placed = df.withColumn("label_start", F.bround(F.col(start) * F.lit(ratio)).cast("int"))
+        wanted = F.bround(F.col(audio_size) * F.lit(ratio)).cast("int")
         if not pad_audio:
-            left = placed.groupBy("batch_id").agg(
-                F.min(F.size(labels) - F.col("label_start")).alias("_left")
-            )
-            placed = placed.join(left, "batch_id").withColumn("_wanted", F.least("_wanted", "_left")).drop("_left")
-        taken = F.slice(labels, F.col("label_start") + 1, F.greatest(F.col("_wanted"), F.lit(0)))
-        cut = placed.withColumn("target", taken).drop("_wanted")
+            wanted = F.least(wanted, F.min(F.size(labels) - F.col("label_start")).over(in_batch))
+        cut = placed.withColumn("_wanted", F.greatest(wanted, F.lit(0)))
+        cut = cut.withColumn("target", F.slice(labels, F.col("label_start") + 1, F.col("_wanted"))).drop("_wanted")
     sized = cut.withColumn("target_length", F.size("target"))
-    longest = sized.groupBy("batch_id").agg(F.max("target_length").alias("_longest"))
-    padded = sized.join(longest, "batch_id")
+    padded = sized.withColumn("_longest", F.max("target_length").over(in_batch))
     return padded.withColumn("target", pad(F.col("target"), F.col("_longest"), F.lit(pad_id))).drop("_longest")

@@ -41,7 +41,7 @@ def cmvn_row(by_dim: DataFrame) -> DataFrame:
 
 
 def normalise(frames: DataFrame, stats: DataFrame, feat: str = "feat") -> DataFrame:
-    """Every frame against the one statistics row, which is broadcast."""
-    one = stats.select(F.col("mean").alias("_mean"), F.col("std").alias("_std")).limit(1)
-    joined = frames.join(F.broadcast(one))
-    return joined.withColumn(feat, apply_cmvn(F.col(feat), F.col("_mean"), F.col("_std"))).drop("_mean", "_std")
+    """Every frame against the one statistics row, read as a scalar."""
+    one = stats.select(F.struct("mean", "std")).limit(1).scalar()
+    placed = frames.withColumn("_stats", one)
+    return placed.withColumn(feat, apply_cmvn(F.col(feat), F.col("_stats.mean"), F.col("_stats.std"))).drop("_stats")

@@ -61,10 +61,9 @@ def multi_label(labels: DataFrame, key: str, label_set: str, value: str, label_s
 
 def label_count_check(manifest: DataFrame, labels: DataFrame, label_set: str = "label_set") -> DataFrame:
     """Per label set: its lines, the manifest's lines, and whether they agree."""
-    total = manifest.agg(F.count("*").alias("n_samples"))
+    total = manifest.agg(F.count("*")).scalar()
     lines = labels.groupBy(label_set).agg(F.count("*").alias("n_labels"))
-    # Both sides are aggregates: one row, and one row per label set.
-    return lines.join(F.broadcast(total)).withColumn("agrees", F.col("n_labels") == F.col("n_samples"))
+    return lines.withColumn("n_samples", total).withColumn("agrees", F.col("n_labels") == F.col("n_samples"))
 
 
 def verify_label_lengths(

@@ -1,0 +1,21 @@
+"""Joins against tables that are usually, but not provably, small."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def broadcast_if_small(table: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``table`` for broadcast if its counted rows and text bytes are within bounds.
+
+    A larger table comes back unmarked, and the join shuffles, with hot keys
+    split by the adaptive planner. Counting reads the table, so hand in a
+    written one.
+    """
+    text = F.concat_ws("", *[F.col(c).cast("string") for c in table.columns])
+    seen = table.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(F.octet_length(text)).alias("b")).first()
+    return F.broadcast(table) if seen["n"] <= rows and (seen["b"] or 0) <= size else table

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .joins import broadcast_if_small
 
 
 def ordered_scan(
@@ -43,7 +44,11 @@ def ordered_scan(
     )
     in_block = Window.partitionBy("_block", *group).orderBy("_row")
     up_to_here = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    scanned = ordered.withColumn("_at", (F.row_number().over(in_block) - 1).cast("bigint"))
+    if group or sums or previous:
+        at = (F.row_number().over(in_block) - 1).cast("bigint")
+    else:  # the row's own number in its block; no second shuffle
+        at = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    scanned = ordered.withColumn("_at", at)
     for new, source in sums.items():
         scanned = scanned.withColumn(f"_thru_{new}", F.sum(source).over(up_to_here))
     for new, source in previous.items():
@@ -100,14 +105,15 @@ def line_index(lines: DataFrame, index: str = "line_no") -> DataFrame:
 
     ``lines`` must carry ``file``, ``block`` and ``row`` from ``read_lines``.
     The scan numbers rows inside each file block; block counts, a table of one
-    row per block, are summed up and sent back to the rows.
+    row per block, are summed up, written, and sent back to the rows.
     """
     blocks = lines.groupBy("file", "block").agg(F.min("row").alias("first_row"), F.count("*").alias("n"))
     before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select(
         "file", "block", "first_row", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
     )
-    return lines.join(F.broadcast(starts), ["file", "block"]).select(
+    starts = broadcast_if_small(materialise(starts, "line-blocks"))
+    return lines.join(starts, ["file", "block"]).select(
         *[c for c in lines.columns if c not in ("block", "row")],
         (F.col("start") + F.col("row") - F.col("first_row")).cast("bigint").alias(index),
     )

@@ -56,6 +56,7 @@ def assemble_training_set(
     max_tokens: int,
     max_sentences: int,
     mask_prob: float,
+    width: int = 64,
     ratio: int = 2,
     seed: int = 0,
 ) -> DataFrame:
@@ -65,7 +66,7 @@ def assemble_training_set(
     """
     sized = samples.select(key, F.size(source).alias("n"))
     kept = filter_by_size(sized, "n", min_keep)
-    planned = batch_by_bucket(kept, key, "n", max_tokens, max_sentences).drop("bucket")
+    planned = batch_by_bucket(kept, key, "n", max_tokens, max_sentences, width).drop("bucket")
     targeted = with_target_size(planned, "n", max_sample_size, pad_audio=False)
     rows = samples.join(targeted.drop("n"), key)
     cropped = pad_and_mask(rows, source, "target_size", start, F.lit(0), pad_audio=False)

@@ -86,21 +86,21 @@ dict AS (
   UNION ALL SELECT * FROM (VALUES ('<s>', 0, 0), ('<pad>', 1, 0), ('</s>', 2, 0), ('<unk>', 3, 0)))"""
 
 
-# Needs ``pair(id, kind, a, b)``; gives ``dist(id, kind, err)`` by the textbook table, one row of it
-# per step. The minimum over the cells to the left is a running minimum of (cell - column).
+# Needs ``pair(id, kind, a, b)``; gives ``dist(id, kind, err)`` by the textbook table, one diagonal
+# (i + j = k) per step: ``p1`` is the last diagonal by i, ``p2`` the one before.
 EDIT = """dp AS (
-  SELECT id, kind, 0 AS i, range(0, len(b) + 1) AS d FROM pair
+  SELECT id, kind, 0 AS k, list_transform(range(0, len(a) + 1), lambda i: CASE WHEN i = 0 THEN 0 ELSE 1000000 END) AS p1,
+         list_transform(range(0, len(a) + 1), lambda i: 1000000) AS p2 FROM pair
   UNION ALL
-  SELECT id, kind, i + 1, list_transform(u, lambda x, k: (k - 1) + list_min(u[1:k])) FROM (
-    SELECT id, kind, i, list_transform(t, lambda x, k: x - (k - 1)) AS u FROM (
-      SELECT dp.id, dp.kind, dp.i,
-             list_transform(range(0, len(pair.b) + 1), lambda j: CASE WHEN j = 0 THEN dp.i + 1
-               ELSE least(dp.d[j + 1] + 1, dp.d[j] + CASE WHEN pair.a[dp.i + 1] = pair.b[j] THEN 0 ELSE 1 END)
-               END) AS t
-      FROM dp JOIN pair ON dp.id = pair.id AND dp.kind = pair.kind WHERE dp.i < len(pair.a)))),
+  SELECT dp.id, dp.kind, dp.k + 1, list_transform(range(0, len(pair.a) + 1), lambda i: CASE
+           WHEN i > dp.k + 1 OR dp.k + 1 - i > len(pair.b) THEN 1000000
+           WHEN i = 0 OR i = dp.k + 1 THEN dp.k + 1
+           ELSE least(dp.p1[i] + 1, dp.p1[i + 1] + 1,
+                      dp.p2[i] + CASE WHEN pair.a[i] = pair.b[dp.k + 1 - i] THEN 0 ELSE 1 END) END), dp.p1
+  FROM dp JOIN pair ON dp.id = pair.id AND dp.kind = pair.kind WHERE dp.k < len(pair.a) + len(pair.b)),
 dist AS (
-  SELECT dp.id, dp.kind, dp.d[len(pair.b) + 1]::BIGINT AS err
-  FROM dp JOIN pair ON dp.id = pair.id AND dp.kind = pair.kind WHERE dp.i = len(pair.a))"""
+  SELECT dp.id, dp.kind, dp.p1[len(pair.a) + 1]::BIGINT AS err
+  FROM dp JOIN pair ON dp.id = pair.id AND dp.kind = pair.kind WHERE dp.k = len(pair.a) + len(pair.b))"""
 
 
 def buckets(rows: str, key: str, size: str, max_tokens: int, max_sentences: int, width: int) -> str:

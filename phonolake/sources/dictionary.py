@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import broadcast_if_small
 from ..operators.ordering import ordered_scan
 from .lines import read_lines, write_lines
 
@@ -12,9 +13,6 @@ from .lines import read_lines, write_lines
 BOS, PAD, EOS, UNK = 0, 1, 2, 3
 SPECIALS = ("<s>", "<pad>", "</s>", "<unk>")
 
-# A dictionary of up to this many symbols is sent to every task; a larger one is joined by shuffle.
-BROADCAST_SYMBOLS = 500_000
-
 
 def _specials(spark: SparkSession) -> DataFrame:
     rows = spark.range(len(SPECIALS)).select(F.col("id").cast("int").alias("id"))
@@ -53,12 +51,6 @@ def write_dictionary(dictionary: DataFrame, path: str) -> None:
     write_lines(lines, "line", [F.col("id").asc()], path)
 
 
-def _joinable(dictionary: DataFrame) -> DataFrame:
-    """Broadcast the dictionary if its counted size allows, else leave it to a shuffle join."""
-    small = dictionary.limit(BROADCAST_SYMBOLS + 1).count() <= BROADCAST_SYMBOLS
-    return F.broadcast(dictionary) if small else dictionary
-
-
 def _regrouped(df: DataFrame, key: str, out: str) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("pos", "found")))
     return df.groupBy(key).agg(F.transform(ordered, lambda p: p["found"]).alias(out))
@@ -67,7 +59,7 @@ def _regrouped(df: DataFrame, key: str, out: str) -> DataFrame:
 def _looked_up(df: DataFrame, key: str, values: str, dictionary: DataFrame, on: str) -> DataFrame:
     """Look every array element up; an empty array keeps one row with a NULL element."""
     spread = df.select(key, F.posexplode_outer(values).alias("pos", on))
-    return spread.join(_joinable(dictionary), on, "left")
+    return spread.join(broadcast_if_small(dictionary), on, "left")
 
 
 def encode_tokens(df: DataFrame, key: str, tokens: str, dictionary: DataFrame, out: str = "ids") -> DataFrame:
@@ -103,7 +95,7 @@ def check_vocabulary(
         ).alias("s"),
     )
     spread = both.select(key, "s.side", F.posexplode_outer("s.tokens").alias("pos", "symbol"))
-    known = _joinable(vocabulary.select("symbol", F.lit(True).alias("known")))
+    known = broadcast_if_small(vocabulary.select("symbol", F.lit(True).alias("known")))
     looked = spread.join(known, "symbol", "left")
     is_hyp, is_ref = F.col("side") == "hyp", F.col("side") == "ref"
     missing = F.col("known").isNull() & F.col("pos").isNotNull()
