@@ -68,10 +68,14 @@ def scan_manifest(
     lines = read_lines(spark, path).where(F.col("line_no") > 0)
     stripped = F.regexp_replace("value", f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
     fields = lines.select("line_no", F.split(stripped, "\t").alias("fields"))
+    # Tied to ``line_no``, so that the root line is never read as a sample.
+    size = F.when(F.size("fields") < 3, F.raise_error(F.lit("a manifest line has fewer than 3 fields"))).otherwise(
+        F.get("fields", F.lit(2)).cast("bigint")
+    )
     samples = fields.select(
         (F.col("line_no") - 1).alias("ind"),
-        F.col("fields")[1].alias("path"),
-        F.col("fields")[2].cast("bigint").alias("n_frames"),
+        F.get("fields", F.lit(1)).alias("path"),
+        F.when(F.col("line_no") > 0, size).alias("n_frames"),
     )
     return filter_by_size(samples, "n_frames", min_keep, max_keep)
 

@@ -62,5 +62,5 @@ def parse_reports(reports: DataFrame, text: str = "value") -> DataFrame:
 
 def scan_reports(spark: SparkSession, path: str) -> DataFrame:
     """Read report files whole, one row each."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return parse_reports(files.select("value", F.col("_metadata.file_path").alias("file")))
