@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters a plain whitespace split breaks at.
-SPACE_CLASS = r"[\t\n\x0B\f\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+# The characters a plain whitespace split breaks at, besides the blank.
+SPACES = (
+    "\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Sub-word clean-up drops the blank before these piece starts.
 CLEANUP_PUNCTUATION = r" ([.?!,])"
@@ -16,8 +20,12 @@ LABEL_KINDS = ("wp", "ltr", "phn")
 
 
 def tokens(text: Column) -> Column:
-    """Tokens between runs of whitespace; empty text has none."""
-    return F.filter(F.split(text, SPACE_CLASS + "+"), lambda t: t != "")
+    """Tokens between runs of whitespace; empty text has none.
+
+    Every space becomes a blank first, as splitting at one character needs no
+    regular expression; runs leave empty tokens, which are removed.
+    """
+    return F.array_remove(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), "")
 
 
 def tokens_strict(text: Column) -> Column:
@@ -25,6 +33,11 @@ def tokens_strict(text: Column) -> Column:
     return F.split(text, " ", -1)
 
 
+def strip(text: Column) -> Column:
+    """Text without whitespace at either end."""
+    return F.regexp_replace(text, f"^[{SPACES} ]+|[{SPACES} ]+$", "")
+
+
 def squeeze(text: Column) -> Column:
     """Tokens joined again by single blanks."""
     return F.array_join(tokens(text), " ")

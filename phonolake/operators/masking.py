@@ -32,8 +32,12 @@ def span_mask(
     # Starts come from the positions where a span fits, or from just enough positions.
     room = F.when(n - span <= spans, spans + 1).otherwise(n - span)
     staged = df.withColumn("_spans", spans).withColumn("_room", room.cast("int"))
-    drawn = F.transform(upto(F.col("_room")), lambda p: F.struct(draw32("start", *base, p).alias("d"), p.alias("p")))
-    starts = F.transform(F.slice(F.array_sort(drawn), F.lit(1), F.col("_spans")), lambda s: s["p"])
+    # Draw and position in one number: the draw above, the position in the low 31 bits.
+    drawn = F.transform(
+        upto(F.col("_room")), lambda p: F.shiftleft(draw32("start", *base, p), 31).bitwiseOR(p.cast("bigint"))
+    )
+    smallest = F.slice(F.array_sort(drawn), F.lit(1), F.col("_spans"))
+    starts = F.transform(smallest, lambda d: d.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
     covered = F.flatten(F.transform(starts, lambda s: F.sequence(s, s + (span - 1))))
     inside = F.filter(F.array_sort(F.array_distinct(covered)), lambda p: p < n)
     return staged.withColumn("masked", inside).drop("_spans", "_room")

@@ -62,9 +62,10 @@ def assemble_training_set(
 ) -> DataFrame:
     """Filter, batch, crop to the batch's size, align and stride labels, draw the span mask.
 
-    Batches are planned on keys and sizes alone; arrays join them afterwards.
+    Batches are planned on keys and sizes alone, written once as planning reads
+    them more than once; arrays join the plan afterwards.
     """
-    sized = samples.select(key, F.size(source).alias("n"))
+    sized = materialise(samples.select(key, F.size(source).alias("n")), "sizes")
     kept = filter_by_size(sized, "n", min_keep)
     planned = batch_by_bucket(kept, key, "n", max_tokens, max_sentences, width).drop("bucket")
     targeted = with_target_size(planned, "n", max_sample_size, pad_audio=False)

@@ -66,21 +66,20 @@ def _manifest_rows(spark, folder):
 @query
 def scan_manifest(spark, folder):
     path = scratch_path(spark, "manifest")
-    rows = _manifest_rows(spark, folder).withColumn("tgt_text", txt.squeeze(F.col("tgt_text")))
-    corpus.write_manifest(rows, "ind", path)
+    corpus.write_manifest(_manifest_rows(spark, folder), "ind", path, text=txt.squeeze(F.col("tgt_text")))
     return corpus.scan_manifest(spark, path)
 
 
 @query
 def manifest_lines(spark, folder):
-    return corpus.with_header(corpus.manifest_lines(_manifest_rows(spark, folder)), "ind")
+    return corpus.manifest_lines(_manifest_rows(spark, folder), "ind")
 
 
 @query
 def scan_labels(spark, folder):
     path = scratch_path(spark, "labels")
-    rows = standins.manifest(spark, folder).select("ind", txt.squeeze(F.col("tgt_text")).alias("line"))
-    corpus.write_lines(rows, "line", [F.col("ind").asc()], path)
+    rows = standins.manifest(spark, folder).select("ind", "tgt_text")
+    corpus.write_lines(rows, txt.squeeze(F.col("tgt_text")), [F.col("ind").asc()], path)
     labels = corpus.scan_labels(spark, path, "words", -1.0)
     return labels.select("label_set", "ind", F.size("tokens").alias("n_tokens"), joined("tokens").alias("tokens"))
 
@@ -345,7 +344,7 @@ def batch_target_size(spark, folder):
 
 def _word_batches(spark, folder):
     """Documents batched by their word count, 64-word buckets."""
-    sizes = standins.document_words(spark, folder).select("doc_id", "n_words")
+    sizes = materialise(standins.document_words(spark, folder).select("doc_id", "n_words"), "sizes")
     return batching.batch_by_bucket(sizes, "doc_id", "n_words", 8000, 32, width=64).drop("bucket")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import spread
 
 LABEL_SETS = ["quality", "toxic"]
 
@@ -31,7 +32,8 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_words(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as token sequences: words are frames."""
-    words = table(spark, folder, "documents").select("doc_id", tokens(F.col("text")).alias("words"))
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    words = docs.select("doc_id", tokens(F.col("text")).alias("words"))
     return words.withColumn("n_words", F.size("words"))
 
 
@@ -83,7 +85,8 @@ def as_hyp_ref(conversations: DataFrame) -> DataFrame:
 
 
 def hyp_ref(spark: SparkSession, folder: str) -> DataFrame:
-    return as_hyp_ref(table(spark, folder, "conversations"))
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return as_hyp_ref(spread(turns, "conv_id", "turn"))
 
 
 def to_pieces(words: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE_CLASS, path_stem, tokens
+from ..functions.text import path_stem, strip, tokens
 from ..operators.filters import filter_by_size
 from ..operators.ordering import ordered_scan
 from .lines import read_lines, write_lines
@@ -35,26 +35,34 @@ def escape_field(field: Column) -> Column:
     return F.regexp_replace(field, r"([\\\t\n\r])", r"\\$1")
 
 
-def manifest_lines(manifest: DataFrame) -> DataFrame:
-    """Add ``line``: the four manifest fields, escaped and tab-joined."""
-    fields = [escape_field(F.col(c).cast("string")) for c in MANIFEST_COLUMNS]
-    fields = [F.coalesce(f, F.lit("")) for f in fields]
-    return manifest.withColumn("line", F.concat_ws("\t", *fields))
+def manifest_line(text: Column | None = None) -> Column:
+    """The four manifest fields, escaped and tab-joined; ``text`` replaces ``tgt_text``."""
+    values = {c: F.col(c).cast("string") for c in MANIFEST_COLUMNS}
+    if text is not None:
+        values["tgt_text"] = text
+    return F.concat_ws("\t", *[F.coalesce(escape_field(v), F.lit("")) for v in values.values()])
 
 
-def with_header(lines: DataFrame, order: str) -> DataFrame:
-    """Put the header line first: its ``order`` value is NULL, which sorts lowest."""
-    header = lines.sparkSession.range(1).select(
-        F.lit(None).cast(lines.schema[order].dataType).alias(order),
-        F.lit("\t".join(MANIFEST_COLUMNS)).alias("line"),
+def manifest_lines(manifest: DataFrame, order: str) -> DataFrame:
+    """``(order, line)`` of a manifest; the header's ``order`` value is NULL, which sorts lowest."""
+    return _with_header(manifest, order).select(order, _line_or_header(order, None).alias("line"))
+
+
+def _with_header(manifest: DataFrame, order: str) -> DataFrame:
+    header = manifest.sparkSession.range(1).select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in manifest.schema.fields]
     )
-    return header.unionByName(lines.select(order, "line"))
+    return header.unionByName(manifest)
+
+
+def _line_or_header(order: str, text: Column | None) -> Column:
+    return F.when(F.col(order).isNull(), F.lit("\t".join(MANIFEST_COLUMNS))).otherwise(manifest_line(text))
 
 
-def write_manifest(manifest: DataFrame, order: str, path: str) -> None:
+def write_manifest(manifest: DataFrame, order: str, path: str, text: Column | None = None) -> None:
     """Write a TSV manifest in ``order``, header first."""
-    lines = with_header(manifest_lines(manifest), order)
-    write_lines(lines, "line", [F.col(order).asc_nulls_first()], path)
+    rows = _with_header(manifest, order)
+    write_lines(rows, _line_or_header(order, text), [F.col(order).asc_nulls_first()], path)
 
 
 def scan_manifest(
@@ -66,8 +74,7 @@ def scan_manifest(
     after it *before* the size filter, because label files align with those.
     """
     lines = read_lines(spark, path).where(F.col("line_no") > 0)
-    stripped = F.regexp_replace("value", f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
-    fields = lines.select("line_no", F.split(stripped, "\t").alias("fields"))
+    fields = lines.select("line_no", F.split(strip(F.col("value")), "\t").alias("fields"))
     # Tied to ``line_no``, so that the root line is never read as a sample.
     size = F.when(F.size("fields") < 3, F.raise_error(F.lit("a manifest line has fewer than 3 fields"))).otherwise(
         F.get("fields", F.lit(2)).cast("bigint")

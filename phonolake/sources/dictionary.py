@@ -47,8 +47,8 @@ def scan_dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 def write_dictionary(dictionary: DataFrame, path: str) -> None:
     """Write the symbols after the specials as ``symbol count`` lines."""
-    lines = dictionary.where(F.col("id") >= len(SPECIALS)).withColumn("line", F.concat_ws(" ", "symbol", "n"))
-    write_lines(lines, "line", [F.col("id").asc()], path)
+    listed = dictionary.where(F.col("id") >= len(SPECIALS))
+    write_lines(listed, F.concat_ws(" ", "symbol", "n"), [F.col("id").asc()], path)
 
 
 def _regrouped(df: DataFrame, key: str, out: str) -> DataFrame:

@@ -22,12 +22,13 @@ def read_lines(spark: SparkSession, path: str, index: str = "line_no") -> DataFr
 
 
 def write_lines(
-    df: DataFrame, line: str, order: Sequence[Column], path: str, folders: Sequence[str] = ()
+    df: DataFrame, line: Column, order: Sequence[Column], path: str, folders: Sequence[str] = ()
 ) -> None:
     """Write ``line`` as text; file names follow ``order``, so a later scan sees it again.
 
     ``folders`` are columns that split the output into ``column=value`` folders.
+    The line is put together after the sort, which reads its input twice.
     """
     keys = [F.col(c).asc() for c in folders] + list(order)
     rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    rows.select(*folders, F.col(line).alias("value")).write.partitionBy(*folders).text(path)
+    rows.select(*folders, line.alias("value")).write.partitionBy(*folders).text(path)

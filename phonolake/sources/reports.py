@@ -23,7 +23,7 @@ def hyp_ref_lines(df: DataFrame, key: str, kinds: dict[str, str]) -> DataFrame:
 def write_shards(lines: DataFrame, order: str, path: str, shard: str = "shard") -> None:
     """Each data-parallel shard's lines in a folder of its own."""
     named = lines.withColumn(shard, F.lpad(F.col(shard).cast("string"), 6, "0"))
-    write_lines(named, "line", [F.col(order).asc()], path, folders=[shard])
+    write_lines(named, F.col("line"), [F.col(order).asc()], path, folders=[shard])
 
 
 def merge_shards(spark: SparkSession, path: str, shard: str = "shard") -> DataFrame:
