@@ -47,7 +47,7 @@ def main() -> None:
     cores = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
     spark = local_session(cores, "bench")
-    # Warm the JVM and the Python workers on the first query, outside the clock.
+    # The first query of a JVM pays for its start; leave that off the clock.
     CATALOGUE["cmvn_stats"](spark, folder).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in names:

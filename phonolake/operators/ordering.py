@@ -61,7 +61,9 @@ def ordered_scan(
         *[F.col(f"_thru_{new}").alias(f"sum_{new}") for new in sums],
         *[F.col(source).alias(f"last_{new}") for new, source in previous.items()],
     )
-    edges = scanned.groupBy("_block").agg(
+    bounds = scanned.groupBy("_block").agg(F.min("_row").alias("_first"), F.max("_row").alias("_last"))
+    corners = scanned.join(F.broadcast(bounds), "_block").where(F.col("_row").isin(F.col("_first"), F.col("_last")))
+    edges = corners.groupBy("_block").agg(
         F.min_by(member, "_row").alias("head"),
         F.max_by(member, "_row").alias("end"),
         F.max_by(tail, "_row").alias("tail"),

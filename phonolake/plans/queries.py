@@ -286,7 +286,7 @@ def apply_cmvn(spark, folder):
     frames = standins.frames(spark, folder)
     stored.write_stats(features.cmvn_row(features.cmvn_by_dim(frames)), path)
     normal = features.normalise(frames, stored.read_stats(spark, path))
-    cells = normal.select("utt_id", "frame_idx", F.posexplode("feat").alias("dim", "x"))
+    cells = normal.select("utt_id", "frame_idx", F.posexplode_outer("feat").alias("dim", "x"))
     return cells.withColumn("x", rounded("x", 4))
 
 
@@ -680,7 +680,7 @@ def span_mask(spark, folder):
 def spec_augment(spark, folder):
     rows = standins.frames(spark, folder).select("utt_id", "frame_idx", "feat")
     masked = masking.spec_augment(rows, "utt_id", "frame_idx", "feat", n_dims=64, seed=1337)
-    cells = masked.select("utt_id", "frame_idx", F.posexplode("feat").alias("dim", "x"))
+    cells = masked.select("utt_id", "frame_idx", F.posexplode_outer("feat").alias("dim", "x"))
     return cells.withColumn("x", rounded("x"))
 
 
@@ -690,7 +690,7 @@ def to_mono(spark, folder):
     right = F.slice("embedding", 33, 32)
     rows = table(spark, folder, "embeddings").select("vec_id", F.array(left, right).alias("channels"))
     mono = rows.withColumn("samples", seq.to_16_bit(seq.to_mono(F.col("channels"))))
-    return mono.select("vec_id", F.posexplode("samples").alias("sample_idx", "sample")).withColumn("sample", rounded("sample"))
+    return mono.select("vec_id", F.posexplode_outer("samples").alias("sample_idx", "sample")).withColumn("sample", rounded("sample"))
 
 
 @query
@@ -713,7 +713,7 @@ def _log_mel(spark, folder):
 
 @query
 def log_mel(spark, folder):
-    cells = _log_mel(spark, folder).select("user_id", "frame_idx", F.posexplode("feat").alias("mel", "x"))
+    cells = _log_mel(spark, folder).select("user_id", "frame_idx", F.posexplode_outer("feat").alias("mel", "x"))
     return cells.withColumn("x", rounded("x"))
 
 
