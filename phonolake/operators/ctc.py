@@ -29,7 +29,7 @@ def forward_score(log_probs: np.ndarray, target: np.ndarray, blank: int) -> floa
 def ctc_score(
     utterances: DataFrame, key: str, log_probs: str, target: str, blank: int = 0, zero_infinity: bool = False
 ) -> DataFrame:
-    """``(key, nll)`` for rows with the frames' log-probabilities and the target ids.
+    """``(key, n_tokens, nll)`` for rows with the frames' log-probabilities and the target ids.
 
     Works in log space, so long inputs neither underflow nor need rescaling.
     """
@@ -43,7 +43,7 @@ def ctc_score(
             values = np.array(scores, dtype="float64")
             if zero_infinity:
                 values = np.where(np.isinf(values), 0.0, values)
-            yield pd.DataFrame({key: batch[key], "nll": values})
+            yield pd.DataFrame({key: batch[key], "n_tokens": batch[target].map(len), "nll": values})
 
-    schema = f"{key} {utterances.schema[key].dataType.simpleString()}, nll double"
+    schema = f"{key} {utterances.schema[key].dataType.simpleString()}, n_tokens bigint, nll double"
     return utterances.select(key, log_probs, target).mapInPandas(score, schema)

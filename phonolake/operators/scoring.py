@@ -186,6 +186,18 @@ def throughput(df: DataFrame, tokens: str, seconds: str, by: Sequence[str] = ())
     )
 
 
+def sequence_loss_report(
+    df: DataFrame, nll: str, n_tokens: str, sentence_avg: bool, by: Sequence[str] = ()
+) -> DataFrame:
+    """Summed sequence losses; ``sample_size`` counts sentences if they are averaged, else target tokens."""
+    sums = df.groupBy(*by).agg(
+        F.coalesce(F.sum(nll), F.lit(0.0)).alias("loss"),
+        F.coalesce(F.sum(n_tokens), F.lit(0)).cast("bigint").alias("ntokens"),
+        F.count("*").alias("nsentences"),
+    )
+    return sums.withColumn("sample_size", F.col("nsentences" if sentence_avg else "ntokens"))
+
+
 def with_rates(sums: DataFrame) -> DataFrame:
     """Rates from the sums. With no token at all the mean time per token is the whole time."""
     seconds = F.col("seconds")

@@ -559,9 +559,7 @@ SELECT doc_id, t::INT AS n_frames, coalesce(array_to_string(list_transform(range
 FROM s""",
 )
 oracle("cross_entropy", f"WITH {LOGITS} SELECT vec_id, round({nll('0.1::DOUBLE')}, 6) AS nll FROM logits")
-oracle(
-    "ctc_score",
-    f"""WITH RECURSIVE {FRAMES}, probs AS (
+CTC = f"""WITH RECURSIVE {FRAMES}, probs AS (
   SELECT utt_id, frame_idx, list_transform(e, lambda x: x / list_sum(e)) AS p FROM (
     SELECT utt_id, frame_idx, list_transform(feat, lambda x: exp(x::DOUBLE)) AS e FROM frames)),
 goal AS (SELECT utt_id, {collapsed('u')} AS target, n FROM (
@@ -574,9 +572,15 @@ walk AS (
   SELECT w.utt_id, w.t + 1, list_transform(s, lambda x, i: (a[i] + CASE WHEN i > 1 THEN a[i - 1] ELSE 0 END
            + CASE WHEN i > 2 AND x <> 0 AND x <> s[i - 2] THEN a[i - 2] ELSE 0 END) * p[x + 1])
   FROM walk w JOIN states ON states.utt_id = w.utt_id
-  JOIN probs ON probs.utt_id = w.utt_id AND probs.frame_idx = w.t + 1)
-SELECT utt_id, round(-ln(a[-1] + CASE WHEN len(a) > 1 THEN a[-2] ELSE 0 END), 6) AS nll
-FROM walk JOIN states USING (utt_id) WHERE t = n - 1""",
+  JOIN probs ON probs.utt_id = w.utt_id AND probs.frame_idx = w.t + 1),
+scores AS (
+  SELECT utt_id, n, len(s) // 2 AS n_tokens, -ln(a[-1] + CASE WHEN len(a) > 1 THEN a[-2] ELSE 0 END) AS nll
+  FROM walk JOIN states USING (utt_id) WHERE t = n - 1)"""
+oracle("ctc_score", f"{CTC} SELECT utt_id, round(nll, 6) AS nll FROM scores")
+oracle(
+    "ctc_loss_report",
+    f"""{CTC} SELECT round(sum(nll), 5) AS loss, sum(n_tokens)::BIGINT AS ntokens, count(*) AS nsentences,
+       sum(n_tokens)::BIGINT AS sample_size FROM scores""",
 )
 LENGTHS = f"""{DOC_WORDS}, gaps AS (
   SELECT doc_id AS ind, 'phn' AS label_set, abs(n_chars / 100::DOUBLE - n / 20::DOUBLE) AS gap

@@ -629,10 +629,20 @@ def _gathered_log_probs(spark, folder):
     return arrays.select("utt_id", "log_probs", seq.best_path(F.col("units")).alias("target"))
 
 
+def _ctc_scored(spark, folder):
+    arrays = _gathered_log_probs(spark, folder)
+    return ctc.ctc_score(arrays, "utt_id", "log_probs", "target", zero_infinity=True)
+
+
 @query
 def ctc_score(spark, folder):
-    scored = ctc.ctc_score(_gathered_log_probs(spark, folder), "utt_id", "log_probs", "target", zero_infinity=True)
-    return scored.withColumn("nll", rounded("nll"))
+    return _ctc_scored(spark, folder).select("utt_id", rounded("nll"))
+
+
+@query
+def ctc_loss_report(spark, folder):
+    report = scoring.sequence_loss_report(_ctc_scored(spark, folder), "nll", "n_tokens", sentence_avg=False)
+    return report.withColumn("loss", rounded("loss", 5))
 
 
 def _label_rows(spark, folder):

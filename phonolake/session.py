@@ -44,8 +44,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, in the application's own part of it.
+
+    Results read these tables lazily, so they stay until the application's folder is removed.
+    """
+    return f"{shared_folder(spark)}/phonolake-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,14 +89,23 @@ def scan_manifest(
     return filter_by_size(samples, "n_frames", min_keep, max_keep)
 
 
-def scan_labels(spark: SparkSession, path: str, label_set: str, label_rate: float) -> DataFrame:
-    """``(label_set, label_rate, ind, tokens)``: line i belongs to manifest sample i."""
+def scan_labels(
+    spark: SparkSession,
+    path: str,
+    label_set: str,
+    label_rate: float,
+    process: Callable[[Column], Column] = tokens,
+) -> DataFrame:
+    """``(label_set, label_rate, ind, tokens)``: line i belongs to manifest sample i.
+
+    ``process`` turns a line into its labels: any column function, a pandas UDF included.
+    """
     lines = read_lines(spark, path, "ind")
     return lines.select(
         F.lit(label_set).alias("label_set"),
         F.lit(float(label_rate)).alias("label_rate"),
         "ind",
-        tokens(F.col("value")).alias("tokens"),
+        process(F.col("value")).alias("tokens"),
     )
 
 

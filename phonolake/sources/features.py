@@ -38,6 +38,12 @@ def write_frames(frames: DataFrame, path: str, partition_by: Sequence[str] = ())
     ).parquet(path)
 
 
+def save_frames_table(frames: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
+    """Frames as a catalogue table bucketed by utterance: joins and groups on it need no shuffle."""
+    writer = frames.repartition(buckets, "utt_id").write.bucketBy(buckets, "utt_id").sortBy("utt_id", "frame_idx")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
 def read_frames(spark: SparkSession, path: str, schema: T.StructType = FRAMES_SCHEMA) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 

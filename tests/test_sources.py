@@ -108,6 +108,25 @@ def test_frames_by_partition(spark, tmp_path):
     assert features.read_frames(spark, str(tmp_path / "f")).count() == 60
 
 
+def test_bucketed_frames_join_without_shuffle(spark, tmp_path):
+    frames = spark.range(400).selectExpr(
+        "id div 20 as utt_id", "cast(id % 20 as int) as frame_idx", "array(cast(id as float)) as feat", "cast(id as int) as unit"
+    )
+    features.save_frames_table(frames, "bucketed_frames", 4, str(tmp_path / "b"))
+    try:
+        grouped = spark.table("bucketed_frames").groupBy("utt_id").count()
+        assert grouped.count() == 20
+        assert "Exchange" not in grouped._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.sql("DROP TABLE bucketed_frames")
+
+
+def test_label_processor(spark, tmp_path):
+    (tmp_path / "l.ltr").write_text("A B |\n")
+    rows = corpus.scan_labels(spark, str(tmp_path), "ltr", -1.0, process=lambda line: F.split(F.lower(line), " "))
+    assert rows.first()["tokens"] == ["a", "b", "|"]
+
+
 def test_report_texts(spark, tmp_path):
     text = "WER: 4.924541828275215\nerr / num_ref_words = 2679 / 54401\n\n_name: null\nbeam: 50\n"
     (tmp_path / "wer.1").write_text(text)
