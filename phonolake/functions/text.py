@@ -16,8 +16,6 @@ SPACES = (
 CLEANUP_PUNCTUATION = r" ([.?!,])"
 CLEANUP_CONTRACTION = r" (n't|'m|'s|'ve|'re)"
 
-LABEL_KINDS = ("wp", "ltr", "phn")
-
 
 def tokens(text: Column) -> Column:
     """Tokens between runs of whitespace; empty text has none.
@@ -35,7 +33,7 @@ def tokens_strict(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Text without whitespace at either end."""
-    return F.regexp_replace(text, f"^[{SPACES} ]+|[{SPACES} ]+$", "")
+    return F.btrim(text, F.lit(SPACES + " "))
 
 
 def squeeze(text: Column) -> Column:

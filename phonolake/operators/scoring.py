@@ -9,17 +9,24 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import argmax, cross_entropy
 
-# Code points from here up to the last one stand for the distinct tokens of one pair.
-FIRST_CODE_POINT = 0x10000
-DISTINCT_LIMIT = 0x110000 - FIRST_CODE_POINT
+# Distinct tokens of a pair are numbered from 1 and stand as code points: as they are below the
+# surrogates, and from U+10000 on beyond them (so no byte-order mark can arise).
+LOW_CODE_POINTS = 0xD800
+CODE_POINT_JUMP = 0x10000 - LOW_CODE_POINTS
+DISTINCT_LIMIT = 0x110000 - CODE_POINT_JUMP - 1
+
+
+def code_point(number: Column) -> Column:
+    """The code point that stands for the ``number``-th distinct token."""
+    return F.when(number < LOW_CODE_POINTS, number).otherwise(number + CODE_POINT_JUMP)
 
 
 def with_edit_distance(df: DataFrame, pairs: Mapping[str, tuple[str, str]]) -> DataFrame:
     """Add unit-cost edit distances; ``pairs`` maps a new column to two token-array columns.
 
     Each distinct token of a pair becomes one code point, and the built-in
-    ``levenshtein`` compares the two strings. The tokens' code points are set
-    out in a map column of their own step, so each is looked up, not rebuilt.
+    ``levenshtein`` compares the two strings. The distinct tokens are a column
+    of their own step, so both sides look up the same one.
     """
     columns = df.columns
     for new, (left, right) in pairs.items():
@@ -30,11 +37,9 @@ def with_edit_distance(df: DataFrame, pairs: Mapping[str, tuple[str, str]]) -> D
         df = df.withColumn("_seen", checked)
 
         def spelled(side: str) -> Column:
-            code = F.transform(
-                F.col(side),
-                lambda t: F.lpad(F.hex(F.array_position("_seen", t) + (FIRST_CODE_POINT - 1)), 8, "0"),
-            )
-            return F.decode(F.unhex(F.array_join(code, "")), "UTF-32")
+            numbers = F.transform(side, lambda t: F.array_position("_seen", t))
+            digits = F.transform(numbers, lambda n: F.lpad(F.hex(code_point(n)), 8, "0"))
+            return F.decode(F.unhex(F.array_join(digits, "")), "UTF-32")
 
         columns = [*columns, new]
         df = df.withColumn(new, F.levenshtein(spelled(left), spelled(right)).cast("bigint")).select(*columns)

@@ -57,6 +57,35 @@ def test_edit_distance_of_long_text_with_many_symbols(spark):
     assert scoring.with_edit_distance(df, {"d": ("a", "b")}).first()["d"] == 1
 
 
+def test_code_points_are_distinct_valid_and_ordered(spark):
+    edges = [1, 0xD7FF, 0xD800, scoring.DISTINCT_LIMIT]
+    df = spark.createDataFrame([(n,) for n in edges], "n bigint")
+    assert [r[0] for r in df.select(scoring.code_point(F.col("n"))).collect()] == [1, 0xD7FF, 0x10000, 0x10FFFF]
+
+
+def test_edit_distance_beyond_the_low_code_points(spark):
+    words = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(56_000)), lambda i: F.concat(F.lit("t"), i)).alias("all"))
+    # Only a few tokens are compared, but their numbers lie on both sides of the gap.
+    pair = words.select(
+        F.slice("all", 55_290, 20).alias("b"), F.concat(F.slice("all", 55_290, 9), F.slice("all", 55_300, 10)).alias("a"), "all"
+    )
+    far = pair.select("a", "b", F.transform("a", lambda t: F.array_position("all", t)).alias("n"), "all")
+    spelled = far.select(
+        *[
+            F.decode(
+                F.unhex(
+                    F.array_join(
+                        F.transform(c, lambda t: F.lpad(F.hex(scoring.code_point(F.array_position("all", t))), 8, "0")), ""
+                    )
+                ),
+                "UTF-32",
+            ).alias(c)
+            for c in ("a", "b")
+        ]
+    ).select(F.levenshtein("a", "b"), F.length("a"), F.length("b"))
+    assert tuple(spelled.first()) == (1, 19, 20)
+
+
 def test_rates_sum_first(spark):
     df = spark.createDataFrame([(1, 10), (5, 5)], "err bigint, n_ref bigint")
     assert scoring.corpus_error_rate(df).first()["wer"] == 6 * 100 / 15
