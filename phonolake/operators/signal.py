@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequences import signal_frames
 from .ordering import ordered_scan
 
 # Constants of the standard speech filter bank.
@@ -55,6 +56,12 @@ def gather_frames(spread: DataFrame, key: str, value: str, width: int, out: str
     )
 
 
+def frame_waveforms(waveforms: DataFrame, key: str, samples: str, width: int, hop: int) -> DataFrame:
+    """Frames of signals that are whole arrays, one per row: ``(key, frame_idx, samples)``, no shuffle."""
+    frames = F.posexplode(signal_frames(F.col(samples), width, hop)).alias("frame_idx", samples)
+    return waveforms.select(key, frames).withColumn("frame_idx", F.col("frame_idx").cast("bigint"))
+
+
 def resample_series(
     samples: DataFrame, key: str, at: str, value: str, step: int
 ) -> DataFrame:

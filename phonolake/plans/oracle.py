@@ -400,7 +400,7 @@ oracle(
   SELECT utt_id, role, {pieces('hyp')} AS hu, {pieces('ref')} AS ru,
          CASE WHEN len(ref) > 20 THEN list_filter(hyp, lambda t: t <> '<x>') END AS dec FROM hr),
 words AS (
-  SELECT *, {split_words(words_of("coalesce(array_to_string(hu, ' '), '')"))} AS hw,
+  SELECT *, CASE WHEN len(hu) = 0 THEN [] ELSE string_split({words_of("array_to_string(hu, ' ')")}, ' ') END AS hw,
          string_split({words_of("coalesce(array_to_string(ru, ' '), '')")}, ' ') AS rw FROM cut),
 pair AS (
   SELECT utt_id AS id, 'c' AS kind, hu AS a, ru AS b FROM words
@@ -652,17 +652,17 @@ seen AS (
 SELECT user_id, grid, round(CASE WHEN mean IS NOT NULL THEN mean ELSE m0 + (m1 - m0) * ((grid - b0) / (b1 - b0)) END, 9) AS value,
        mean IS NULL AS is_filled FROM seen""",
 )
-LOG_MEL = f"""{SIGNAL}, f AS (
-  SELECT user_id, unnest(range(0, (n - 16) // 8 + 1)) AS frame_idx FROM (SELECT DISTINCT user_id, n FROM sig) WHERE n >= 16),
-raw AS (
-  SELECT user_id, frame_idx, list(value ORDER BY p) AS x FROM f JOIN sig USING (user_id)
-  WHERE p >= frame_idx * 8 AND p < frame_idx * 8 + 16 GROUP BY user_id, frame_idx),
-centred AS (SELECT user_id, frame_idx, list_transform(x, lambda v: v - list_avg(x)) AS c FROM raw),
+
+
+def log_mel(raw: str, key: str) -> str:
+    """``mels(key, frame_idx, mel, x)`` of the 16-sample frames in ``raw(key, frame_idx, x)``."""
+    return f"""{raw},
+centred AS (SELECT {key}, frame_idx, list_transform(x, lambda v: v - list_avg(x)) AS c FROM raw),
 shaped AS (
-  SELECT user_id, frame_idx, list_transform(c, lambda v, i: (v - 0.97::DOUBLE * c[greatest(i - 1, 1)])
+  SELECT {key}, frame_idx, list_transform(c, lambda v, i: (v - 0.97::DOUBLE * c[greatest(i - 1, 1)])
            * pow(0.5 - 0.5 * cos(2 * pi() * (i - 1) / 15), 0.85)) AS s FROM centred),
 power AS (
-  SELECT user_id, frame_idx, k,
+  SELECT {key}, frame_idx, k,
          pow(list_sum(list_transform(s, lambda v, i: v * cos(2 * pi() * k * (i - 1) / 16))), 2)
          + pow(list_sum(list_transform(s, lambda v, i: v * sin(2 * pi() * k * (i - 1) / 16))), 2) AS e
   FROM shaped, (SELECT unnest(range(0, 8)) AS k)),
@@ -672,8 +672,26 @@ bands AS (
          1127 * ln(1 + k * 1000 / 700) AS b FROM ends, (SELECT unnest(range(0, 4)) AS mel), (SELECT unnest(range(0, 8)) AS k)),
 weights AS (SELECT mel, k, greatest(0, least((b - l) / (c - l), (r - b) / (r - c))) AS w FROM bands),
 mels AS (
-  SELECT user_id, frame_idx, mel::INT AS mel, ln(greatest(sum(e * w), 1.1920928955078125e-07)) AS x
-  FROM power JOIN weights USING (k) GROUP BY user_id, frame_idx, mel)"""
+  SELECT {key}, frame_idx, mel::INT AS mel, ln(greatest(sum(e * w), 1.1920928955078125e-07)) AS x
+  FROM power JOIN weights USING (k) GROUP BY {key}, frame_idx, mel)"""
+
+
+LOG_MEL = log_mel(
+    f"""{SIGNAL}, f AS (
+  SELECT user_id, unnest(range(0, (n - 16) // 8 + 1)) AS frame_idx FROM (SELECT DISTINCT user_id, n FROM sig) WHERE n >= 16),
+raw AS (
+  SELECT user_id, frame_idx, list(value ORDER BY p) AS x FROM f JOIN sig USING (user_id)
+  WHERE p >= frame_idx * 8 AND p < frame_idx * 8 + 16 GROUP BY user_id, frame_idx)""",
+    "user_id",
+)
+WAVE_MEL = log_mel(
+    """raw AS (
+  SELECT vec_id, f AS frame_idx, list_transform(range(0, 16), lambda i:
+           (embedding[f * 8 + i + 1]::DOUBLE + embedding[f * 8 + i + 33]::DOUBLE) / 2 * 32768) AS x
+  FROM embeddings, (SELECT unnest(range(0, 3)) AS f))""",
+    "vec_id",
+)
+oracle("waveform_features", f"WITH {WAVE_MEL} SELECT vec_id, frame_idx, mel, round(x, 6) AS x FROM mels")
 oracle("log_mel", f"WITH {LOG_MEL} SELECT user_id, frame_idx, mel, round(x, 6) AS x FROM mels")
 
 # --- streams -----------------------------------------------------------------------------------

@@ -403,9 +403,11 @@ def corpus_wer(spark, folder):
 def error_totals(spark, folder):
     pairs = standins.hyp_ref(spark, folder)
     cut = pairs.withColumn("hyp_units", standins.to_pieces("hyp")).withColumn("ref_units", standins.to_pieces("ref"))
-    words = cut.withColumn(
-        "hyp_words", txt.tokens(txt.pieces_to_words(F.array_join("hyp_units", " ")))
-    ).withColumn("ref_words", txt.tokens_strict(txt.pieces_to_words(F.array_join("ref_units", " "))))
+    # An empty hypothesis has no words; an empty reference has one empty word.
+    spoken = F.when(F.size("hyp_units") > 0, txt.tokens_strict(txt.pieces_to_words(F.array_join("hyp_units", " "))))
+    words = cut.withColumn("hyp_words", F.coalesce(spoken, F.array().cast("array<string>"))).withColumn(
+        "ref_words", txt.tokens_strict(txt.pieces_to_words(F.array_join("ref_units", " ")))
+    )
     # The longer turns come with words of an outer decoder.
     decoded = F.when(F.size("ref") > 20, F.filter("hyp", lambda t: t != "<x>"))
     totals = scoring.error_totals(
@@ -694,12 +696,16 @@ def spec_augment(spark, folder):
     return cells.withColumn("x", rounded("x"))
 
 
+def _waveforms(spark, folder):
+    """Embeddings as two-channel waveforms, mixed down and scaled."""
+    channels = F.array(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32))
+    rows = table(spark, folder, "embeddings").select("vec_id", channels.alias("channels"))
+    return rows.select("vec_id", seq.to_16_bit(seq.to_mono(F.col("channels"))).alias("samples"))
+
+
 @query
 def to_mono(spark, folder):
-    left = F.slice("embedding", 1, 32)
-    right = F.slice("embedding", 33, 32)
-    rows = table(spark, folder, "embeddings").select("vec_id", F.array(left, right).alias("channels"))
-    mono = rows.withColumn("samples", seq.to_16_bit(seq.to_mono(F.col("channels"))))
+    mono = _waveforms(spark, folder)
     return mono.select("vec_id", F.posexplode_outer("samples").alias("sample_idx", "sample")).withColumn("sample", rounded("sample"))
 
 
@@ -727,6 +733,14 @@ def log_mel(spark, folder):
     return cells.withColumn("x", rounded("x"))
 
 
+@query
+def waveform_features(spark, folder):
+    frames = signal.frame_waveforms(_waveforms(spark, folder), "vec_id", "samples", MEL_WIDTH, MEL_HOP)
+    feats = signal.log_mel(frames, "vec_id", "samples", SAMPLE_RATE, N_MELS)
+    cells = feats.select("vec_id", "frame_idx", F.posexplode_outer("feat").alias("mel", "x"))
+    return cells.withColumn("x", rounded("x"))
+
+
 # --- streams -----------------------------------------------------------------------------------
 
 
