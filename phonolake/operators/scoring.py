@@ -156,7 +156,8 @@ def loss_report(
     """One row of masked and unmasked sums and the weighted loss.
 
     A part with weight 0 is reported but adds nothing to ``loss`` or
-    ``sample_size``. ``log_keys`` maps an extra numeric column to ``avg`` or ``sum``.
+    ``sample_size``. ``log_keys`` maps extra numeric columns, where present, to
+    ``avg`` or ``sum``.
     """
     inside, outside = F.col(masked), ~F.col(masked)
     sums = [
@@ -170,7 +171,8 @@ def loss_report(
     if sentence is not None:
         sums.append(F.count_distinct(sentence).alias("nsentences"))
     for key, how in (log_keys or {}).items():
-        sums.append({"avg": F.avg, "sum": F.sum}[how](key).alias(key))
+        if key in df.columns:
+            sums.append({"avg": F.avg, "sum": F.sum}[how](key).alias(key))
     report = df.agg(*sums)
     use_m, use_u = masked_weight > 0, unmasked_weight > 0
     loss = (F.col("loss_m") * masked_weight if use_m else F.lit(0.0)) + (

@@ -509,9 +509,8 @@ def pieces_to_words(spark, folder):
 
 @query
 def letters_to_words(spark, folder):
-    rows = table(spark, folder, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("utt_id"), "role", txt.tokens(F.col("text")).alias("words")
-    )
+    turns = standins.as_turns(table(spark, folder, "conversations"))
+    rows = turns.select("utt_id", "role", txt.tokens(F.col("text")).alias("words"))
     letters = F.array_join(F.split(F.array_join("words", "|"), ""), " ")
     lettered = rows.withColumn("units", F.concat(letters, F.lit(" |")))
     # User turns are letters; the others are read as phones, whose units are the words.
@@ -756,7 +755,7 @@ def stream_cmvn(spark, folder):
 
 @query
 def stream_wer(spark, folder):
-    pairs = standins.as_hyp_ref(_stream(spark, folder, "conversations"))
+    pairs = standins.as_hyp_ref(standins.as_turns(_stream(spark, folder, "conversations")))
     return running.stream_error_rate(pairs, "hyp", "ref").withColumn("wer", rounded("wer"))
 
 

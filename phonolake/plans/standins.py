@@ -75,18 +75,21 @@ def logits(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def as_hyp_ref(conversations: DataFrame) -> DataFrame:
+def as_turns(conversations: DataFrame) -> DataFrame:
+    """Turns as utterances; a conversation has fewer than a thousand turns."""
+    return conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("utt_id"), "role", "text")
+
+
+def as_hyp_ref(turns: DataFrame) -> DataFrame:
     """Each turn against itself with every 11th word replaced and every 7th dropped."""
-    refs = conversations.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("utt_id"), "role", tokens(F.col("text")).alias("ref")
-    )
+    refs = turns.select("utt_id", "role", tokens(F.col("text")).alias("ref"))
     noisy = F.transform("ref", lambda t, i: F.when((i + 1) % 11 == 0, "<x>").otherwise(t))
     return refs.withColumn("hyp", F.filter(noisy, lambda t, i: (i + 1) % 7 != 0))
 
 
 def hyp_ref(spark: SparkSession, folder: str) -> DataFrame:
-    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
-    return as_hyp_ref(spread(turns, "conv_id", "turn"))
+    """Spread by utterance, so that spreading tokens and gathering them again needs no shuffle."""
+    return as_hyp_ref(spread(as_turns(table(spark, folder, "conversations")), "utt_id"))
 
 
 def to_pieces(words: str) -> Column:

@@ -64,8 +64,17 @@ def stream_cmvn(frames: DataFrame, feat: str = "feat") -> DataFrame:
     return finalise_cmvn(latest(run_to_end(sums, "update", "stream-cmvn"), ["dim"]))
 
 
-def stream_error_rate(pairs: DataFrame, hyp: str, ref: str) -> DataFrame:
-    """Running errors, reference words and their rate over a stream of sentence pairs."""
+def stream_error_rate(
+    pairs: DataFrame, hyp: str, ref: str, key: str | None = None, at: str | None = None, watermark: str = "1 hour"
+) -> DataFrame:
+    """Running errors, reference words and their rate over a stream of sentence pairs.
+
+    With ``key`` and its event time ``at``, a pair delivered again within the
+    watermark counts once; the keys kept are bounded by that span.
+    """
+    if key is not None and at is not None:
+        pairs = pairs.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, watermark)
+        pairs = pairs.dropDuplicatesWithinWatermark([key])
     scored = score_pairs(pairs, hyp, ref)
     sums = scored.groupBy(F.lit("all").alias("run")).agg(
         F.count("*").alias("n_sent"), F.sum("err").alias("err"), F.sum("n_ref").alias("n_ref")
@@ -83,7 +92,8 @@ def stream_throughput(
     them are lost; without one every row counts and the state grows with time.
     """
     if watermark is not None:
-        timings = timings.withWatermark(at, watermark)
+        # Watermarks are kept on timestamps with a time zone.
+        timings = timings.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, watermark)
     sums = (
         timings.groupBy(F.window(at, window).alias("w"))
         .agg(F.count("*").alias("sentences"), F.sum(tokens).alias("tokens"), F.sum(seconds).alias("seconds"))

@@ -7,7 +7,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from phonolake.operators.ordering import epoch_order, ordered_scan
+from phonolake.operators.ordering import epoch_order, ordered_indices, ordered_scan, shard_of_batch
 from phonolake.operators.selection import collapse_repeats, get_or_last
 from phonolake.sources.lines import read_lines
 
@@ -115,3 +115,20 @@ def test_epoch_order_ignores_partitioning(spark):
     many = {r["ind"]: r["pos"] for r in epoch_order(df.repartition(13), "ind", 7, 1).collect()}
     other = {r["ind"]: r["pos"] for r in epoch_order(df, "ind", 7, 2).collect()}
     assert one == many and one != other and sorted(other.values()) == list(range(500))
+
+
+def test_longest_first(spark):
+    df = spark.createDataFrame([(0, 5), (1, 9), (2, 5), (3, 1)], "ind bigint, size bigint")
+    plain = [r["ind"] for r in ordered_indices(df, "ind", "size").orderBy("pos").collect()]
+    assert plain == [1, 2, 0, 3]
+    orders = set()
+    for epoch in range(8):
+        rows = ordered_indices(df, "ind", "size", seed=3, epoch=epoch).orderBy("pos").collect()
+        assert [r["size"] for r in rows] == [9, 5, 5, 1]
+        orders.add(tuple(r["ind"] for r in rows))
+    assert orders == {(1, 0, 2, 3), (1, 2, 0, 3)}
+
+
+def test_batches_are_dealt_in_turn(spark):
+    out = shard_of_batch(spark.range(7).withColumnRenamed("id", "batch_id"), 3).orderBy("batch_id").collect()
+    assert [(r["shard"], r["step"]) for r in out] == [(0, 0), (1, 0), (2, 0), (0, 1), (1, 1), (2, 1), (0, 2)]

@@ -34,8 +34,8 @@ def test_statistics(spark, tmp_path):
 
 def test_error_rate(spark, tmp_path):
     whole, stream = split_table(spark, tmp_path, "conversations")
-    got = running.stream_error_rate(standins.as_hyp_ref(stream), "hyp", "ref").first().asDict()
-    want = corpus_error_rate(score_pairs(standins.as_hyp_ref(whole), "hyp", "ref")).first().asDict()
+    got = running.stream_error_rate(standins.as_hyp_ref(standins.as_turns(stream)), "hyp", "ref").first().asDict()
+    want = corpus_error_rate(score_pairs(standins.as_hyp_ref(standins.as_turns(whole)), "hyp", "ref")).first().asDict()
     assert got == want
 
 
@@ -48,3 +48,21 @@ def test_throughput(spark, tmp_path):
     for r in got:
         assert (r["sentences"], r["tokens"]) == (want[r["window_start"]]["sentences"], want[r["window_start"]]["tokens"])
         assert abs(r["seconds"] - want[r["window_start"]]["seconds"]) < 1e-9
+
+
+def test_redelivered_pairs_count_once(spark, tmp_path):
+    rows = spark.range(40).selectExpr(
+        "id % 20 as utt", "timestamp_seconds(1700000000 + id % 20) as at", "array('a', 'b') as hyp", "array('a', 'c', 'd') as ref"
+    )
+    rows.repartition(4).write.parquet(str(tmp_path / "pairs"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "pairs"))
+    got = running.stream_error_rate(stream, "hyp", "ref", key="utt", at="at").first()
+    assert (got["n_sent"], got["err"], got["n_ref"]) == (20, 40, 60)
+    again = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "pairs"))
+    assert running.stream_error_rate(again, "hyp", "ref").first()["n_sent"] == 40
+
+
+def test_watermark_keeps_rows_in_time(spark, tmp_path):
+    whole, stream = split_table(spark, tmp_path, "events")
+    got = running.stream_throughput(standins.timings(stream), "ts", "tokens", "seconds", watermark="60 days")
+    assert got.agg(F.sum("sentences")).first()[0] == whole.count()
