@@ -103,14 +103,18 @@ def ordered_scan(
 
 
 def line_index(lines: DataFrame, index: str = "line_no") -> DataFrame:
-    """0-based line number over the text files of one scan, in (file, offset) order.
+    """0-based line number over the text files of one scan, in (folder, file, offset) order.
+
+    Files that Spark wrote go by their part number, which outgrows its five digits.
 
     ``lines`` must carry ``file``, ``block`` and ``row`` from ``read_lines``.
     The scan numbers rows inside each file block; block counts, a table of one
     row per block, are summed up, written, and sent back to the rows.
     """
     blocks = lines.groupBy("file", "block").agg(F.min("row").alias("first_row"), F.count("*").alias("n"))
-    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    folder = F.regexp_extract("file", "^(.*)/", 1)
+    part = F.regexp_extract("file", r"/part-(\d+)[^/]*$", 1).try_cast("bigint")
+    before = Window.orderBy(folder, part, "file", "block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select(
         "file", "block", "first_row", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
     )

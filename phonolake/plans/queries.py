@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import sequences as seq
 from ..functions import text as txt
 from ..operators import batching, ctc, features, filters, masking, ordering, scoring, selection, signal
-from ..session import materialise, scratch_path
+from ..session import materialise, scratch_path, spread
 from ..sources import corpus, dictionary, reports
 from ..sources import features as stored
 from ..streaming import running
@@ -134,12 +134,9 @@ def hyp_ref_lines(spark, folder):
 @query
 def merge_shards(spark, folder):
     path = scratch_path(spark, "shards")
-    docs = table(spark, folder, "documents").select(
-        F.col("doc_id").alias("utt_id"), txt.squeeze(F.col("text")).alias("text")
-    )
-    lines = reports.hyp_ref_lines(docs, "utt_id", {"hypo.word": "text"})
-    sharded = ordering.shard_of_batch(lines, 4, batch="utt_id")
-    reports.write_shards(sharded, "utt_id", path)
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("utt_id"), "text")
+    line = reports.hyp_ref_line(txt.squeeze(F.col("text")), F.col("utt_id"))
+    reports.write_shards(ordering.shard_of_batch(docs, 4, batch="utt_id"), line, "utt_id", path)
     return reports.merge_shards(spark, path)
 
 
@@ -647,7 +644,8 @@ def ctc_loss_report(spark, folder):
 
 
 def _label_rows(spark, folder):
-    words = table(spark, folder, "documents").select(
+    docs = spread(table(spark, folder, "documents").select("doc_id", "n_chars", "text"), "doc_id")
+    words = docs.select(
         F.col("doc_id").alias("ind"), F.col("n_chars").alias("n_frames"), F.size(txt.tokens(F.col("text"))).alias("n_words")
     )
     sets = F.array(

@@ -8,22 +8,27 @@ from pyspark.sql import functions as F
 from .lines import read_lines, write_lines
 
 
+def hyp_ref_line(text: Column, key: Column) -> Column:
+    """Text and sample id; the speaker is not known to the scorer and always reads ``None``."""
+    return F.concat(text, F.lit(" (None-"), key.cast("string"), F.lit(")"))
+
+
 def hyp_ref_lines(df: DataFrame, key: str, kinds: dict[str, str]) -> DataFrame:
     """One row per output kind and sentence: ``(kind, key, line)``.
 
-    ``kinds`` maps an output name to its text column. The speaker is not known
-    to the scorer and always reads ``None``.
+    ``kinds`` maps an output name to its text column.
     """
     outputs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("text")) for k, c in kinds.items()])
     rows = df.select(key, F.explode(outputs).alias("o"))
-    line = F.concat(F.col("o.text"), F.lit(" (None-"), F.col(key).cast("string"), F.lit(")"))
-    return rows.select(F.col("o.kind").alias("kind"), key, line.alias("line"))
+    return rows.select(
+        F.col("o.kind").alias("kind"), key, hyp_ref_line(F.col("o.text"), F.col(key)).alias("line")
+    )
 
 
-def write_shards(lines: DataFrame, order: str, path: str, shard: str = "shard") -> None:
+def write_shards(rows: DataFrame, line: Column, order: str, path: str, shard: str = "shard") -> None:
     """Each data-parallel shard's lines in a folder of its own."""
-    named = lines.withColumn(shard, F.lpad(F.col(shard).cast("string"), 6, "0"))
-    write_lines(named, F.col("line"), [F.col(order).asc()], path, folders=[shard])
+    named = rows.withColumn(shard, F.lpad(F.col(shard).cast("string"), 6, "0"))
+    write_lines(named, line, [F.col(order).asc()], path, folders=[shard])
 
 
 def merge_shards(spark: SparkSession, path: str, shard: str = "shard") -> DataFrame:

@@ -109,6 +109,13 @@ def test_line_numbers_over_unequal_files(spark, tmp_path):
     assert sorted(r["line_no"] for r in rows) == list(range(len(want)))
 
 
+def test_part_files_go_by_number(spark, tmp_path):
+    for name in ("part-99999-x", "part-100000-x", "part-00007-x"):
+        (tmp_path / f"{name}.txt").write_text(f"{name}\n")
+    rows = read_lines(spark, str(tmp_path)).orderBy("line_no").collect()
+    assert [r["value"] for r in rows] == ["part-00007-x", "part-99999-x", "part-100000-x"]
+
+
 def test_epoch_order_ignores_partitioning(spark):
     df = spark.range(500).withColumnRenamed("id", "ind")
     one = {r["ind"]: r["pos"] for r in epoch_order(df.coalesce(1), "ind", 7, 1).collect()}

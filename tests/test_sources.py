@@ -137,7 +137,7 @@ def test_report_texts(spark, tmp_path):
 def test_shards_merge_in_shard_order(spark, tmp_path):
     rows = [(i, i % 3, f"line {i}") for i in range(30)]
     df = spark.createDataFrame(rows, "ind int, shard int, line string").repartition(5)
-    reports.write_shards(df, "ind", str(tmp_path / "s"))
+    reports.write_shards(df, F.col("line"), "ind", str(tmp_path / "s"))
     merged = reports.merge_shards(spark, str(tmp_path / "s")).orderBy("merged_no").collect()
     assert [r["line"] for r in merged] == [f"line {i}" for s in range(3) for i in range(s, 30, 3)]
     assert [r["shard"] for r in merged] == [s for s in range(3) for _ in range(10)]
