@@ -35,11 +35,22 @@ def prepare_features(
     width: int,
     hop: int,
     n_mels: int,
+    utterances: DataFrame,
 ) -> Prepared:
-    """Signals to frames, written once; statistics and frame counts are aggregates of that table."""
+    """Signals to frames, written once; statistics and frame counts are aggregates of that table.
+
+    ``utterances`` holds ``(key, audio, tgt_text)``; one too short for a frame is listed with none.
+    """
     spread = spread_to_frames(samples, key, order, width, hop)
     feats = materialise(log_mel(gather_frames(spread, key, value, width), key, "samples", sample_rate, n_mels), "frames")
-    manifest = feats.groupBy(key).agg(F.count("*").alias("n_frames"))
+    counts = feats.groupBy(key).agg(F.count("*").alias("n_frames"))
+    manifest = utterances.join(counts, key, "left").select(
+        key,
+        F.col(key).cast("string").alias("id"),
+        "audio",
+        F.coalesce("n_frames", F.lit(0)).cast("bigint").alias("n_frames"),
+        "tgt_text",
+    )
     return Prepared(feats, cmvn_by_dim(feats), manifest)
 
 

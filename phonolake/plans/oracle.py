@@ -708,7 +708,13 @@ SELECT hour, n AS sentences, k AS tokens, {RATES} FROM t""",
 
 # --- end-to-end jobs ---------------------------------------------------------------------------
 
-oracle("prepare_features", f"WITH {LOG_MEL} SELECT user_id, count(DISTINCT frame_idx) AS n_frames FROM mels GROUP BY user_id")
+oracle(
+    "prepare_features",
+    f"""WITH {LOG_MEL}, counts AS (SELECT user_id, count(DISTINCT frame_idx) AS k FROM mels GROUP BY user_id),
+users AS (SELECT DISTINCT user_id FROM events)
+SELECT row_number() OVER (ORDER BY user_id) - 1 AS ind, '/fbank/' || user_id || '.npy' AS path,
+       coalesce(k, 0) AS n_frames FROM users LEFT JOIN counts USING (user_id)""",
+)
 oracle(
     "prepared_stats",
     f"""WITH {LOG_MEL}, stats AS (

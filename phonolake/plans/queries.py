@@ -771,14 +771,28 @@ def stream_throughput(spark, folder):
 
 
 def _prepared(spark, folder):
+    users = table(spark, folder, "events").groupBy("user_id").agg(
+        F.concat(F.lit("MOSTLY "), F.upper(F.max("event_type"))).alias("tgt_text")
+    )
+    utterances = users.withColumn("audio", F.concat(F.lit("/fbank/"), F.col("user_id").cast("string"), F.lit(".npy")))
     return jobs.prepare_features(
-        standins.signals(spark, folder), "user_id", by_time(), "value", SAMPLE_RATE, MEL_WIDTH, MEL_HOP, N_MELS
+        standins.signals(spark, folder),
+        "user_id",
+        by_time(),
+        "value",
+        SAMPLE_RATE,
+        MEL_WIDTH,
+        MEL_HOP,
+        N_MELS,
+        utterances,
     )
 
 
 @query
 def prepare_features(spark, folder):
-    return _prepared(spark, folder).manifest
+    path = scratch_path(spark, "manifest")
+    corpus.write_manifest(_prepared(spark, folder).manifest, "user_id", path)
+    return corpus.scan_manifest(spark, path)
 
 
 @query
