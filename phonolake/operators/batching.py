@@ -90,7 +90,7 @@ def batch_greedy(
     whole = F.floor(F.col("_capacity") / multiple) * multiple
     step = F.greatest(whole, F.col("_capacity") % multiple).cast("bigint").alias("step")
     one_row = runs.agg(
-        F.array_sort(F.collect_list(F.struct("begin", "end", F.col("_capacity").alias("capacity"), step))).alias("runs"),
+        F.sort_array(F.collect_list(F.struct("begin", "end", F.col("_capacity").alias("capacity"), step))).alias("runs"),
         F.max("end").alias("n"),
     )
 
@@ -175,7 +175,7 @@ def pad_and_mask(df: DataFrame, source: str, target: str, start: Column, filler:
 def batch_counts(labels: DataFrame, key: str, ids: str = "tokens") -> DataFrame:
     """Per batch and label set: sample ids, token count per sample, their sum."""
     length = F.size(ids).cast("bigint")
-    members = F.array_sort(F.collect_list(F.struct(F.col(key).alias("id"), length.alias("length"))))
+    members = F.sort_array(F.collect_list(F.struct(F.col(key).alias("id"), length.alias("length"))))
     return labels.groupBy("batch_id", "label_set").agg(
         F.count("*").alias("nsentences"),
         F.sum(length).alias("ntokens"),

@@ -34,7 +34,7 @@ def finalise_cmvn(sums: DataFrame) -> DataFrame:
 
 def cmvn_row(by_dim: DataFrame) -> DataFrame:
     """The one-row form with arrays in dimension order; as many elements as dimensions."""
-    rows = F.array_sort(F.collect_list(F.struct("dim", "sum", "sumsq", "mean", "std")))
+    rows = F.sort_array(F.collect_list(F.struct("dim", "sum", "sumsq", "mean", "std")))
     gathered = by_dim.agg(F.max("n").alias("n_frame"), rows.alias("rows"))
     # A field of an array of structs is the array of that field.
     return gathered.select("n_frame", *[F.col(f"rows.{c}").alias(c) for c in ("sum", "sumsq", "mean", "std")])

@@ -36,10 +36,10 @@ def span_mask(
     drawn = F.transform(
         upto(F.col("_room")), lambda p: F.shiftleft(draw32("start", *base, p), 31).bitwiseOR(p.cast("bigint"))
     )
-    smallest = F.slice(F.array_sort(drawn), F.lit(1), F.col("_spans"))
+    smallest = F.slice(F.sort_array(drawn), F.lit(1), F.col("_spans"))
     starts = F.transform(smallest, lambda d: d.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
     covered = F.flatten(F.transform(starts, lambda s: F.sequence(s, s + (span - 1))))
-    inside = F.filter(F.array_sort(F.array_distinct(covered)), lambda p: p < n)
+    inside = F.filter(F.sort_array(F.array_distinct(covered)), lambda p: p < n)
     return staged.withColumn("masked", inside).drop("_spans", "_room")
 
 

@@ -48,7 +48,7 @@ def frame_energy(spread: DataFrame, key: str, value: str, width: int) -> DataFra
 
 def gather_frames(spread: DataFrame, key: str, value: str, width: int, out: str = "samples") -> DataFrame:
     """Complete frames as arrays of ``width`` samples."""
-    ordered = F.array_sort(F.collect_list(F.struct("offset", value)))
+    ordered = F.sort_array(F.collect_list(F.struct("offset", value)))
     return (
         spread.groupBy(key, "frame_idx")
         .agg(F.transform(ordered, lambda s: s[value]).alias(out))

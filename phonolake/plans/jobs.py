@@ -100,7 +100,7 @@ def decode_and_score(
     A reference without hypothesis stays in: all its words are deletions.
     """
     best = frames.select(key, frame, argmax(F.col(logits)).alias("_best"))
-    paths = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(frame, "_best"))).alias("_rows"))
+    paths = best.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(frame, "_best"))).alias("_rows"))
     ids = paths.select(key, F.transform("_rows", lambda r: r["_best"]).alias("_ids")).select(
         key, best_path(F.col("_ids"), blank).alias("ids")
     )

@@ -619,7 +619,7 @@ def cross_entropy(spark, folder):
 
 def _gathered_log_probs(spark, folder):
     rows = standins.frames(spark, folder).select("utt_id", "frame_idx", seq.log_softmax(F.col("feat")).alias("lp"), "unit")
-    ordered = F.array_sort(F.collect_list(F.struct("frame_idx", "lp", "unit")))
+    ordered = F.sort_array(F.collect_list(F.struct("frame_idx", "lp", "unit")))
     gathered = rows.groupBy("utt_id").agg(ordered.alias("rows"))
     arrays = gathered.select(
         "utt_id", F.transform("rows", lambda r: r["lp"]).alias("log_probs"), F.transform("rows", lambda r: r["unit"]).alias("units")

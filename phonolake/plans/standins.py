@@ -59,7 +59,7 @@ def frames(spark: SparkSession, folder: str) -> DataFrame:
 
 def unit_arrays(spark: SparkSession, folder: str) -> DataFrame:
     """Frame labels gathered per utterance; an utterance is twenty frames."""
-    rows = F.array_sort(F.collect_list(F.struct("frame_idx", "unit")))
+    rows = F.sort_array(F.collect_list(F.struct("frame_idx", "unit")))
     gathered = frames(spark, folder).groupBy("utt_id").agg(rows.alias("rows"))
     return gathered.select("utt_id", F.transform("rows", lambda r: r["unit"]).alias("units"))
 

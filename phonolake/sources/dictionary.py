@@ -52,7 +52,7 @@ def write_dictionary(dictionary: DataFrame, path: str) -> None:
 
 
 def _regrouped(df: DataFrame, key: str, out: str) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "found")))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "found")))
     return df.groupBy(key).agg(F.transform(ordered, lambda p: p["found"]).alias(out))
 
 
@@ -101,7 +101,7 @@ def check_vocabulary(
     missing = F.col("known").isNull() & F.col("pos").isNotNull()
     kept = F.collect_list(F.when(is_hyp & F.col("known"), F.struct("pos", "symbol")))
     return looked.groupBy(key).agg(
-        F.transform(F.array_sort(kept), lambda p: p["symbol"]).alias(hyp),
+        F.transform(F.sort_array(kept), lambda p: p["symbol"]).alias(hyp),
         F.count_if(is_hyp & missing).alias("n_dropped"),
         F.count_if(is_ref & missing).alias("n_ref_missing"),
     )
