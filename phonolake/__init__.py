@@ -1 +1,9 @@
-"""Speech-corpus preparation and recognition scoring on Spark DataFrames."""
+"""Speech-corpus data work as Spark jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with their code, so that a cluster
+# needs no copy of this package on its executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
