@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from phonolake.llm import sql
 from phonolake.llm.recompression import dedup_substrings
+from phonolake.llm.simhash import near_duplicates
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,8 +21,13 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"), shingle=3, bits=3)
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
 }
 LLM_SQL: dict[str, str] = {
     "op1_substring_dedup": sql.OP1,
