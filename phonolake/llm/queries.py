@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonolake.llm import sql
+from phonolake.llm.cube import mix_sources
 from phonolake.llm.recompression import dedup_substrings
 from phonolake.llm.simhash import near_duplicates
+from phonolake.llm.text import LAST_ID
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,9 +27,16 @@ def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), shingle=3, bits=3)
 
 
+def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    out = mix_sources(table(spark, folder, "documents"))
+    doc_id = F.when(F.col("doc") != LAST_ID, F.col("doc")).alias("doc_id")
+    return out.select(doc_id, "size", "source_size", "target", "taken")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op6_mix_sources": op6_mix_sources,
 }
 LLM_SQL: dict[str, str] = {
     "op1_substring_dedup": sql.OP1,
