@@ -12,6 +12,7 @@ from phonolake.llm.cube import mix_sources
 from phonolake.llm.recompression import dedup_substrings
 from phonolake.llm.simhash import near_duplicates
 from phonolake.llm.text import LAST_ID
+from phonolake.llm.toxicity import score_toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,10 +34,15 @@ def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(doc_id, "size", "source_size", "target", "taken")
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_mix_sources": op6_mix_sources,
+    "op8_toxicity": op8_toxicity,
 }
 LLM_SQL: dict[str, str] = {
     "op1_substring_dedup": sql.OP1,

@@ -112,6 +112,15 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(np.add.reduceat(part, starts - starts[0]) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def first_seen(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ascending position of each distinct key's first occurrence, for each key the index of its own)."""
+    _, one, codes = np.unique(keys, return_index=True, return_inverse=True)
+    order = np.argsort(one)
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return one[order], place[codes]
+
+
 class Rolling:
     """Hashes of any stretch of a sequence of 64-bit values, from one running sum."""
 
