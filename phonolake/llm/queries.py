@@ -11,7 +11,8 @@ from phonolake.llm import sql
 from phonolake.llm.cube import mix_sources
 from phonolake.llm.recompression import dedup_substrings
 from phonolake.llm.simhash import near_duplicates
-from phonolake.llm.text import LAST_ID
+from phonolake.llm.spaced_seeds import find_leaks
+from phonolake.llm.text import public_id
 from phonolake.llm.toxicity import score_toxicity
 
 
@@ -30,19 +31,25 @@ def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     out = mix_sources(table(spark, folder, "documents"))
-    doc_id = F.when(F.col("doc") != LAST_ID, F.col("doc")).alias("doc_id")
-    return out.select(doc_id, "size", "source_size", "target", "taken")
+    return out.select(public_id(), "size", "source_size", "target", "taken")
 
 
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """The leaks: one row per contaminated document and benchmark item."""
+    out = find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return out.select(public_id(), "item_id", "start", "n_tokens", "n_matched")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op8_toxicity": op8_toxicity,
+    "op9_decontamination": op9_decontamination,
 }
 LLM_SQL: dict[str, str] = {
     "op1_substring_dedup": sql.OP1,

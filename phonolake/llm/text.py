@@ -158,6 +158,11 @@ def id_key(doc_id: str) -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID))
 
 
+def public_id(doc: str = "doc") -> Column:
+    """The id as given, from that of ``id_key``."""
+    return F.when(F.col(doc) != LAST_ID, F.col(doc)).alias("doc_id")
+
+
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``doc``, ``tag``, ``text``: id and a hash of the text, which tell rows of a repeated id apart."""
     return docs.select(
