@@ -155,12 +155,13 @@ def repeated_spans(docs: DataFrame, window: int = 50, steps=STEPS) -> DataFrame:
         .filter("core_doc < last")
         .select("core", "core_doc", (F.col("w0") == F.col("w1")).alias("alike"))
     )
-    shared = materialise(anchors.join(cores, "core"), "shared")
+    # Written first: a join that reads two tables is dealt anew, and a core with very many rows can be split.
+    shared = materialise(anchors.join(materialise(cores, "cores"), "core"), "shared")
     stretch = [F.col("at").alias("start"), (F.col("at") + F.col("n") + (window - 1)).alias("stop")]
     alike = shared.filter("alike AND doc > core_doc").select("doc", "tag", *stretch)
     mixed = shared.filter("NOT alike")
     keepers = mixed.groupBy("core", "whole").agg(F.min("doc").alias("keeper"))
-    mixed = mixed.join(keepers, ["core", "whole"])
+    mixed = mixed.join(materialise(keepers, "keepers"), ["core", "whole"])
     later = mixed.filter("doc > keeper").select("doc", "tag", *stretch)
     open_ = (
         mixed.filter("doc = keeper")
@@ -170,7 +171,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, steps=STEPS) -> DataFrame:
     windows = materialise(window_rows(docs.join(open_, ["doc", "tag"]), window), "windows")
     owners = windows.groupBy("key").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).filter("owner < last")
     single = (
-        windows.join(owners.drop("last"), "key")
+        windows.join(materialise(owners.drop("last"), "owners"), "key")
         .filter("doc > owner")
         .select("doc", "tag", F.col("at").alias("start"), (F.col("at") + window).alias("stop"))
     )
