@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from phonolake.llm import sql
 from phonolake.llm.cube import mix_sources
 from phonolake.llm.recompression import dedup_substrings
-from phonolake.llm.simhash import near_duplicates
+from phonolake.llm.simhash import near_duplicate_report
 from phonolake.llm.spaced_seeds import find_leaks
 from phonolake.llm.text import public_id
 from phonolake.llm.toxicity import score_toxicity
@@ -26,7 +27,7 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates(table(spark, folder, "documents"), shingle=3, bits=3)
+    return near_duplicate_report(table(spark, folder, "documents"), shingle=3, bits=3)
 
 
 def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,7 +36,8 @@ def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
-    return score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    out = score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return out.select(public_id(), "held_out", "score", "predicted")
 
 
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,6 +52,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mix_sources": op6_mix_sources,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
+    "pipeline": corpus_pipeline.run,
 }
 LLM_SQL: dict[str, str] = {
     "op1_substring_dedup": sql.OP1,

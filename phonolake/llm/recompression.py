@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phonolake.llm.text import Rolling, chunks, covered, cut_words, hash_spans, keyed, leftmost_minimum, mix
+from phonolake.llm.text import Rolling, chunks, covered, cut_words, hash_spans, id_key, keyed, leftmost_minimum, mix, public_id
 from phonolake.session import materialise
 
 #: Naming steps: kind and the longest symbol, in words, that it may make.
@@ -179,16 +179,26 @@ def repeated_spans(docs: DataFrame, window: int = 50, steps=STEPS) -> DataFrame:
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, *columns: str) -> DataFrame:
-    """``docs`` (with ``doc`` and ``tag``) and the list of their spans; ``columns`` come first."""
-    lists = spans.groupBy("doc", "tag").agg(
-        F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops")
-    )
+    """``columns`` of ``docs`` (with ``doc`` and ``tag``) and the lists of the rows' spans."""
+    lists = spans.groupBy("doc", "tag").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     return docs.join(lists.hint("shuffle_hash"), ["doc", "tag"], "left").select(*columns, "starts", "stops")
 
 
-def dedup_substrings(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 50, steps=STEPS
-) -> DataFrame:
+def stays(batch: pa.RecordBatch, text: int):
+    """(row, text's bytes, word starts, word ends, mask of the words that stay) of each row of a batch."""
+    starts, stops = batch.column("starts").to_pylist(), batch.column("stops").to_pylist()
+    for base, data, offsets in chunks(batch.column(text)):
+        words, body = cut_words(data, offsets), data.tobytes()
+        for r in range(len(offsets) - 1):
+            lo, hi = words.first[r], words.first[r + 1]
+            stay = np.ones(hi - lo, bool)
+            if starts[base + r]:
+                stay = ~covered(np.array(starts[base + r]), np.array(stops[base + r]), hi - lo)
+            cut = slice(int(offsets[r]), int(offsets[r + 1]))
+            yield base + r, body[cut], words.starts[lo:hi] - cut.start, words.ends[lo:hi] - cut.start, stay
+
+
+def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 50, steps=STEPS) -> DataFrame:
     """Remove every word covered by a ``window``-word sequence that also starts in a document with a smaller id.
 
     Returns ``doc_id, n_words, n_removed, kept`` for every row, ``kept`` being the words that
@@ -198,31 +208,47 @@ def dedup_substrings(
     Other columns of ``docs`` are not read.
     """
     base = keyed(docs, doc_id, text)
-    spans = repeated_spans(base, window, steps)
-    rows = with_spans(base, spans, "doc", "text")
+    rows = with_spans(base, repeated_spans(base, window, steps), "doc", "text")
 
     def task(batches):
         for batch in batches:
-            yield from kept_rows(batch)
+            out = []
+            for _, body, begin, end, stay in stays(batch, 1):
+                kept = b" ".join([body[a:b] for a, b in zip(begin[stay].tolist(), end[stay].tolist())])
+                out.append((len(stay), int((~stay).sum()), kept))
+            n, gone, kept = zip(*out) if out else ((), (), ())
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "n_words", "n_removed", "kept"])
 
     out = rows.mapInArrow(task, "doc long, n_words long, n_removed long, kept string")
-    return out.select(
-        F.when(F.col("doc") != F.lit((1 << 63) - 1), F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept"
-    )
+    return out.select(public_id(), "n_words", "n_removed", "kept")
 
 
-def kept_rows(batch: pa.RecordBatch):
-    """The rows of one batch (id, text, starts, stops), some texts at a time."""
-    starts, stops = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-    for row, data, offsets in chunks(batch.column(1)):
-        words, body, kept, gone = cut_words(data, offsets), data.tobytes(), [], []
-        for r in range(len(offsets) - 1):
-            lo, hi = words.first[r], words.first[r + 1]
-            stay = np.ones(hi - lo, bool)
-            if starts[row + r]:
-                stay = ~covered(np.array(starts[row + r]), np.array(stops[row + r]), hi - lo)
-            kept.append(b" ".join([body[a:b] for a, b in zip(words.starts[lo:hi][stay].tolist(), words.ends[lo:hi][stay].tolist())]))
-            gone.append(int((~stay).sum()))
-        out = {"doc": batch.column(0).slice(row, len(gone)), "n_words": pa.array(np.diff(words.first))}
-        yield pa.RecordBatch.from_pydict(out | {"n_removed": pa.array(gone, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 50, steps=STEPS) -> DataFrame:
+    """The rows of ``docs`` with the same words cut out of ``text`` as by ``dedup_substrings``.
+
+    What stays keeps its white space; where words were cut, one space joins the parts.
+    A text that loses nothing is unchanged, null included; one that loses all is empty.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = docs.select(row.alias("row"), id_key(doc_id).alias("doc"), F.hash(F.col(text).cast("string")).alias("tag"))
+    spans = repeated_spans(keyed(docs, doc_id, text), window, steps)
+    rows = with_spans(whole, spans, F.col(f"row.`{text}`").cast("string").alias("text"), "row")
+    kind = rows.select("row").schema
+
+    def task(batches):
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for r, body, begin, end, stay in stays(batch, 0):
+                if not stay.all():
+                    texts[r] = cut_out(body, begin, end, stay).decode()
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
+
+    out = rows.mapInArrow(task, kind.add("text", "string"))
+    return out.select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns])
+
 
+def cut_out(body: bytes, begin: np.ndarray, end: np.ndarray, stay: np.ndarray) -> bytes:
+    """The text without the other words: runs of words that stay, with their white space, joined by a space."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], stay.view(np.int8), [0]])))
+    return b" ".join([body[begin[a] : end[b - 1]] for a, b in zip(edge[::2], edge[1::2])])

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phonolake.llm.components import connected, local_stars
-from phonolake.llm.text import LAST_ID, chunks, cut_words, id_key, lower_ascii
+from phonolake.llm.text import chunks, cut_words, keyed, lower_ascii, public_id
 from phonolake.session import materialise
 
 HASH_SEED = 42
@@ -56,14 +56,14 @@ def text_fingerprints(column: pa.Array, shingle: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """``doc`` (see ``id_key``) and ``fp`` of every row."""
+    """``doc, tag`` (see ``keyed``) and ``fp`` of every row."""
 
     def task(batches):
         for batch in batches:
-            fp = text_fingerprints(batch.column(1), shingle)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc", "fp"])
+            fp = pa.array(text_fingerprints(batch.column(2), shingle).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], fp], ["doc", "tag", "fp"])
 
-    return docs.select(id_key(doc_id).alias("doc"), F.col(text).cast("string").alias("t")).mapInArrow(task, "doc long, fp long")
+    return keyed(docs, doc_id, text).mapInArrow(task, "doc long, tag int, fp long")
 
 
 def anchors(fp: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,23 +152,28 @@ def anchor_links(copies: DataFrame, bits: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, bits: int = 3) -> DataFrame:
     """SimHash components of all rows.
 
-    Returns ``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest id that
+    Returns ``doc, tag`` (see ``keyed``), ``fp``, and ``first``, the smallest ``doc, tag`` that
     chains of fingerprints at most ``bits`` (3 or fewer) apart reach. Null and empty texts have
     fingerprint zero and are linked like others. A repeated id gives a row each; a null id keeps
-    its row, and is the component's id only if no other member has one. Other columns are not read.
+    its row, and is first only if no other member has an id. Other columns are not read.
     """
     if bits > 3:
         raise ValueError("the two anchor codes cover distances up to 3")
     base = materialise(fingerprints(docs, doc_id, text, shingle), "fingerprints")
-    nodes = base.groupBy("fp").agg(F.min("doc").alias("first"))
+    nodes = materialise(base.groupBy("fp").agg(F.min(F.struct("doc", "tag")).alias("first")), "nodes")
     links = anchor_links(replicas(nodes.select("fp")), bits)
     roots = connected(links)
     joined = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     joined = materialise(joined, "roots")
-    lowest = joined.groupBy("root").agg(F.min("first").alias("component"))
-    names = joined.join(lowest, "root").select("fp", "component")
-    return base.join(names, "fp").select(
-        F.when(F.col("doc") != LAST_ID, F.col("doc")).alias("doc_id"),
+    lowest = materialise(joined.groupBy("root").agg(F.min("first").alias("first")), "components")
+    names = materialise(joined.drop("first").join(lowest, "root").select("fp", "first"), "names")
+    return base.join(names, "fp").select("doc", "tag", "fp", "first")
+
+
+def near_duplicate_report(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFrame:
+    """``doc_id``, ``fingerprint`` as 16 hex digits, ``component_id``: the smallest id of the component."""
+    return near_duplicates(docs, shingle=shingle, bits=bits).select(
+        public_id(),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("component") != LAST_ID, F.col("component")).alias("component_id"),
+        public_id("first.doc").alias("component_id"),
     )

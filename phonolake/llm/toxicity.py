@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phonolake.llm.text import LAST_ID, chunks, cut_words, first_seen, hash_spans, id_key, lower_ascii, mix, powers
+from phonolake.llm.text import chunks, cut_words, first_seen, hash_spans, keyed, lower_ascii, mix, powers, public_id
 from phonolake.session import materialise
 
 BUCKETS = 1 << 16
@@ -191,11 +191,11 @@ def score_toxicity(
 ) -> DataFrame:
     """Score every row; learn only from labels of documents outside the held-out fold.
 
-    Returns ``doc_id, held_out, score, predicted``. Null and empty texts get the score of the bias alone.
+    Returns ``doc, tag`` (see ``keyed``), ``held_out, score, predicted``. Null and empty texts get the score of the bias alone.
     A null id is not held out and has no label. Without labels of both classes there is no curve, and the
     score is that of the worst segment. Rows of a repeated id are scored one by one. Other columns are not read.
     """
-    base = docs.select(id_key(doc_id).alias("doc"), F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    base = keyed(docs, doc_id, text)
     known = materialise(known_labels(labels, "doc_id", label).filter(~held_out(F.col("doc"), folds, fold)), "labels")
     for_curve = F.pmod(F.xxhash64("doc", F.lit(1)), F.lit(4)) == 0
     bags, y = sample_bags(base, known.filter(~for_curve))
@@ -203,19 +203,14 @@ def score_toxicity(
 
     def task(batches):
         for batch in batches:
-            found = segment_logits(batch.column(1), model)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(found[:, k]) for k in range(3)]], ["doc", *SHAPE])
+            found = segment_logits(batch.column(2), model)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(found[:, k]) for k in range(3)]], ["doc", "tag", *SHAPE])
 
     kinds = ", ".join(f"{c} double" for c in SHAPE)
-    raw = materialise(base.select("doc", "text").mapInArrow(task, f"doc long, {kinds}"), "logits")
+    raw = materialise(base.mapInArrow(task, f"doc long, tag int, {kinds}"), "logits")
     few = raw.join(known.filter(for_curve), "doc").orderBy(F.xxhash64("doc"), "doc").limit(SAMPLE_CURVE).select(*SHAPE, "y").toPandas()
     *slopes, offset = fit_curve(few[SHAPE].to_numpy(), (few["y"] > 0).to_numpy(float)).tolist()
     logit = sum((F.col(c) * w for c, w in zip(SHAPE, slopes)), F.lit(offset))
     score = F.lit(1.0) / (1 + F.exp(-logit))
-    out = raw.select(F.when(F.col("doc") != LAST_ID, F.col("doc")).alias("doc_id"), score.alias("score"))
-    return out.select(
-        "doc_id",
-        held_out(F.col("doc_id"), folds, fold).alias("held_out"),
-        "score",
-        F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"),
-    )
+    out = raw.select("doc", "tag", held_out(public_id(), folds, fold).alias("held_out"), score.alias("score"))
+    return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))

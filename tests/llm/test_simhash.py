@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 from phonolake.llm.components import connected
-from phonolake.llm.simhash import anchors, group_links, near_duplicates
+from phonolake.llm.simhash import anchors, group_links, near_duplicate_report
 
 
 def brute_fingerprint(text):
@@ -51,13 +51,13 @@ def test_equals_brute_force(spark):
         rows.append((1000 - d, rng.choice([" ", "\n"]).join(words).upper() if d % 7 == 0 else " ".join(words)))
     rows += [(5, None), (3, ""), (None, " \n"), (None, "alone here"), (9, "two words"), (9, "two words"), (8, "Two Words")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, fp string")
-    got = [tuple(r) for r in near_duplicates(df).collect()]
+    got = [tuple(r) for r in near_duplicate_report(df).collect()]
     key = lambda r: tuple((x is None, x or 0) for x in r)
     assert sorted(got, key=key) == sorted(brute(rows), key=key)
 
 
 def test_empty(spark):
-    assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    assert near_duplicate_report(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
 def test_anchors_cover_distance_one():

@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 
-from phonolake.llm.text import cut_words
+from phonolake.llm.text import cut_words, public_id
 from phonolake.llm.toxicity import fit_curve, score_toxicity, subwords
 
 
@@ -41,7 +41,7 @@ def test_learns_and_handles_odd_rows(spark):
     odd = [(None, None, 0.0), (5000, "", 0.0), (5001, None, 0.0), (5002, "x" * 300000, 0.0), (1, rows[1][1], 0.0)]
     docs = spark.createDataFrame(rows + odd, "doc_id long, text string, score double")
     known = spark.createDataFrame(labels + [(None, 1, 0), (3, None, 0), (labels[0][0], labels[0][1], 0)], "doc_id long, toxic int, text int")
-    got = score_toxicity(docs, known).collect()
+    got = score_toxicity(docs, known).select(public_id(), "held_out", "score", "predicted").collect()
     assert len(got) == len(rows) + len(odd) and all(0 <= r.score <= 1 for r in got)
     assert all(r.predicted == int(r.score >= 0.3) for r in got)
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
