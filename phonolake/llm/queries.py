@@ -11,6 +11,7 @@ import corpus_pipeline
 from phonolake.llm import sql
 from phonolake.llm.cube import mix_sources
 from phonolake.llm.recompression import dedup_substrings
+from phonolake.llm.reputation import filter_urls
 from phonolake.llm.simhash import near_duplicate_report
 from phonolake.llm.spaced_seeds import find_leaks
 from phonolake.llm.text import public_id
@@ -46,14 +47,21 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(public_id(), "item_id", "start", "n_tokens", "n_matched")
 
 
+def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    out = filter_urls(table(spark, folder, "pages"), table(spark, folder, "labels"))
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
+    "op10_url_filter": op10_url_filter,
     "pipeline": corpus_pipeline.run,
 }
 LLM_SQL: dict[str, str] = {
     "op1_substring_dedup": sql.OP1,
+    "op10_url_filter": sql.OP10,
 }
