@@ -14,6 +14,7 @@ from phonolake.llm.recompression import dedup_substrings
 from phonolake.llm.reputation import filter_urls
 from phonolake.llm.simhash import near_duplicate_report
 from phonolake.llm.spaced_seeds import find_leaks
+from phonolake.llm.suffixes import remove_repeats
 from phonolake.llm.text import public_id
 from phonolake.llm.toxicity import score_toxicity
 
@@ -31,6 +32,11 @@ def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_report(table(spark, folder, "documents"), shingle=3, bits=3)
 
 
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = remove_repeats(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     out = mix_sources(table(spark, folder, "documents"))
     return out.select(public_id(), "size", "source_size", "target", "taken")
@@ -55,6 +61,7 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
