@@ -11,6 +11,7 @@ import corpus_pipeline
 from phonolake.llm import sql
 from phonolake.llm.cube import mix_sources
 from phonolake.llm.recompression import dedup_substrings
+from phonolake.llm.repetition import judge_repetition
 from phonolake.llm.reputation import filter_urls
 from phonolake.llm.simhash import near_duplicate_report
 from phonolake.llm.spaced_seeds import find_leaks
@@ -42,6 +43,10 @@ def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(public_id(), "size", "source_size", "target", "taken")
 
 
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_repetition(table(spark, folder, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     out = score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return out.select(public_id(), "held_out", "score", "predicted")
@@ -63,6 +68,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_mix_sources": op6_mix_sources,
+    "op7_quality_rules": op7_quality_rules,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_url_filter": op10_url_filter,
