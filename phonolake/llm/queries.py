@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from phonolake.llm import sql
 from phonolake.llm.cube import mix_sources
+from phonolake.llm.quality import score_quality
 from phonolake.llm.recompression import dedup_substrings
 from phonolake.llm.repetition import judge_repetition
 from phonolake.llm.reputation import filter_urls
@@ -29,6 +30,11 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    out = score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return out.select(public_id(), "held_out", "score", "predicted")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_report(table(spark, folder, "documents"), shingle=3, bits=3)
 
@@ -65,6 +71,7 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_quality_classifier": op2_quality_classifier,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_mix_sources": op6_mix_sources,
