@@ -31,17 +31,17 @@ def connected(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``links`` (``u``, ``v`` longs) that is not its component's smallest.
 
     Each round writes its links to the shared folder; the number of rounds grows with
-    the logarithm of the nodes. A node with very many links is joined by key, where
-    adaptive execution splits it.
+    the logarithm of the nodes. The smallest neighbours are written before they are joined,
+    so that adaptive execution can split a node with very many links.
     """
     edges = materialise(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        low = materialise(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "smallest")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialise(large.filter("u <> v").distinct(), "large")
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialise(edges.groupBy("u").agg(F.min("v").alias("m")), "smallest")
         small = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v")
         edges = materialise(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "small")
