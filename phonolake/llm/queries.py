@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from phonolake.llm import sql
+from phonolake.llm.context_mixing import score_texts
 from phonolake.llm.cube import mix_sources
 from phonolake.llm.quality import score_quality
 from phonolake.llm.recompression import dedup_substrings
@@ -35,6 +36,11 @@ def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(public_id(), "held_out", "score", "predicted")
 
 
+def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    out = score_texts(table(spark, folder, "documents"))
+    return out.select(public_id(), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_report(table(spark, folder, "documents"), shingle=3, bits=3)
 
@@ -72,6 +78,7 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_mix_sources": op6_mix_sources,
