@@ -65,8 +65,10 @@ def collapse_repeats(ids: Column) -> Column:
     return F.filter(ids, lambda x, i: (i == 0) | (x != F.get(ids, i - 1)))
 
 
-def best_path(ids: Column, blank: int = 0) -> Column:
-    """Collapse repeats, then drop blanks; the order of the two matters."""
+def best_path(ids: Column, blank: int = 0, length: Column | None = None) -> Column:
+    """Collapse repeats, then drop blanks; the order of the two matters. Frames from ``length`` on are padding."""
+    if length is not None:
+        ids = F.slice(ids, F.lit(1), F.greatest(length, F.lit(0)).cast("int"))
     return F.filter(collapse_repeats(ids), lambda x: x != blank)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def forward_score(log_probs: np.ndarray, target: np.ndarray, blank: int) -> float:
@@ -27,10 +28,18 @@ def forward_score(log_probs: np.ndarray, target: np.ndarray, blank: int) -> floa
 
 
 def ctc_score(
-    utterances: DataFrame, key: str, log_probs: str, target: str, blank: int = 0, zero_infinity: bool = False
+    utterances: DataFrame,
+    key: str,
+    log_probs: str,
+    target: str,
+    blank: int = 0,
+    zero_infinity: bool = False,
+    length: str | None = None,
 ) -> DataFrame:
     """``(key, n_tokens, nll)`` for rows with the frames' log-probabilities and the target ids.
 
+    ``length`` names the number of frames that count; those after it are padding.
+
     Works in log space, so long inputs neither underflow nor need rescaling.
     """
 
@@ -46,4 +55,7 @@ def ctc_score(
             yield pd.DataFrame({key: batch[key], "n_tokens": batch[target].map(len), "nll": values})
 
     schema = f"{key} {utterances.schema[key].dataType.simpleString()}, n_tokens bigint, nll double"
-    return utterances.select(key, log_probs, target).mapInPandas(score, schema)
+    frames = F.col(log_probs)
+    if length is not None:
+        frames = F.slice(frames, F.lit(1), F.greatest(F.col(length), F.lit(0)).cast("int"))
+    return utterances.select(key, frames.alias(log_probs), target).mapInPandas(score, schema)

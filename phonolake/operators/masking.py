@@ -60,12 +60,10 @@ def spec_augment(
 ) -> DataFrame:
     """Overwrite drawn dimension bands and frame spans of every utterance.
 
-    Masked cells take ``mask_value``, or the utterance's own mean. Narrow
-    features (fewer than ``freq_width`` dimensions) pass unchanged. Length and
+    Masked cells take ``mask_value``, or the utterance's own mean. A band
+    is never wider than the features have dimensions. Length and
     mean are one partial aggregate per utterance, joined back to the frames.
     """
-    if n_dims < freq_width:
-        return frames
     base = (seed, epoch, F.col(key))
     cells = F.aggregate(feat, F.lit(0.0), lambda acc, x: acc + x)
     per_utt = frames.groupBy(key).agg(
@@ -79,7 +77,7 @@ def spec_augment(
             randint(size - wide, name, "from", number, *base).alias("first"), wide.alias("wide")
         )
 
-    bands = [drawn("freq", i, F.lit(freq_width), F.lit(n_dims)) for i in range(freq_bands)]
+    bands = [drawn("freq", i, F.lit(min(freq_width, n_dims)), F.lit(n_dims)) for i in range(freq_bands)]
     spans = [drawn("time", i, limit, F.col("_n")) for i in range(time_spans)]
     none = F.array().cast("array<struct<first:int,wide:int>>")
     draws = per_utt.select(

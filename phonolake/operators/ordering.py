@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .joins import broadcast_if_small
 
 
 def ordered_scan(
@@ -109,7 +108,8 @@ def line_index(lines: DataFrame, index: str = "line_no") -> DataFrame:
 
     ``lines`` must carry ``file``, ``block`` and ``row`` from ``read_lines``.
     The scan numbers rows inside each file block; block counts, a table of one
-    row per block, are summed up, written, and sent back to the rows.
+    row per block, are summed up, written, and joined back to the rows. The
+    lines are a written table, so that both readings see the same blocks.
     """
     blocks = lines.groupBy("file", "block").agg(F.min("row").alias("first_row"), F.count("*").alias("n"))
     folder = F.regexp_extract("file", "^(.*)/", 1)
@@ -118,10 +118,10 @@ def line_index(lines: DataFrame, index: str = "line_no") -> DataFrame:
     starts = blocks.select(
         "file", "block", "first_row", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
     )
-    starts = broadcast_if_small(materialise(starts, "line-blocks"))
-    return lines.join(starts, ["file", "block"]).select(
+    start = F.when(F.col("start").isNull(), F.raise_error(F.lit("a line of an unknown block"))).otherwise(F.col("start"))
+    return lines.join(materialise(starts, "line-blocks"), ["file", "block"], "left").select(
         *[c for c in lines.columns if c not in ("block", "row")],
-        (F.col("start") + F.col("row") - F.col("first_row")).cast("bigint").alias(index),
+        (start + F.col("row") - F.col("first_row")).cast("bigint").alias(index),
     )
 
 

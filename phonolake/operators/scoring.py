@@ -13,7 +13,7 @@ from ..functions.sequences import argmax, cross_entropy
 # surrogates, and from U+10000 on beyond them (so no byte-order mark can arise).
 LOW_CODE_POINTS = 0xD800
 CODE_POINT_JUMP = 0x10000 - LOW_CODE_POINTS
-DISTINCT_LIMIT = 0x110000 - CODE_POINT_JUMP - 1
+DISTINCT_LIMIT = 0x110000 - CODE_POINT_JUMP - 2
 
 
 def code_point(number: Column) -> Column:
@@ -25,24 +25,27 @@ def with_edit_distance(df: DataFrame, pairs: Mapping[str, tuple[str, str]]) -> D
     """Add unit-cost edit distances; ``pairs`` maps a new column to two token-array columns.
 
     Each distinct token of a pair becomes one code point, and the built-in
-    ``levenshtein`` compares the two strings. The distinct tokens are a column
+    ``levenshtein`` compares the two strings. A missing side is an empty one, a
+    NULL token a token like others. The distinct tokens are a column
     of their own step, so both sides look up the same one.
     """
     columns = df.columns
     for new, (left, right) in pairs.items():
-        seen = F.array_distinct(F.concat(left, right))
+        sides = [F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType)) for c in (left, right)]
+        seen = F.array_distinct(F.concat(*sides))
         checked = F.when(
             F.size(seen) > DISTINCT_LIMIT, F.raise_error(F.lit("too many distinct tokens in one pair"))
         ).otherwise(seen)
         df = df.withColumn("_seen", checked)
 
-        def spelled(side: str) -> Column:
-            numbers = F.transform(side, lambda t: F.array_position("_seen", t))
+        def spelled(side: Column) -> Column:
+            # 1 is NULL, which has no position.
+            numbers = F.transform(side, lambda t: F.coalesce(F.array_position("_seen", t), F.lit(0)) + 1)
             digits = F.transform(numbers, lambda n: F.lpad(F.hex(code_point(n)), 8, "0"))
             return F.decode(F.unhex(F.array_join(digits, "")), "UTF-32")
 
         columns = [*columns, new]
-        df = df.withColumn(new, F.levenshtein(spelled(left), spelled(right)).cast("bigint")).select(*columns)
+        df = df.withColumn(new, F.levenshtein(*map(spelled, sides)).cast("bigint")).select(*columns)
     return df
 
 
@@ -54,7 +57,7 @@ def error_rate(errors: Column, total: Column) -> Column:
 def score_pairs(df: DataFrame, hyp: str, ref: str) -> DataFrame:
     """Per sentence: ``err`` edits and ``n_ref`` reference tokens."""
     scored = with_edit_distance(df, {"err": (hyp, ref)})
-    return scored.withColumn("n_ref", F.size(ref).cast("bigint"))
+    return scored.withColumn("n_ref", F.coalesce(F.size(ref), F.lit(0)).cast("bigint"))
 
 
 def corpus_error_rate(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:

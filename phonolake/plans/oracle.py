@@ -153,11 +153,16 @@ oracle(
     "scan_manifest",
     f"WITH {MANIFEST} SELECT row_number() OVER (ORDER BY ind) - 1 AS ind, path, n_frames FROM manifest",
 )
+oracle(
+    "manifest_roundtrip",
+    f"""WITH {MANIFEST} SELECT row_number() OVER (ORDER BY ind) - 1 AS ind, ind::VARCHAR AS id, path AS audio,
+       n_frames::INT AS n_frames, tgt_text FROM manifest""",
+)
 oracle(
     "manifest_lines",
     rf"""WITH {MANIFEST}, esc AS (
-  SELECT ind, path, n_frames, replace(replace(replace(replace(tgt_text, '\', '\\'), chr(9), '\' || chr(9)),
-         chr(10), '\' || chr(10)), chr(13), '\' || chr(13)) AS tgt_text FROM manifest)
+  SELECT ind, path, n_frames, replace(replace(replace(replace(tgt_text, '\', '\\'), chr(9), '\t'),
+         chr(10), '\n'), chr(13), '\r') AS tgt_text FROM manifest)
 SELECT ind, concat_ws(chr(9), ind::VARCHAR, path, n_frames::VARCHAR, tgt_text) AS line FROM esc
 UNION ALL SELECT NULL, concat_ws(chr(9), 'id', 'audio', 'n_frames', 'tgt_text')""",
 )
@@ -176,7 +181,7 @@ oracle(
 SELECT source, doc_id, s AS "start", (s + b)::BIGINT AS "end" FROM o""",
 )
 oracle("build_dictionary", f"WITH {HYP_REF}, {dictionary(1)} SELECT symbol, id, n FROM dict")
-oracle("scan_dictionary", f"WITH {HYP_REF}, {dictionary(2)} SELECT symbol, id FROM dict")
+oracle("scan_dictionary", f"WITH {HYP_REF}, {dictionary(1)} SELECT symbol, id FROM dict")
 oracle(
     "frames_roundtrip",
     f"""WITH {FRAMES} SELECT utt_id, frame_idx, len(feat)::INT AS n_dims,
@@ -296,6 +301,11 @@ SELECT hr.utt_id, coalesce(string_agg(CASE WHEN id IS NULL THEN '<unk>' ELSE sym
          FILTER (WHERE pos IS NOT NULL), '') AS units
 FROM hr LEFT JOIN spread ON hr.utt_id = spread.utt_id LEFT JOIN dict USING (symbol) GROUP BY hr.utt_id""",
 )
+oracle(
+    "decode_ids_unknown",
+    "SELECT utt_id, CASE WHEN units = '' THEN '<unk>' ELSE units || ' <unk>' END AS units FROM "
+    f"({ORACLE['decode_ids']})",
+)
 oracle(
     "drop_oov",
     f"""WITH {HYP_REF}, {dictionary(2)},
@@ -393,6 +403,10 @@ oracle(
        round(count(*) FILTER (WHERE hit) / count(*), 6) AS accuracy FROM scored GROUP BY masked""",
 )
 oracle("wer_per_sentence", f"{SENTENCES} SELECT utt_id, err, n_ref FROM scored")
+oracle(
+    "wer_missing_hyp",
+    f"""{SENTENCES} SELECT utt_id, CASE WHEN utt_id % 5 = 0 THEN n_ref ELSE err END AS err, n_ref FROM scored""",
+)
 oracle("corpus_wer", CORPUS_WER)
 oracle(
     "error_totals",
@@ -507,6 +521,8 @@ oracle("run_fingerprint", f"SELECT doc_id, {fingerprint('text')} AS run_id FROM
 
 oracle("frame_argmax", f"WITH {LOGITS} SELECT vec_id, (list_position(z, list_max(z)) - 1)::INT AS best FROM logits")
 oracle("best_path", f"WITH {UNITS} SELECT utt_id, {joined(collapsed('units'))} AS path FROM units")
+CUT = ("FROM embeddings", "FROM embeddings WHERE vec_id % 20 < 20 - (vec_id // 20) % 7")
+oracle("best_path_cut", ORACLE["best_path"].replace(*CUT))
 oracle(
     "crop_sequences",
     f"""WITH {DOC_WORDS}, s AS (SELECT *, (doc_id % (greatest(n - 64, 0) + 1))::INT AS start FROM dw)
@@ -577,6 +593,7 @@ scores AS (
   SELECT utt_id, n, len(s) // 2 AS n_tokens, -ln(a[-1] + CASE WHEN len(a) > 1 THEN a[-2] ELSE 0 END) AS nll
   FROM walk JOIN states USING (utt_id) WHERE t = n - 1)"""
 oracle("ctc_score", f"{CTC} SELECT utt_id, round(nll, 6) AS nll FROM scores")
+oracle("ctc_score_cut", ORACLE["ctc_score"].replace(*CUT))
 oracle(
     "ctc_loss_report",
     f"""{CTC} SELECT round(sum(nll), 5) AS loss, sum(n_tokens)::BIGINT AS ntokens, count(*) AS nsentences,
@@ -743,7 +760,8 @@ paths AS (
 ids AS (SELECT utt_id, 'r' AS side, {collapsed('u')} AS i FROM paths
         UNION ALL SELECT utt_id, 'h', {collapsed('v')} FROM paths),
 spread AS (SELECT utt_id, side, unnest(i) AS id, generate_subscripts(i, 1) AS pos FROM ids),
-names AS (SELECT utt_id, side, string_agg(symbol, ' ' ORDER BY pos) AS t FROM spread JOIN dict USING (id) GROUP BY utt_id, side),
+names AS (SELECT utt_id, side, string_agg(coalesce(symbol, '<unk>'), ' ' ORDER BY pos) AS t
+  FROM spread LEFT JOIN dict USING (id) WHERE id NOT IN (0, 2) GROUP BY utt_id, side),
 sides AS (SELECT p.utt_id, {split_words(words_of("coalesce(h.t, '')"))} AS hyp, {split_words("coalesce(r.t, '')")} AS ref
   FROM paths p LEFT JOIN names h ON h.utt_id = p.utt_id AND h.side = 'h' LEFT JOIN names r ON r.utt_id = p.utt_id AND r.side = 'r'),
 pair AS (SELECT utt_id AS id, 'w' AS kind, hyp AS a, ref AS b FROM sides), {EDIT}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import sequences as seq
 from ..functions import text as txt
 from ..operators import batching, ctc, features, filters, masking, ordering, scoring, selection, signal
-from ..session import materialise, scratch_path, spread
+from ..session import materialise, scratch_path
 from ..sources import corpus, dictionary, reports
 from ..sources import features as stored
 from ..streaming import running
@@ -66,10 +66,17 @@ def _manifest_rows(spark, folder):
 @query
 def scan_manifest(spark, folder):
     path = scratch_path(spark, "manifest")
-    corpus.write_manifest(_manifest_rows(spark, folder), "ind", path, text=txt.squeeze(F.col("tgt_text")))
+    corpus.write_manifest(_manifest_rows(spark, folder), "ind", path)
     return corpus.scan_manifest(spark, path)
 
 
+@query
+def manifest_roundtrip(spark, folder):
+    path = scratch_path(spark, "manifest-whole")
+    corpus.write_manifest(_manifest_rows(spark, folder), "ind", path)
+    return corpus.read_manifest(spark, path)
+
+
 @query
 def manifest_lines(spark, folder):
     return corpus.manifest_lines(_manifest_rows(spark, folder), "ind")
@@ -104,7 +111,7 @@ def build_dictionary(spark, folder):
 @query
 def scan_dictionary(spark, folder):
     path = scratch_path(spark, "dictionary-text")
-    dictionary.write_dictionary(_dictionary(spark, folder, 2), path)
+    dictionary.write_dictionary(_dictionary(spark, folder, 1), path)
     return dictionary.scan_dictionary(spark, path).select("symbol", "id")
 
 
@@ -270,6 +277,14 @@ def decode_ids(spark, folder):
     return dictionary.decode_ids(_encoded(spark, folder, words), "utt_id", "ids", words)
 
 
+@query
+def decode_ids_unknown(spark, folder):
+    """Begin, an id of no symbol and end around every utterance."""
+    words = _dictionary(spark, folder, 2)
+    ids = F.concat(F.array(F.lit(dictionary.BOS)), "ids", F.array(F.lit(1 << 30), F.lit(dictionary.EOS)))
+    return dictionary.decode_ids(_encoded(spark, folder, words).withColumn("ids", ids), "utt_id", "ids", words)
+
+
 @query
 def drop_oov(spark, folder):
     words = _dictionary(spark, folder, 2)
@@ -387,6 +402,15 @@ def wer_per_sentence(spark, folder):
     return _scored(spark, folder).select("utt_id", "err", "n_ref")
 
 
+@query
+def wer_missing_hyp(spark, folder):
+    """Every fifth hypothesis is missing: all its words are deleted."""
+    pairs = standins.hyp_ref(spark, folder)
+    heard = pairs.where("utt_id % 5 <> 0").select("utt_id", "hyp")
+    gaps = pairs.select("utt_id", "ref").join(heard, "utt_id", "left")
+    return scoring.score_pairs(gaps, "hyp", "ref").select("utt_id", "err", "n_ref")
+
+
 def corpus_wer_totals(spark, folder):
     return scoring.corpus_error_rate(_scored(spark, folder))
 
@@ -545,6 +569,16 @@ def best_path(spark, folder):
     return standins.unit_arrays(spark, folder).select("utt_id", joined(seq.best_path(F.col("units"))).alias("path"))
 
 
+def _input_length() -> Column:
+    return (20 - F.col("utt_id") % 7).cast("int")
+
+
+@query
+def best_path_cut(spark, folder):
+    path = seq.best_path(F.col("units"), length=_input_length())
+    return standins.unit_arrays(spark, folder).select("utt_id", joined(path).alias("path"))
+
+
 @query
 def crop_sequences(spark, folder):
     target = 64
@@ -617,14 +651,14 @@ def cross_entropy(spark, folder):
     return rows.select("vec_id", F.round(loss, 6).alias("nll"))
 
 
-def _gathered_log_probs(spark, folder):
+def _gathered_log_probs(spark, folder, length=None):
     rows = standins.frames(spark, folder).select("utt_id", "frame_idx", seq.log_softmax(F.col("feat")).alias("lp"), "unit")
     ordered = F.sort_array(F.collect_list(F.struct("frame_idx", "lp", "unit")))
     gathered = rows.groupBy("utt_id").agg(ordered.alias("rows"))
     arrays = gathered.select(
         "utt_id", F.transform("rows", lambda r: r["lp"]).alias("log_probs"), F.transform("rows", lambda r: r["unit"]).alias("units")
     )
-    return arrays.select("utt_id", "log_probs", seq.best_path(F.col("units")).alias("target"))
+    return arrays.select("utt_id", "log_probs", seq.best_path(F.col("units"), length=length).alias("target"))
 
 
 def _ctc_scored(spark, folder):
@@ -637,6 +671,13 @@ def ctc_score(spark, folder):
     return _ctc_scored(spark, folder).select("utt_id", rounded("nll"))
 
 
+@query
+def ctc_score_cut(spark, folder):
+    arrays = _gathered_log_probs(spark, folder, _input_length()).withColumn("n", _input_length())
+    scored = ctc.ctc_score(arrays, "utt_id", "log_probs", "target", zero_infinity=True, length="n")
+    return scored.select("utt_id", rounded("nll"))
+
+
 @query
 def ctc_loss_report(spark, folder):
     report = scoring.sequence_loss_report(_ctc_scored(spark, folder), "nll", "n_tokens", sentence_avg=False)
@@ -644,7 +685,7 @@ def ctc_loss_report(spark, folder):
 
 
 def _label_rows(spark, folder):
-    docs = spread(table(spark, folder, "documents").select("doc_id", "n_chars", "text"), "doc_id")
+    docs = table(spark, folder, "documents").select("doc_id", "n_chars", "text")
     words = docs.select(
         F.col("doc_id").alias("ind"), F.col("n_chars").alias("n_frames"), F.size(txt.tokens(F.col("text"))).alias("n_words")
     )

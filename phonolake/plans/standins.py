@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..session import spread
 
 LABEL_SETS = ["quality", "toxic"]
 
@@ -32,7 +31,7 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_words(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as token sequences: words are frames."""
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     words = docs.select("doc_id", tokens(F.col("text")).alias("words"))
     return words.withColumn("n_words", F.size("words"))
 
@@ -88,8 +87,7 @@ def as_hyp_ref(turns: DataFrame) -> DataFrame:
 
 
 def hyp_ref(spark: SparkSession, folder: str) -> DataFrame:
-    """Spread by utterance, so that spreading tokens and gathering them again needs no shuffle."""
-    return as_hyp_ref(spread(as_turns(table(spark, folder, "conversations")), "utt_id"))
+    return as_hyp_ref(as_turns(table(spark, folder, "conversations")))
 
 
 def to_pieces(words: str) -> Column:

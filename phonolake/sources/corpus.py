@@ -32,9 +32,26 @@ def scan_audio_list(spark: SparkSession, path: str) -> DataFrame:
     return parse_audio_list(spark.read.text(path))
 
 
+# The escapes of a field, the backslash first.
+ESCAPES = (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r"))
+
+
 def escape_field(field: Column) -> Column:
-    """Backslash before the characters that would break an unquoted TSV field."""
-    return F.regexp_replace(field, r"([\\\t\n\r])", r"\\$1")
+    """Backslash, tab, newline and return as two characters each, so that a field stays on its line."""
+    for plain, escaped in ESCAPES:
+        field = F.replace(field, F.lit(plain), F.lit(escaped))
+    return field
+
+
+def unescape_field(field: Column) -> Column:
+    """The inverse of ``escape_field``."""
+
+    def part(x: Column) -> Column:
+        for plain, escaped in ESCAPES[1:]:
+            x = F.replace(x, F.lit(escaped), F.lit(plain))
+        return x
+
+    return F.array_join(F.transform(F.split(field, r"\\\\", -1), part), "\\")
 
 
 def manifest_line(text: Column | None = None) -> Column:
@@ -83,12 +100,22 @@ def scan_manifest(
     )
     samples = fields.select(
         (F.col("line_no") - 1).alias("ind"),
-        F.get("fields", F.lit(1)).alias("path"),
+        unescape_field(F.get("fields", F.lit(1))).alias("path"),
         F.when(F.col("line_no") > 0, size).alias("n_frames"),
     )
     return filter_by_size(samples, "n_frames", min_keep, max_keep)
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """``(ind, id, audio, n_frames, tgt_text)`` as they were written; NULL texts come back empty."""
+    lines = read_lines(spark, path).where(F.col("line_no") > 0)
+    fields = F.split("value", "\t")
+    return lines.select(
+        (F.col("line_no") - 1).alias("ind"),
+        *[unescape_field(F.get(fields, F.lit(i))).alias(c) for i, c in enumerate(MANIFEST_COLUMNS)],
+    ).withColumn("n_frames", F.col("n_frames").cast("int"))
+
+
 def scan_labels(
     spark: SparkSession,
     path: str,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import broadcast_if_small
 from ..operators.ordering import ordered_scan
 from .lines import read_lines, write_lines
 
@@ -59,7 +60,7 @@ def _regrouped(df: DataFrame, key: str, out: str) -> DataFrame:
 def _looked_up(df: DataFrame, key: str, values: str, dictionary: DataFrame, on: str) -> DataFrame:
     """Look every array element up; an empty array keeps one row with a NULL element."""
     spread = df.select(key, F.posexplode_outer(values).alias("pos", on))
-    return spread.join(broadcast_if_small(dictionary), on, "left")
+    return spread.join(dictionary, on, "left")
 
 
 def encode_tokens(df: DataFrame, key: str, tokens: str, dictionary: DataFrame, out: str = "ids") -> DataFrame:
@@ -70,10 +71,16 @@ def encode_tokens(df: DataFrame, key: str, tokens: str, dictionary: DataFrame, o
     return encoded.withColumn(out, F.filter(out, lambda i: i.isNotNull()))
 
 
-def decode_ids(df: DataFrame, key: str, ids: str, dictionary: DataFrame, out: str = "units") -> DataFrame:
-    """``(key, out)``: id arrays as space-joined symbols."""
+def decode_ids(
+    df: DataFrame, key: str, ids: str, dictionary: DataFrame, out: str = "units", skip: Sequence[int] = (BOS, EOS)
+) -> DataFrame:
+    """``(key, out)``: id arrays as space-joined symbols; ``skip`` are left out, ids of no symbol are ``<unk>``.
+
+    Rows that share a key are joined into one, so ``key`` has to be unique.
+    """
     found = _looked_up(df, key, ids, dictionary.select("id", "symbol"), "id")
-    named = found.withColumn("found", F.col("symbol"))
+    shown = F.col("pos").isNotNull() & ~F.coalesce(F.col("id").isin(*skip), F.lit(False))
+    named = found.withColumn("found", F.when(shown, F.coalesce("symbol", F.lit(SPECIALS[UNK]))))
     return _regrouped(named, key, out).withColumn(out, F.array_join(out, " "))
 
 
@@ -95,7 +102,7 @@ def check_vocabulary(
         ).alias("s"),
     )
     spread = both.select(key, "s.side", F.posexplode_outer("s.tokens").alias("pos", "symbol"))
-    known = broadcast_if_small(vocabulary.select("symbol", F.lit(True).alias("known")))
+    known = vocabulary.select("symbol", F.lit(True).alias("known"))
     looked = spread.join(known, "symbol", "left")
     is_hyp, is_ref = F.col("side") == "hyp", F.col("side") == "ref"
     missing = F.col("known").isNull() & F.col("pos").isNotNull()

@@ -8,17 +8,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordering import line_index
+from ..session import materialise
 
 
 def read_lines(spark: SparkSession, path: str, index: str = "line_no") -> DataFrame:
-    """``(value, file, line_no)`` of all lines under ``path``, numbered in (file, offset) order."""
+    """``(value, file, line_no)`` of all lines under ``path``, numbered in (file, offset) order.
+
+    The text is scanned once and written with its blocks: a later scan may cut files into other blocks.
+    """
     lines = spark.read.text(path).select(
         "value",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
-    return line_index(lines, index)
+    return line_index(materialise(lines, "lines"), index)
 
 
 def write_lines(

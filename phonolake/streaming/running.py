@@ -24,27 +24,30 @@ def read_table_stream(spark: SparkSession, folder: str, name: str, schema: T.Str
     return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def run_to_end(stream: DataFrame, mode: str, name: str) -> DataFrame:
+def run_to_end(stream: DataFrame, mode: str, name: str, store: str | None = None) -> DataFrame:
     """Process all that is there and return what the stream wrote, with ``batch``, the micro-batch.
 
     Each micro-batch goes to its own folder, so a repeated one overwrites itself.
+    ``store`` is a folder for results and state: a later call with it goes on
+    where the last one stopped. Without one the stream starts anew.
     """
     spark = stream.sparkSession
-    target, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+    base = store.rstrip("/") if store else scratch_path(spark, name)
+    target, state = f"{base}/rows", f"{base}/state"
 
-    def store(rows: DataFrame, batch: int) -> None:
+    def keep(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{target}/batch={batch}")
 
     query = (
         stream.writeStream.outputMode(mode)
-        .foreachBatch(store)
+        .foreachBatch(keep)
         .option("checkpointLocation", state)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
-    spark.createDataFrame([], schema).write.mode("append").parquet(f"{target}/batch=-1")
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{target}/batch=-1")
     return spark.read.schema(schema).parquet(target)
 
 
@@ -55,17 +58,23 @@ def latest(written: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "row.*")
 
 
-def stream_cmvn(frames: DataFrame, feat: str = "feat") -> DataFrame:
+def stream_cmvn(frames: DataFrame, feat: str = "feat", store: str | None = None) -> DataFrame:
     """Normalisation statistics per dimension, kept up by a stream of frames."""
     cells = frames.select(F.posexplode(feat).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
     sums = cells.groupBy("dim").agg(
         F.count("*").alias("n"), F.sum("x").alias("sum"), F.sum(F.col("x") * F.col("x")).alias("sumsq")
     )
-    return finalise_cmvn(latest(run_to_end(sums, "update", "stream-cmvn"), ["dim"]))
+    return finalise_cmvn(latest(run_to_end(sums, "update", "stream-cmvn", store), ["dim"]))
 
 
 def stream_error_rate(
-    pairs: DataFrame, hyp: str, ref: str, key: str | None = None, at: str | None = None, watermark: str = "1 hour"
+    pairs: DataFrame,
+    hyp: str,
+    ref: str,
+    key: str | None = None,
+    at: str | None = None,
+    watermark: str = "1 hour",
+    store: str | None = None,
 ) -> DataFrame:
     """Running errors, reference words and their rate over a stream of sentence pairs.
 
@@ -79,12 +88,18 @@ def stream_error_rate(
     sums = scored.groupBy(F.lit("all").alias("run")).agg(
         F.count("*").alias("n_sent"), F.sum("err").alias("err"), F.sum("n_ref").alias("n_ref")
     )
-    totals = latest(run_to_end(sums, "update", "stream-wer"), ["run"])
+    totals = latest(run_to_end(sums, "update", "stream-wer", store), ["run"])
     return totals.withColumn("wer", error_rate(F.col("err"), F.col("n_ref"))).drop("run")
 
 
 def stream_throughput(
-    timings: DataFrame, at: str, tokens: str, seconds: str, window: str = "1 hour", watermark: str | None = None
+    timings: DataFrame,
+    at: str,
+    tokens: str,
+    seconds: str,
+    window: str = "1 hour",
+    watermark: str | None = None,
+    store: str | None = None,
 ) -> DataFrame:
     """Sentences, tokens and rates per tumbling window of event time.
 
@@ -99,5 +114,5 @@ def stream_throughput(
         .agg(F.count("*").alias("sentences"), F.sum(tokens).alias("tokens"), F.sum(seconds).alias("seconds"))
         .select(F.col("w.start").alias("window_start"), "sentences", "tokens", "seconds")
     )
-    totals = latest(run_to_end(sums, "update", "stream-throughput"), ["window_start"])
+    totals = latest(run_to_end(sums, "update", "stream-throughput", store), ["window_start"])
     return with_rates(totals)

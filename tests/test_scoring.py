@@ -57,8 +57,17 @@ def test_edit_distance_of_long_text_with_many_symbols(spark):
     assert scoring.with_edit_distance(df, {"d": ("a", "b")}).first()["d"] == 1
 
 
+def test_missing_sides_and_tokens_count(spark):
+    rows = [(None, ["a", "b"]), (["a"], None), (["a", None], ["a"]), ([None], [None]), (None, None)]
+    df = spark.createDataFrame(rows, "h array<string>, r array<string>")
+    scored = scoring.score_pairs(df, "h", "r")
+    assert [(r["err"], r["n_ref"]) for r in scored.collect()] == [(2, 2), (1, 0), (1, 1), (0, 1), (0, 0)]
+    totals = scoring.corpus_error_rate(scored).first()
+    assert (totals["n_sent"], totals["err"], totals["n_ref"], totals["wer"]) == (5, 4, 4, 100.0)
+
+
 def test_code_points_are_distinct_valid_and_ordered(spark):
-    edges = [1, 0xD7FF, 0xD800, scoring.DISTINCT_LIMIT]
+    edges = [1, 0xD7FF, 0xD800, scoring.DISTINCT_LIMIT + 1]
     df = spark.createDataFrame([(n,) for n in edges], "n bigint")
     assert [r[0] for r in df.select(scoring.code_point(F.col("n"))).collect()] == [1, 0xD7FF, 0x10000, 0x10FFFF]
 

@@ -99,7 +99,12 @@ def test_spec_augment_masks_whole_bands(spark):
         kept = ~gone
         want = np.array([[utt + t + d for d in range(40)] for t in range(50)], dtype=float)
         assert (grid[kept] == want[kept]).all()
-    assert masking.spec_augment(df, "utt", "t", "f", 20) is df
+    narrow = spark.createDataFrame([(1, t, [1.0] * 20) for t in range(60)], "utt int, t int, f array<double>")
+    masked = masking.spec_augment(narrow, "utt", "t", "f", 20, freq_bands=0, mask_value=-1.0, seed=4).collect()
+    spans = sum(r["f"] == [-1.0] * 20 for r in masked)
+    assert 0 < spans <= 2 * 40
+    banded = masking.spec_augment(narrow, "utt", "t", "f", 20, time_spans=0, mask_value=-1.0, seed=3).collect()
+    assert len({tuple(r["f"]) for r in banded}) == 1 and -1.0 in banded[0]["f"]
 
 
 def test_spec_augment_default_value_is_the_mean(spark):

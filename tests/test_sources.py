@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from phonolake.operators import filters
 from phonolake.operators.features import cmvn_by_dim, cmvn_row, normalise
+from phonolake.sources.lines import read_lines
 from phonolake.sources import corpus, dictionary, features, reports
 
 
@@ -38,7 +39,7 @@ def test_empty_manifest_gives_no_rows(spark, tmp_path):
 def test_manifest_escapes(spark):
     row = [(0, "a\tb", "p\\q", 3, "x\ny")]
     df = spark.createDataFrame(row, "ind bigint, id string, audio string, n_frames int, tgt_text string")
-    assert corpus.manifest_lines(df, "ind").where("ind = 0").first()["line"] == "a\\\tb\tp\\\\q\t3\tx\\\ny"
+    assert corpus.manifest_lines(df, "ind").where("ind = 0").first()["line"] == "a\\tb\tp\\\\q\t3\tx\\ny"
 
 
 def test_labels_align_with_the_unfiltered_manifest(spark, tmp_path):
@@ -73,12 +74,50 @@ def test_dictionary_and_tokens(spark, tmp_path):
     assert {r["utt"]: r["units"] for r in names.collect()} == {1: "b a a c", 2: "", 3: "<unk> a"}
 
 
-def test_encoding_without_broadcast_gives_the_same(spark, monkeypatch):
+def test_encoding_without_broadcast_gives_the_same(spark):
     df = spark.createDataFrame([(i, ["hot"] * 50 + [f"w{i}"]) for i in range(60)], "utt int, t array<string>")
     words = dictionary.build_dictionary(df, "t")
     wanted = {r["utt"]: r["ids"] for r in dictionary.encode_tokens(df, "utt", "t", words).collect()}
-    monkeypatch.setattr(dictionary, "broadcast_if_small", lambda table: table)
-    assert {r["utt"]: r["ids"] for r in dictionary.encode_tokens(df, "utt", "t", words).collect()} == wanted
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {r["utt"]: r["ids"] for r in dictionary.encode_tokens(df, "utt", "t", words).collect()} == wanted
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_decoding_unknown_and_special_ids(spark):
+    words = spark.createDataFrame([("<s>", 0), ("<pad>", 1), ("</s>", 2), ("<unk>", 3), ("A", 4)], "symbol string, id int")
+    ids = spark.createDataFrame([(1, [0, 4, 2, 9, 4]), (2, []), (3, None), (4, [2])], "utt int, ids array<int>")
+    got = {r["utt"]: r["units"] for r in dictionary.decode_ids(ids, "utt", "ids", words).collect()}
+    assert got == {1: "A <unk> A", 2: "", 3: "", 4: ""}
+
+
+def test_lines_keep_their_numbers_when_splits_change(spark, tmp_path):
+    """Blocks are cut differently between building and running the scan."""
+    (tmp_path / "t.txt").write_text("".join(f"line {i}\n" for i in range(20000)))
+    before = {"spark.sql.files.maxPartitionBytes": "128m", "spark.sql.files.openCostInBytes": "4m"}
+    after = {"spark.sql.files.maxPartitionBytes": "20k", "spark.sql.files.openCostInBytes": "1000"}
+    try:
+        for built, run in ((before, after), (after, before)):
+            for k, v in built.items():
+                spark.conf.set(k, v)
+            lines = read_lines(spark, str(tmp_path))
+            for k, v in run.items():
+                spark.conf.set(k, v)
+            rows = lines.select("value", "line_no").collect()
+            assert len(rows) == 20000 and all(r.value == f"line {r.line_no}" for r in rows)
+    finally:
+        for k in before:
+            spark.conf.unset(k)
+
+
+def test_manifest_survives_any_text(spark, tmp_path):
+    texts = ["a\nb\tc\rd", "back\\slash \\n not a newline", "\\", "\n\\\n", "", " padded ", "\\\\t"]
+    df = spark.createDataFrame([(i, str(i), f"p\t{i}", i, t) for i, t in enumerate(texts)], "ind bigint, id string, audio string, n_frames int, tgt_text string")
+    corpus.write_manifest(df, "ind", str(tmp_path / "m"))
+    got = corpus.read_manifest(spark, str(tmp_path / "m")).orderBy("ind").collect()
+    assert [(r.ind, r.id, r.audio, r.n_frames, r.tgt_text) for r in got] == [(i, str(i), f"p\t{i}", i, t) for i, t in enumerate(texts)]
+    assert [r.path for r in corpus.scan_manifest(spark, str(tmp_path / "m")).orderBy("ind").collect()] == [f"p\t{i}" for i in range(len(texts))]
 
 
 def test_unknown_tokens_leave_the_hypothesis_only(spark):

@@ -66,3 +66,17 @@ def test_watermark_keeps_rows_in_time(spark, tmp_path):
     whole, stream = split_table(spark, tmp_path, "events")
     got = running.stream_throughput(standins.timings(stream), "ts", "tokens", "seconds", watermark="60 days")
     assert got.agg(F.sum("sentences")).first()[0] == whole.count()
+
+
+def test_streams_go_on_where_they_stopped(spark, tmp_path):
+    rows = spark.range(60).selectExpr("id as utt", "IF(id % 5 = 0, NULL, array('a', 'b')) as hyp", "array('a', 'c', 'd') as ref")
+    folder, store = str(tmp_path / "pairs"), str(tmp_path / "store")
+    want = []
+    for part in range(3):
+        rows.where(f"utt % 3 = {part}").write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(rows.schema).parquet(folder)
+        got = running.stream_error_rate(stream, "hyp", "ref", store=store).first()
+        want = corpus_error_rate(score_pairs(rows.where(f"utt % 3 <= {part}"), "hyp", "ref")).first()
+        assert got.asDict() == want.asDict()
+    again = spark.readStream.schema(rows.schema).parquet(folder)
+    assert running.stream_error_rate(again, "hyp", "ref", store=store).first().asDict() == want.asDict()
