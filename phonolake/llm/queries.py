@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from phonolake.llm import sql
+from phonolake.llm import sql, sql_merkle
 from phonolake.llm.context_mixing import score_texts
 from phonolake.llm.cube import mix_sources
+from phonolake.llm.merkle import FIELDS, build_manifest, fold, leaf_of, leaves, proof_text
 from phonolake.llm.quality import score_quality
 from phonolake.llm.recompression import dedup_substrings
 from phonolake.llm.repetition import judge_repetition
@@ -75,6 +77,25 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest, and the root that each document leads to; one in five is tampered with: its A-Z are lower-cased."""
+    docs = table(spark, folder, "documents")
+    lowered = F.translate(F.col("text").cast("string"), string.ascii_uppercase, string.ascii_lowercase)
+    fields = [*[F.col(f"`{c}`") for c in FIELDS if c != "text"], lowered]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, leaf_of(fields))
+    out = build_manifest(leaves(docs, changed=tampered))
+    folded = fold(F.coalesce("changed", "leaf"))
+    return out.select(
+        public_id(),
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(proof_text(), 256).alias("proof_sha256"),
+        folded.alias("folded_root"),
+        (folded == F.col("root")).alias("verified"),
+    )
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -86,9 +107,11 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_url_filter": op10_url_filter,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
 LLM_SQL: dict[str, str] = {
     "op1_substring_dedup": sql.OP1,
     "op10_url_filter": sql.OP10,
+    "op11_merkle_manifest": sql_merkle.OP11,
 }
