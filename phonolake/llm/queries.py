@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +16,14 @@ from phonolake.llm.cube import mix_sources
 from phonolake.llm.merkle import FIELDS, build_manifest, fold, leaf_of, leaves, proof_text
 from phonolake.llm.quality import score_quality
 from phonolake.llm.recompression import dedup_substrings
+from phonolake.llm.repair import damage, group_of, repair_conversations
 from phonolake.llm.repetition import judge_repetition
 from phonolake.llm.reputation import filter_urls
 from phonolake.llm.simhash import near_duplicate_report
 from phonolake.llm.spaced_seeds import find_leaks
 from phonolake.llm.suffixes import remove_repeats
 from phonolake.llm.text import public_id
+from phonolake.llm.token_files import read_token_files, write_token_files
 from phonolake.llm.toxicity import score_toxicity
 
 
@@ -96,6 +99,23 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as read back from the files."""
+    files = write_token_files(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2)
+    return read_token_files(files).select(public_id(), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults and repair of every conversation after damage; one without rows has nothing to repair."""
+    conversations = table(spark, folder, "conversations")
+    found = repair_conversations(damage(conversations)).drop("conv_id")
+    names = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), group_of("conv_id").alias("grp")).distinct()
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    audit = F.coalesce("audit", F.lit("")).alias("audit")
+    text = F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    return names.join(found, "grp", "left").select("conv_id", *counts, audit, text)
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -108,6 +128,8 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_url_filter": op10_url_filter,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_token_files": op12_token_files,
+    "op13_conversation_repair": op13_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }
 LLM_SQL: dict[str, str] = {
