@@ -15,9 +15,13 @@ catalogue, a table. A file that no catalogue names, left by a lost task, is not
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import uuid
 from collections.abc import Iterator, Sequence
+from itertools import chain
+from string import ascii_lowercase
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from phonolake.llm.text import chunks, cut_words, keyed
+from phonolake.llm.text import SPACE, chunks, cut_words, keyed, lower_ascii
 from phonolake.operators.ordering import ordered_scan
 from phonolake.session import materialise, scratch_path
 
 #: A frame ends with the document that brings it to so many ids, a file with the frame that brings it to so many bytes.
 FRAME_IDS = 1 << 17
 FILE_BYTES = 64 << 20
-#: Distinct words whose ids a task remembers before it starts anew.
-REMEMBER = 1 << 20
+#: Bytes of text that a task encodes at once.
+CHUNK = 1 << 22
+#: Distinct pieces whose ids a task remembers before it starts anew.
+REMEMBER = 1 << 18
 LEVEL = 3
 VERSION = 1
 # The public seekable format of zstandard.
@@ -47,18 +53,38 @@ CHECKSUM_FLAG = 0x80
 FOOTER, FOOTER_BYTES = "<IBI", 9
 ENTRY, ENTRY_BYTES = "<III", 12
 
+# Fixed value: the pattern of the tokens in the tokenizer's definition.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ASCII_LETTERS = frozenset(ascii_lowercase)
+LETTER = np.zeros(256, bool)
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+
 CATALOGUE = "part int, seq int, file string, low long, high long, n_docs long, n_ids long"
 
 
+def by_pieces(definition: dict) -> bool:
+    """Whether the tokenizer is of the kind whose texts ``Encoder`` may encode piece by piece."""
+    steps = definition["pre_tokenizer"].get("pretokenizers") or [{}]
+    normal = [x["type"] for x in (definition["normalizer"] or {}).get("normalizers", [])]
+    split = steps[0].get("pattern") == {"Regex": PIECES} and [x.get("type") for x in steps[1:]] == ["ByteLevel"]
+    return split and normal == ["NFC", "Replace", "Lowercase"]
+
+
 class Encoder:
-    """Ids of texts, word by word: a word's ids do not depend on its neighbours.
+    """Ids of texts. A piece's ids do not depend on its neighbours, so each distinct piece is encoded once.
 
-    White space ends every token of the tokenizer, so that a text's ids are those of its
-    stretches without ASCII white space, one after the other. Each distinct one is encoded once.
+    A piece is a stretch without ASCII white space. Where such a stretch consists of Latin letters and
+    ASCII, without apostrophe or bar, its runs of letters and of other characters are pieces of their
+    own: the tokenizer's pattern ends a token between them. Letters are lower-cased, as the tokenizer
+    does, and go straight to its model, spelled in its alphabet of bytes. All other pieces take its
+    whole way. Texts of a tokenizer of another kind are encoded whole.
     """
 
     def __init__(self, definition: str):
         self.tokenizer = Tokenizer.from_str(definition)
+        self.pieces = by_pieces(json.loads(definition))
+        self.letters = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+        self.alphabet: dict[int, str] = {}
         self.forget()
 
     def forget(self) -> None:
@@ -66,42 +92,89 @@ class Encoder:
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.first = np.zeros(1 << 16, np.int64)
 
-    def learn(self, words: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        for at in range(0, len(texts), 4096):
-            found = self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)
-            lists = [x.ids for x in found]
-            sizes = np.array([len(x) for x in lists], np.int64)
-            n, new = len(self.known), int(sizes.sum())
-            while self.used + new > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while n + len(lists) + 1 > len(self.first):
-                self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-            self.ids[self.used : self.used + new] = [i for x in lists for i in x]
-            self.first[n + 1 : n + 1 + len(lists)] = self.used + np.cumsum(sizes)
-            self.used += new
-            self.known.update(zip(words[at : at + 4096], range(n, n + len(lists))))
+    def spelled(self, letters: str) -> str:
+        for x in set(letters) - ASCII_LETTERS:
+            if ord(x) not in self.alphabet:
+                normal = self.tokenizer.normalizer.normalize_str(x)
+                self.alphabet[ord(x)] = "".join(part for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal))
+        return letters.translate(self.alphabet)
+
+    def ids_of(self, pieces: list[bytes]) -> list[list[int]]:
+        out, rest, model = [], [], self.tokenizer.model
+        for k, piece in enumerate(pieces):
+            text = piece.decode("utf-8", "replace")
+            if self.letters.fullmatch(text):
+                out.append([x.id for x in model.tokenize(text if text.isascii() else self.spelled(text))])
+            else:
+                out.append([])
+                rest.append((k, text))
+        found = self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False)
+        for (k, _), x in zip(rest, found):
+            out[k] = x.ids
+        return out
+
+    def learn(self, pieces: list[bytes]) -> None:
+        lists = self.ids_of(pieces)
+        sizes = np.array([len(x) for x in lists], np.int64)
+        n, new = len(self.known), int(sizes.sum())
+        while self.used + new > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + len(lists) + 1 > len(self.first):
+            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
+        self.ids[self.used : self.used + new] = np.fromiter(chain.from_iterable(lists), np.uint32, new)
+        self.first[n + 1 : n + 1 + len(lists)] = self.used + np.cumsum(sizes)
+        self.used += new
+        self.known.update(zip(pieces, range(n, n + len(lists))))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, number of ids of each row)."""
-        words = cut_words(data, offsets)
-        if not len(words):
+        if not self.pieces:
+            texts = [data[lo:hi].tobytes().decode("utf-8", "replace") for lo, hi in zip(offsets[:-1], offsets[1:])]
+            lists = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.array([i for x in lists for i in x], np.uint32), np.array([len(x) for x in lists], np.int64)
+        body, starts, at = cut_pieces(data, offsets)
+        if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-        size = words.ends - words.starts
-        cut = np.append(0, np.cumsum(size))
-        body = data[np.repeat(words.starts - cut[:-1], size) + np.arange(cut[-1])]
-        column = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(body)])
+        ends = pa.py_buffer(np.append(starts, len(body)).astype(np.int64))
+        column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, ends, pa.py_buffer(body)])
         coded = column.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         if len(self.known) > REMEMBER:
             self.forget()
-        self.learn([w for w in distinct if w not in self.known])
-        place = np.array([self.known[w] for w in distinct], np.int64)[coded.indices.to_numpy()]
+        found = list(map(self.known.get, distinct))
+        fresh = [k for k, known in enumerate(found) if known is None]
+        for number, k in enumerate(fresh, len(self.known)):
+            found[k] = number
+        self.learn([distinct[k] for k in fresh])
+        place = np.array(found, np.int64)[coded.indices.to_numpy()]
         start, n = self.first[place], self.first[place + 1] - self.first[place]
         ends = np.cumsum(n)
         ids = self.ids[np.repeat(start - ends + n, n) + np.arange(int(ends[-1]))]
-        counts = np.diff(np.append(0, ends)[words.first])
-        return ids, counts
+        return ids, np.diff(np.append(0, ends)[at])
+
+
+def cut_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all pieces, where each begins, number of each row's first piece)."""
+    words = cut_words(data, offsets)
+    solid = ~SPACE[data]
+    body = data[solid]
+    size = words.ends - words.starts
+    begin = np.cumsum(size) - size
+    if not len(begin):
+        return body, begin, np.zeros(len(offsets), np.int64)
+    lead = (body >= 0xC3) & (body <= 0xC9)
+    after = np.append(body[1:], np.uint8(0))
+    lead &= ~((body == 0xC3) & ((after == 0x97) | (after == 0xB7))) & ~((body == 0xC4) & (after == 0xB0))
+    letter = LETTER[body] | lead
+    letter[1:] |= lead[:-1]
+    odd = ((body >= 0x80) & ~letter) | (body == 0x27) | (body == 0x7C)
+    plain = np.repeat(np.add.reduceat(odd, begin, dtype=np.int64) == 0, size)
+    fresh = np.zeros(len(body), bool)
+    fresh[1:] = plain[1:] & (letter[1:] != letter[:-1])
+    fresh[begin] = True
+    starts = np.flatnonzero(fresh)
+    body = np.where(plain, lower_ascii(body), body)
+    return body, starts, np.searchsorted(starts, np.append(begin, len(body))[words.first])
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> np.ndarray:
@@ -230,7 +303,7 @@ def write_token_files(
         for batch in batches:
             encoder = encoder or Encoder(shared.value)
             ids_of_rows = batch.column(0).to_numpy()
-            for base, data, offsets in chunks(batch.column(1)):
+            for base, data, offsets in chunks(batch.column(1), CHUNK):
                 ids, counts = encoder.encode(data, offsets)
                 if writer is None:
                     name = f"{part:05}-{made:05}-{uuid.uuid4().hex}.ids.zst"

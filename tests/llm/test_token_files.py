@@ -28,7 +28,7 @@ def tokenizer():
 
 def texts():
     rng = random.Random(3)
-    words = ["Hello,", "it's", "'s", "don't!", "Ünïcode", "éa", "東京", "123abc", "<|endoftext|>", "<|start", " x y", "ΟΔΟΣ", "İ", "a'll've", "...'s", "́", "𝒳", "\x00", "\x1c", "​", "naïve'T", "I'M"]
+    words = ["Hello,", "it's", "'s", "don't!", "Ünïcode", "éa", "東京", "123abc", "<|endoftext|>", "<|start", " x y", "ΟΔΟΣ", "İ", "a'll've", "...'s", "́", "𝒳", "\x00", "\x1c", "​", "naïve'T", "I'M", "ÉTÉ,", "×a÷b", "İb,", "ŉx.", "aя,b", "<|ENDOFTEXT|>", "a|b", "x1y22.", "ǅe!", "ſt", "ªº"]
     rows = [(k, rng.choice([" ", "\n", "\t ", "\r\n"]).join(rng.choice(words) for _ in range(rng.randint(0, 60)))) for k in range(300)]
     rows += [(400, None), (401, ""), (402, " \n"), (403, "word " * 40_000), (404, "x" * 20_000), (None, "null id"), (-5, "below zero"), (7, rows[7][1])]
     return rows
@@ -67,6 +67,27 @@ def test_small_frames_and_files(spark, many_blocks, tokenizer, tmp_path, monkeyp
     assert query(spark, rows, tmp_path) == expected(tokenizer, rows)
 
 
+def test_pieces_equal_whole_texts(tokenizer):
+    """Random strings over letters, marks, signs and cases near every border of the piece rules."""
+    rng = random.Random(11)
+    signs = [*"aZéÉßøØ×÷İıŉſǅɏɐÀ\u024f\u0301\u0307я東1²½'’|<>.,!-_\"\x00\x1c\x7f\u00a0\u200b 	\n", "'s", "'LL", "<|endoftext|>", "<|startoftext|>", "<|"]
+    rows = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 25))) for _ in range(4000)]
+    encoder = token_files.Encoder(open(PATH).read())
+    body = [r.encode() for r in rows]
+    ids, counts = encoder.encode(np.frombuffer(b"".join(body), np.uint8), np.cumsum([0] + [len(b) for b in body]))
+    got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    want = [tokenizer.encode(r, add_special_tokens=False).ids for r in rows]
+    assert [(r, g, w) for r, g, w in zip(rows, got, want) if g != w][:3] == []
+
+
+def test_other_tokenizers_take_whole_texts():
+    definition = open(public_tokenizers.path("byte_bpe_50k.json")).read()
+    encoder, plain = token_files.Encoder(definition), Tokenizer.from_str(definition)
+    body = "Two words,\n and  more".encode()
+    ids, counts = encoder.encode(np.frombuffer(body, np.uint8), np.array([0, len(body)]))
+    assert not encoder.pieces and ids.tolist() == plain.encode(body.decode(), add_special_tokens=False).ids and counts.tolist() == [len(ids)]
+
+
 def test_empty_table(spark, tmp_path):
     assert query(spark, [], tmp_path) == []
 
