@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import draw32, randint, uniform
-from ..functions.sequences import upto
+from ..functions.draws import permuted, randint, round_keys, uniform
 
 
 def span_mask(
@@ -21,9 +20,9 @@ def span_mask(
 ) -> DataFrame:
     """Add ``masked``, the sorted positions under spans that cover about ``mask_prob``.
 
-    The number of spans is rounded up or down by a seeded draw. Their starts are
-    the positions with the smallest draws, hence without replacement; spans may
-    overlap. All within the row: no shuffle.
+    The number of spans is rounded up or down by a seeded draw. Their starts are the
+    first positions of a keyed permutation, hence without replacement, in about as many steps
+    as there are spans; spans may overlap. All within the row: no shuffle.
     """
     base = (seed, epoch, F.col(key))
     n = F.col(length)
@@ -31,16 +30,13 @@ def span_mask(
     spans = F.greatest(wanted, F.lit(min_spans))
     # Starts come from the positions where a span fits, or from just enough positions.
     room = F.when(n - span <= spans, spans + 1).otherwise(n - span)
-    staged = df.withColumn("_spans", spans).withColumn("_room", room.cast("int"))
-    # Draw and position in one number: the draw above, the position in the low 31 bits.
-    drawn = F.transform(
-        upto(F.col("_room")), lambda p: F.shiftleft(draw32("start", *base, p), 31).bitwiseOR(p.cast("bigint"))
-    )
-    smallest = F.slice(F.sort_array(drawn), F.lit(1), F.col("_spans"))
-    starts = F.transform(smallest, lambda d: d.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    covered = F.flatten(F.transform(starts, lambda s: F.sequence(s, s + (span - 1))))
-    inside = F.filter(F.sort_array(F.array_distinct(covered)), lambda p: p < n)
-    return staged.withColumn("masked", inside).drop("_spans", "_room")
+    staged = df.select("*", spans.alias("_spans"), room.cast("bigint").alias("_room"), round_keys("start", *base).alias("_keys"))
+    starts = F.sort_array(permuted(F.col("_spans"), F.col("_room"), F.col("_keys")))
+    staged = staged.withColumn("_starts", starts)
+    # A span ends where the next one starts, so that positions come sorted and once.
+    stops = F.transform("_starts", lambda s, i: F.least(s + span, F.coalesce(F.get("_starts", i + 1), s + span), n.cast("bigint")))
+    covered = F.zip_with("_starts", stops, lambda s, e: F.when(s < e, F.sequence(s, e - 1)).otherwise(F.array().cast("array<bigint>")))
+    return staged.withColumn("masked", F.flatten(covered).cast("array<int>")).drop("_spans", "_room", "_keys", "_starts")
 
 
 def spec_augment(

@@ -4,49 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequences import argmax, cross_entropy
-
-# Distinct tokens of a pair are numbered from 1 and stand as code points: as they are below the
-# surrogates, and from U+10000 on beyond them (so no byte-order mark can arise).
-LOW_CODE_POINTS = 0xD800
-CODE_POINT_JUMP = 0x10000 - LOW_CODE_POINTS
-DISTINCT_LIMIT = 0x110000 - CODE_POINT_JUMP - 2
-
-
-def code_point(number: Column) -> Column:
-    """The code point that stands for the ``number``-th distinct token."""
-    return F.when(number < LOW_CODE_POINTS, number).otherwise(number + CODE_POINT_JUMP)
+from .edit_distance import distances
 
 
 def with_edit_distance(df: DataFrame, pairs: Mapping[str, tuple[str, str]]) -> DataFrame:
     """Add unit-cost edit distances; ``pairs`` maps a new column to two token-array columns.
 
-    Each distinct token of a pair becomes one code point, and the built-in
-    ``levenshtein`` compares the two strings. A missing side is an empty one, a
-    NULL token a token like others. The distinct tokens are a column
-    of their own step, so both sides look up the same one.
+    Arrow batches of the two columns go through a bit-parallel distance over token
+    numbers: any token type, any number of distinct tokens, texts of any length. A missing side is an
+    empty one, a NULL token a token like others.
     """
-    columns = df.columns
-    for new, (left, right) in pairs.items():
-        sides = [F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType)) for c in (left, right)]
-        seen = F.array_distinct(F.concat(*sides))
-        checked = F.when(
-            F.size(seen) > DISTINCT_LIMIT, F.raise_error(F.lit("too many distinct tokens in one pair"))
-        ).otherwise(seen)
-        df = df.withColumn("_seen", checked)
-
-        def spelled(side: Column) -> Column:
-            # 1 is NULL, which has no position.
-            numbers = F.transform(side, lambda t: F.coalesce(F.array_position("_seen", t), F.lit(0)) + 1)
-            digits = F.transform(numbers, lambda n: F.lpad(F.hex(code_point(n)), 8, "0"))
-            return F.decode(F.unhex(F.array_join(digits, "")), "UTF-32")
-
-        columns = [*columns, new]
-        df = df.withColumn(new, F.levenshtein(*map(spelled, sides)).cast("bigint")).select(*columns)
-    return df
+
+    @F.arrow_udf("bigint")
+    def edits(left: pa.Array, right: pa.Array) -> pa.Array:
+        return distances(left, right)
+
+    return df.select("*", *[edits(left, right).alias(new) for new, (left, right) in pairs.items()])
 
 
 def error_rate(errors: Column, total: Column) -> Column:

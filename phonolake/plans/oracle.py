@@ -121,15 +121,27 @@ WORD_BATCHES = DOC_WORDS + ",\n" + buckets("dw", "doc_id", "n", 8000, 32, 64)
 
 
 def spans(rows: str, key: str, length: str) -> str:
-    """``masked(key, n_masked, masked)`` for the rows' lengths."""
+    """``masked(key, n_masked, masked)`` for the rows' lengths: starts by a keyed permutation in four rounds."""
+
+    def turn(value: str, number: int) -> str:
+        digits = f"('0x' || substr(md5('start:1337:1:' || k), {8 * number + 1}, 8))::BIGINT % 2147483647"
+        shifted = f"(({value} + {digits}) % 2147483647)"
+        return f"{shifted} * {shifted} % 2147483647"
+
     return f"""sized AS (
   SELECT {key} AS k, {length} AS len, greatest(2, floor(0.8::DOUBLE * {length} / 10
            + {draw(f"'spans:1337:1:' || {key}")} / 4294967296.0::DOUBLE))::INT AS spans FROM {rows}),
 roomy AS (SELECT *, CASE WHEN len - 10 <= spans THEN spans + 1 ELSE len - 10 END AS room FROM sized),
+grid AS (SELECT *, ((room + wide - 1) // wide)::BIGINT AS high FROM (SELECT *, ceil(sqrt(room))::BIGINT AS wide FROM roomy)),
+cells AS (SELECT *, i % wide AS x0, i // wide AS y0 FROM (
+  SELECT *, unnest(range(0, least(spans + wide, wide * high))) AS i FROM grid)),
+one AS (SELECT *, (x0 + {turn("y0", 0)}) % wide AS x1 FROM cells),
+two AS (SELECT *, (y0 + {turn("x1", 1)}) % high AS y1 FROM one),
+three AS (SELECT *, (x1 + {turn("y1", 2)}) % wide AS x2 FROM two),
+four AS (SELECT *, (y1 + {turn("x2", 3)}) % high AS y2 FROM three),
 drawn AS (
-  SELECT k, len, spans, p, row_number() OVER (PARTITION BY k ORDER BY d, p) AS nth FROM (
-    SELECT k, len, spans, p, {draw("'start:1337:1:' || k || ':' || p")} AS d
-    FROM (SELECT k, len, spans, unnest(range(0, room)) AS p FROM roomy))),
+  SELECT k, len, spans, x2 + wide * y2 AS p, row_number() OVER (PARTITION BY k ORDER BY i) AS nth FROM four
+  WHERE x2 + wide * y2 < room),
 covered AS (
   SELECT DISTINCT k, q FROM (SELECT k, len, unnest(range(p, p + 10)) AS q FROM drawn WHERE nth <= spans)
   WHERE q < len),

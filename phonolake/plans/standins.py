@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import deal
 
 LABEL_SETS = ["quality", "toxic"]
 
@@ -31,7 +32,7 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_words(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as token sequences: words are frames."""
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = deal(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
     words = docs.select("doc_id", tokens(F.col("text")).alias("words"))
     return words.withColumn("n_words", F.size("words"))
 
@@ -87,7 +88,7 @@ def as_hyp_ref(turns: DataFrame) -> DataFrame:
 
 
 def hyp_ref(spark: SparkSession, folder: str) -> DataFrame:
-    return as_hyp_ref(as_turns(table(spark, folder, "conversations")))
+    return as_hyp_ref(deal(as_turns(table(spark, folder, "conversations")), "utt_id"))
 
 
 def to_pieces(words: str) -> Column:

@@ -60,3 +60,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def deal(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows over as many tasks as shuffles have, by key, for work that is heavy per row.
+
+    A scan has a task per row group at most, so that a file written as one row group would keep all the
+    work behind it in one task. The plan is the same at every size; select the needed columns before.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

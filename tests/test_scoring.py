@@ -5,13 +5,14 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from phonolake.functions import sequences as seq
-from phonolake.operators import scoring
+from phonolake.operators import edit_distance, scoring
 from phonolake.operators.ctc import ctc_score, forward_score
 
 
@@ -66,33 +67,34 @@ def test_missing_sides_and_tokens_count(spark):
     assert (totals["n_sent"], totals["err"], totals["n_ref"], totals["wer"]) == (5, 4, 4, 100.0)
 
 
-def test_code_points_are_distinct_valid_and_ordered(spark):
-    edges = [1, 0xD7FF, 0xD800, scoring.DISTINCT_LIMIT + 1]
-    df = spark.createDataFrame([(n,) for n in edges], "n bigint")
-    assert [r[0] for r in df.select(scoring.code_point(F.col("n"))).collect()] == [1, 0xD7FF, 0x10000, 0x10FFFF]
-
-
-def test_edit_distance_beyond_the_low_code_points(spark):
-    words = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(56_000)), lambda i: F.concat(F.lit("t"), i)).alias("all"))
-    # Only a few tokens are compared, but their numbers lie on both sides of the gap.
-    pair = words.select(
-        F.slice("all", 55_290, 20).alias("b"), F.concat(F.slice("all", 55_290, 9), F.slice("all", 55_300, 10)).alias("a"), "all"
-    )
-    far = pair.select("a", "b", F.transform("a", lambda t: F.array_position("all", t)).alias("n"), "all")
-    spelled = far.select(
-        *[
-            F.decode(
-                F.unhex(
-                    F.array_join(
-                        F.transform(c, lambda t: F.lpad(F.hex(scoring.code_point(F.array_position("all", t))), 8, "0")), ""
-                    )
-                ),
-                "UTF-32",
-            ).alias(c)
-            for c in ("a", "b")
-        ]
-    ).select(F.levenshtein("a", "b"), F.length("a"), F.length("b"))
-    assert tuple(spelled.first()) == (1, 19, 20)
+def test_bit_parallel_distance_equals_table():
+    draw = random.Random(7)
+    for _ in range(400):
+        v = draw.choice([1, 2, 4, 50, 5000])
+        a = [draw.randrange(v) for _ in range(draw.choice([0, 1, 63, 64, 65, draw.randrange(300)]))]
+        b = [draw.randrange(v) for _ in range(draw.choice([0, 1, 31, 64, 128, draw.randrange(300)]))]
+        if draw.random() < 0.3:
+            b = a[: len(a) // 2] + b[:5] + a[len(a) // 2 + draw.randrange(4) :]
+        assert edit_distance.distance(a, b) == distance(a, b)
+
+
+def test_long_pairs_take_seconds():
+    draw = np.random.default_rng(3)
+    a = draw.integers(0, 20_000, 50_000)
+    b = np.delete(a, draw.choice(len(a), 500, replace=False))
+    b[::100] = 30_000
+    begun = time.time()
+    found = edit_distance.distance(a.tolist(), b.tolist())
+    assert 500 < found <= 1000 and time.time() - begun < 15
+    many = list(range(1_200_000))
+    assert edit_distance.distance(many, [*many[:600_000], -1, *many[600_001:]]) == 1
+
+
+def test_token_types_and_order_of_sides(spark):
+    rows = [([1, 2, None, 3], [1, None, 3]), (None, [5]), ([], None), ([2**40, 7], [7, 2**40])]
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>").withColumn("c", F.col("b"))
+    out = scoring.with_edit_distance(df, {"d": ("a", "b"), "e": ("c", "a")}).collect()
+    assert [(r["d"], r["e"]) for r in out] == [(1, 1), (1, 1), (0, 0), (2, 2)]
 
 
 def test_rates_sum_first(spark):

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from phonolake.functions import sequences as seq
+from phonolake.functions import draws
 from phonolake.operators import masking, signal
 
 
@@ -73,6 +74,24 @@ def test_span_mask_invariants(spark):
     assert 0.35 < sum(long) / len(long) <= 0.65
 
 
+def test_permuted_positions(spark):
+    """Whole permutations hold every position once; a shorter draw is the beginning of a longer one; keys matter."""
+    rows = spark.range(1, 260).selectExpr("id", "id as room").withColumn("keys", draws.round_keys("start", 7, F.col("id")))
+    out = rows.select(
+        "room",
+        draws.permuted(F.col("room"), F.col("room"), F.col("keys")).alias("all"),
+        draws.permuted(F.ceil(F.col("room") / 3), F.col("room"), F.col("keys")).alias("some"),
+    ).collect()
+    for r in out:
+        assert sorted(r["all"]) == list(range(r["room"]))
+        assert r["all"][: len(r["some"])] == r["some"] and len(r["some"]) == -(-r["room"] // 3)
+    large = spark.range(400).select("id", F.lit(100).cast("bigint").alias("room")).withColumn("keys", draws.round_keys("s", F.col("id")))
+    first = [r[0] for r in large.select(draws.permuted(F.lit(10), F.col("room"), F.col("keys"))).collect()]
+    counts = np.bincount(np.concatenate(first), minlength=100)
+    assert len({tuple(f) for f in first}) == 400 and counts.min() > 15 and counts.max() < 75
+    assert abs(np.corrcoef([f[0] for f in first], [f[1] for f in first])[0, 1]) < 0.2
+
+
 def test_span_mask_spans_are_whole_in_long_utterances(spark):
     df = spark.createDataFrame([(1, 500)], "utt int, n int")
     masked = masking.span_mask(df, "utt", "n", 0.1, span=10, seed=1).first()["masked"]
