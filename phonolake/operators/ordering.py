@@ -101,6 +101,13 @@ def ordered_scan(
     return out.select(*columns, *made)
 
 
+def file_order(file: str) -> list[Column]:
+    """Folder, part number and name: the order in which Spark wrote the files of a folder."""
+    folder = F.regexp_extract(file, "^(.*)/", 1)
+    part = F.regexp_extract(file, r"/part-(\d+)[^/]*$", 1).try_cast("bigint")
+    return [folder, part, F.col(file)]
+
+
 def line_index(lines: DataFrame, index: str = "line_no") -> DataFrame:
     """0-based line number over the text files of one scan, in (folder, file, offset) order.
 
@@ -112,9 +119,7 @@ def line_index(lines: DataFrame, index: str = "line_no") -> DataFrame:
     lines are a written table, so that both readings see the same blocks.
     """
     blocks = lines.groupBy("file", "block").agg(F.min("row").alias("first_row"), F.count("*").alias("n"))
-    folder = F.regexp_extract("file", "^(.*)/", 1)
-    part = F.regexp_extract("file", r"/part-(\d+)[^/]*$", 1).try_cast("bigint")
-    before = Window.orderBy(folder, part, "file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(*file_order("file"), "block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select(
         "file", "block", "first_row", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
     )

@@ -184,6 +184,13 @@ oracle(
 SELECT 'words' AS label_set, row_number() OVER (ORDER BY doc_id) - 1 AS ind, n::INT AS n_tokens,
        {joined('words')} AS tokens FROM dw""",
 )
+oracle(
+    "labels_by_offset",
+    f"""WITH {DOC_WORDS}
+SELECT 'words' AS label_set, ind, n::INT AS n_tokens, coalesce(array_to_string(words, ' '), '') AS tokens
+FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS ind FROM dw) JOIN (SELECT doc_id, n_chars FROM documents) USING (doc_id)
+WHERE n_chars BETWEEN 1000 AND 5000""",
+)
 oracle(
     "label_offsets",
     """WITH o AS (

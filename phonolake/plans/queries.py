@@ -97,6 +97,18 @@ def label_offsets(spark, folder):
     return corpus.label_offsets(docs, "source", "doc_id", "text")
 
 
+@query
+def labels_by_offset(spark, folder):
+    """The labels of long enough samples only, read by their places in the files."""
+    path = scratch_path(spark, "labels")
+    rows = standins.manifest(spark, folder).select("ind", "n_frames", "tgt_text")
+    corpus.write_lines(rows, txt.squeeze(F.col("tgt_text")), [F.col("ind").asc()], path)
+    kept = filters.filter_by_size(rows.select("ind", "n_frames"), "n_frames", 1000, 5000)
+    places = corpus.scan_label_offsets(spark, path).join(kept.select("ind"), "ind", "left_semi")
+    labels = corpus.read_labels(places, "words", -1.0)
+    return labels.select("label_set", "ind", F.size("tokens").alias("n_tokens"), joined("tokens").alias("tokens"))
+
+
 def _dictionary(spark, folder, min_count=1):
     return materialise(
         dictionary.build_dictionary(standins.hyp_ref(spark, folder), "ref", min_count), "dictionary"

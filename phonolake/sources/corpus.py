@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import path_stem, strip, tokens
 from ..operators.filters import filter_by_size
-from ..operators.ordering import ordered_scan
+from ..operators.ordering import file_order, ordered_scan
+from .byte_ranges import read_ranges, scan_line_ranges
 from .lines import read_lines, write_lines
 
 # The manifest's columns, in file order.
@@ -141,3 +142,29 @@ def label_offsets(labels: DataFrame, file: str, order: str, line: str) -> DataFr
     sized = labels.withColumn("_bytes", F.octet_length(line).cast("bigint") + 1)
     placed = ordered_scan(sized.drop(line), [F.col(order)], [file], sums={"start": "_bytes"})
     return placed.withColumn("end", F.col("start") + F.col("_bytes") - 1).drop("_bytes")
+
+
+def scan_label_offsets(spark: SparkSession, path: str) -> DataFrame:
+    """``(ind, file, start, end)`` of the label files under ``path``: where line i is, without its text."""
+    lines = scan_line_ranges(spark, path, text=False).drop("line")
+    placed = ordered_scan(lines, [*file_order("file"), F.col("start")], position="ind")
+    return placed.select("ind", "file", "start", "end")
+
+
+def read_labels(
+    places: DataFrame,
+    label_set: str,
+    label_rate: float,
+    process: Callable[[Column], Column] = tokens,
+) -> DataFrame:
+    """``(label_set, label_rate, ind, tokens)`` of the samples in ``places`` ``(ind, file, start, end)``.
+
+    Only the bytes of these lines are read, and small gaps between them.
+    """
+    lines = read_ranges(places.select("ind", "file", "start", "end"))
+    return lines.select(
+        F.lit(label_set).alias("label_set"),
+        F.lit(float(label_rate)).alias("label_rate"),
+        "ind",
+        process(F.col("line")).alias("tokens"),
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from phonolake.operators import filters
 from phonolake.operators.features import cmvn_by_dim, cmvn_row, normalise
 from phonolake.sources.lines import read_lines
-from phonolake.sources import corpus, dictionary, features, reports
+from phonolake.sources import byte_ranges, corpus, dictionary, features, reports
 
 
 def test_audio_list(spark, tmp_path):
@@ -205,3 +205,62 @@ def test_size_filter_reaches_the_scan(spark):
 def test_drop_null_source(spark):
     df = spark.createDataFrame([(1, None), (2, 5)], "id int, source int")
     assert [r["id"] for r in filters.drop_null_source(df, "source").collect()] == [2]
+
+
+def label_folder(tmp_path, lines_of_files):
+    for k, lines in enumerate(lines_of_files):
+        (tmp_path / f"part-{k:05}.txt").write_bytes(lines)
+    (tmp_path / "_SUCCESS").write_text("x\n")
+    (tmp_path / ".hidden").write_text("x\n")
+    return str(tmp_path)
+
+
+FILES = [b"one\n\ntwo three\n", b"", b"\n", "f\u00fcnf \u00e9t\u00e9\r\nlong ".encode() + b"x" * 5000 + b"\nlast", b"a\nb\n"]
+LINES = ["one", "", "two three", "", "f\u00fcnf \u00e9t\u00e9", "long " + "x" * 5000, "last", "a", "b"]
+
+
+@pytest.mark.parametrize("block", [1, 3, 7, 64, 1 << 20])
+def test_line_ranges_whatever_the_block(spark, tmp_path, block):
+    path = label_folder(tmp_path, FILES)
+    rows = byte_ranges.scan_line_ranges(spark, path, block_bytes=block if block > 3 else 700 * block).collect()
+    rows = sorted(rows, key=lambda r: (r["file"], r["start"]))
+    assert [r["line"] for r in rows] == LINES
+    for r in rows:
+        assert open(r["file"], "rb").read()[r["start"] : r["end"]].rstrip(b"\r").decode() == r["line"]
+
+
+def test_lines_starting_in_every_range():
+    body = b"".join(FILES)
+    for step in (1, 2, 5, 13):
+        found = []
+        for at in range(0, len(body), step):
+            starts, ends, data, first = byte_ranges.lines_starting_in(_Bytes(body), at, min(at + step, len(body)), len(body))
+            found += byte_ranges.line_column(data, starts - first, ends - first).to_pylist()
+        assert found == body.decode().replace("\r\n", "\n").removesuffix("\n").split("\n")
+
+
+class _Bytes:
+    def __init__(self, body):
+        self.body = body
+
+    def read_at(self, n, at):
+        return self.body[at : at + n]
+
+
+def test_labels_by_offset_read_only_their_bytes(spark, tmp_path):
+    lines = [f"label {k} " + "y" * (k % 50) * 40 for k in range(4000)]
+    path = label_folder(tmp_path, [("\n".join(lines[:2500]) + "\n").encode(), ("\n".join(lines[2500:])).encode()])
+    offsets = corpus.scan_label_offsets(spark, f"file://{path}")
+    kept = offsets.where("ind % 400 = 7 OR ind > 3990").cache()
+    labels = corpus.read_labels(kept, "words", 50.0)
+    want = corpus.scan_labels(spark, path, "words", 50.0).join(kept, "ind", "left_semi")
+    assert sorted(map(str, labels.collect())) == sorted(map(str, want.select(labels.columns).collect()))
+    read = byte_ranges.read_ranges(kept).agg(F.sum("bytes_read"), F.sum(F.col("end") - F.col("start")), F.count("*")).first()
+    assert read[2] == 19 and read[1] <= read[0] <= read[1] + 19 * byte_ranges.GAP
+    assert read[0] < sum(len(x) for x in lines) / 20
+    kept.unpersist()
+
+
+def test_no_label_files(spark, tmp_path):
+    path = label_folder(tmp_path, [b""])
+    assert corpus.scan_label_offsets(spark, path).count() == 0
