@@ -2,14 +2,17 @@
 
 A window with no partition, or partitioned by a key that owns a third of the
 rows, runs in one task. ``ordered_scan`` range-partitions on (group, order)
-instead, so that a large group spreads over many blocks, numbers each block on
-its own and adds what the earlier blocks of the same group contribute.
+instead, so that a large group spreads over many blocks. Each task scans its block
+once, carrying state along, and what the earlier blocks of the same group contribute is added.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,17 +44,10 @@ def ordered_scan(
         .withColumn("_row", F.monotonically_increasing_id())
         .withColumn("_block", F.shiftrightunsigned("_row", 33))
     )
-    in_block = Window.partitionBy("_block", *group).orderBy("_row")
-    up_to_here = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     if group or sums or previous:
-        at = (F.row_number().over(in_block) - 1).cast("bigint")
-    else:  # the row's own number in its block; no second shuffle
-        at = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
-    scanned = ordered.withColumn("_at", at)
-    for new, source in sums.items():
-        scanned = scanned.withColumn(f"_thru_{new}", F.sum(source).over(up_to_here))
-    for new, source in previous.items():
-        scanned = scanned.withColumn(f"_back_{new}", F.lag(source).over(in_block))
+        scanned = scan_partitions(ordered, group, sums, previous)
+    else:  # the row's own number in its block
+        scanned = ordered.withColumn("_at", F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)))
     scanned = materialise(scanned, "ordered-scan")
 
     # One row per block: which group it starts and ends with, and the ending group's totals.
@@ -101,6 +97,90 @@ def ordered_scan(
     return out.select(*columns, *made)
 
 
+def scan_partitions(
+    ordered: DataFrame, group: Sequence[str], sums: Mapping[str, str], previous: Mapping[str, str]
+) -> DataFrame:
+    """Sorted partitions with ``_at``, ``_thru_*`` and ``_back_*`` within partition and group.
+
+    Each task goes through its rows once, batch by batch, and carries on from batch to batch the last
+    row's group, its place, the sums and the values to hand on: no second shuffle.
+    """
+    names = ordered.columns
+    keys = [names.index(c) for c in group]
+    added, kinds = [names.index(c) for c in sums.values()], []
+    for source in sums.values():
+        kind = ordered.schema[source].dataType.simpleString()
+        if kind not in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+            raise TypeError(f"a running sum of {source} needs numbers, not {kind}")
+        kinds.append("double" if kind in ("float", "double") else "bigint")
+    handed = [names.index(c) for c in previous.values()]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, place = None, 0
+        totals = [0.0 if k == "double" else 0 for k in kinds]
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            begins = np.zeros(n, bool)
+            for i in keys:
+                begins[1:] |= changes(batch.column(i))
+            first = tuple(batch.column(i)[0].as_py() for i in keys)
+            begins[0] = last is None or first != last[0]
+            start = np.maximum.accumulate(np.where(begins, np.arange(n), -1))
+            old = start < 0
+            at = np.where(old, np.arange(n) + place, np.arange(n) - start)
+            columns = [pa.array(at.astype(np.int64))]
+            for k, i in enumerate(added):
+                kind = np.float64 if kinds[k] == "double" else np.int64
+                column = batch.column(i)
+                values = np.nan_to_num(column.cast(pa.float64()).to_numpy(zero_copy_only=False)) if kind is np.float64 and column.null_count else None
+                if values is None:
+                    values = column.fill_null(0).to_numpy(zero_copy_only=False).astype(kind)
+                if kind is np.float64:
+                    thru = grouped_sums(values, np.flatnonzero(begins), totals[k])
+                else:
+                    run = np.cumsum(values)
+                    thru = np.where(old, run + totals[k], run - np.append(0, run)[np.maximum(start, 0)])
+                totals[k] = thru[-1]
+                columns.append(pa.array(thru))
+            for k, i in enumerate(handed):
+                column = batch.column(i)
+                head = pa.nulls(1, column.type) if begins[0] else last[1][k]
+                back = pa.concat_arrays([head, column.slice(0, n - 1)])
+                columns.append(pc.if_else(pa.array(begins), pa.scalar(None, column.type), back))
+            last = (tuple(batch.column(i)[n - 1].as_py() for i in keys), [batch.column(i).slice(n - 1, 1) for i in handed])
+            place = int(at[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*names, *made])
+
+    made = ["_at", *[f"_thru_{c}" for c in sums], *[f"_back_{c}" for c in previous]]
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields] + ["_at bigint"]
+    types += [f"`_thru_{c}` {k}" for c, k in zip(sums, kinds)]
+    types += [f"`_back_{c}` {ordered.schema[source].dataType.simpleString()}" for c, source in previous.items()]
+    return ordered.mapInArrow(task, ", ".join(types))
+
+
+def changes(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before; NULL equals NULL."""
+    left, right = column.slice(0, len(column) - 1), column.slice(1)
+    if pa.types.is_nested(column.type):
+        values = column.to_pylist()
+        return np.array([x != y for x, y in zip(values[1:], values)], bool)
+    differ = pc.fill_null(pc.not_equal(left, right), False).to_numpy(zero_copy_only=False)
+    return differ | (left.is_null().to_numpy(zero_copy_only=False) != right.is_null().to_numpy(zero_copy_only=False))
+
+
+def grouped_sums(values: np.ndarray, begins: np.ndarray, carried: float) -> np.ndarray:
+    """Running sums that start anew at ``begins``; the first stretch goes on from ``carried``."""
+    out = np.empty(len(values))
+    cuts = np.unique(np.concatenate([[0], begins, [len(values)]]))
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        out[lo:hi] = np.cumsum(values[lo:hi])
+        if lo == 0 and not (len(begins) and begins[0] == 0):
+            out[lo:hi] += carried
+    return out
+
+
 def file_order(file: str) -> list[Column]:
     """Folder, part number and name: the order in which Spark wrote the files of a folder."""
     folder = F.regexp_extract(file, "^(.*)/", 1)

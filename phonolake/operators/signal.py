@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +63,91 @@ def frame_waveforms(waveforms: DataFrame, key: str, samples: str, width: int, ho
     return waveforms.select(key, frames).withColumn("frame_idx", F.col("frame_idx").cast("bigint"))
 
 
+#: Frames that begin in a chunk of a waveform.
+CHUNK_HOPS = 4096
+
+
+def chunk_hops(width: int, hop: int, hops: int = CHUNK_HOPS) -> int:
+    """Hops per chunk, enough for a frame to reach into the next chunk only."""
+    return max(hops, -(-(width - hop) // hop), 1)
+
+
+def chunk_samples(
+    samples: DataFrame, key: str, order: Sequence[Column], value: str, width: int, hop: int, hops: int = CHUNK_HOPS
+) -> DataFrame:
+    """``(key, chunk, samples)`` of signals that are one row per sample.
+
+    A chunk holds a fixed number of hops and, as a halo, the samples after them that its last
+    frames reach. A signal of any length is a row per chunk, and each sample is in one array, in
+    two where it is in a halo.
+    """
+    long, halo = chunk_hops(width, hop, hops) * hop, max(width - hop, 0)
+    placed = ordered_scan(samples, order, [key], position="_at")
+    own = F.floor(F.col("_at") / long).cast("bigint")
+    early = (F.col("_at") % long < halo) & (own > 0)
+    rows = placed.select(key, value, "_at", F.explode(F.when(early, F.array(own - 1, own)).otherwise(F.array(own))).alias("chunk"))
+    ordered = F.sort_array(F.collect_list(F.struct("_at", value)))
+    return rows.groupBy(key, "chunk").agg(ordered.alias("_rows")).select(key, "chunk", F.col(f"_rows.{value}").alias("samples"))
+
+
+def chunk_waveforms(waveforms: DataFrame, key: str, samples: str, width: int, hop: int, hops: int = CHUNK_HOPS) -> DataFrame:
+    """``(key, chunk, samples)`` of signals that are whole arrays, one per row: no shuffle."""
+    long, halo = chunk_hops(width, hop, hops) * hop, max(width - hop, 0)
+    firsts = F.when(F.size(samples) > 0, F.sequence(F.lit(0), F.size(samples) - 1, F.lit(long)))
+    cut = F.transform(firsts, lambda at: F.slice(samples, at + 1, F.lit(long + halo)))
+    return waveforms.select(key, F.posexplode(cut).alias("chunk", "samples")).withColumn("chunk", F.col("chunk").cast("bigint"))
+
+
+def chunk_frames(samples: np.ndarray, width: int, hop: int, hops: int) -> np.ndarray:
+    """Complete frames that begin in a chunk, one per row."""
+    if len(samples) < width:
+        return np.zeros((0, width))
+    return np.lib.stride_tricks.sliding_window_view(samples, width)[::hop][:hops]
+
+
+def map_chunks(
+    chunks: DataFrame, key: str, make: Callable[[np.ndarray], np.ndarray], width: int, hop: int, hops: int, out: str, kind: str
+) -> DataFrame:
+    """``(key, frame_idx, out)``: ``make`` of each chunk's stack of frames, one value or vector a frame; no shuffle."""
+    many = chunk_hops(width, hop, hops)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                signal = batch.column(2)[k].values
+                stack = chunk_frames(signal.cast(pa.float64()).to_numpy(zero_copy_only=False) if signal is not None else np.zeros(0), width, hop, many)
+                if len(stack):
+                    made = make(stack)
+                    index = batch.column(1)[k].as_py() * many + np.arange(len(stack))
+                    keys = batch.column(0).take(pa.array(np.full(len(stack), k)))
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(index), vectors(made)], [key, "frame_idx", out])
+
+    schema = f"{key} {chunks.schema[key].dataType.simpleString()}, frame_idx bigint, {out} {kind}"
+    return chunks.select(key, "chunk", "samples").mapInArrow(task, schema)
+
+
+def vectors(made: np.ndarray) -> pa.Array:
+    """One value a row, or one list a row, as an Arrow column."""
+    if made.ndim == 1:
+        return pa.array(made)
+    ends = pa.array(np.arange(len(made) + 1, dtype=np.int32) * made.shape[1])
+    return pa.ListArray.from_arrays(ends, pa.array(made.reshape(-1)))
+
+
+def energy_of_chunks(chunks: DataFrame, key: str, width: int, hop: int, hops: int = CHUNK_HOPS) -> DataFrame:
+    """``(key, frame_idx, energy)`` of complete frames."""
+    return map_chunks(chunks, key, lambda stack: (stack * stack).sum(axis=1), width, hop, hops, "energy", "double")
+
+
+def log_mel_of_chunks(
+    chunks: DataFrame, key: str, sample_rate: float, width: int, hop: int, n_mels: int = 80, hops: int = CHUNK_HOPS
+) -> DataFrame:
+    """``(key, frame_idx, feat)`` of chunked waveforms: framed and transformed in one pass, no shuffle."""
+    return map_chunks(
+        chunks, key, lambda stack: log_mel_matrix(stack, sample_rate, n_mels), width, hop, hops, "feat", "array<double>"
+    )
+
+
 def resample_series(
     samples: DataFrame, key: str, at: str, value: str, step: int
 ) -> DataFrame:

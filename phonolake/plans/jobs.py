@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequences import argmax, best_path, stride_labels, strided_length, subsampled_length
 from ..functions.text import pieces_to_words, tokens
 from ..operators.batching import align_frame_labels, batch_by_bucket, pad_and_mask, with_target_size
-from ..operators.features import cmvn_by_dim
+from ..operators.features import SUMS, Sums, cmvn_of_sums
 from ..operators.filters import filter_by_size
 from ..operators.masking import span_mask
 from ..operators.scoring import score_pairs
-from ..operators.signal import gather_frames, log_mel, spread_to_frames
+from ..operators.signal import CHUNK_HOPS, chunk_frames, chunk_hops, log_mel_matrix, vectors
 from ..session import materialise
 from ..sources.dictionary import decode_ids
+from ..sources.features import FRAMES_SCHEMA
 
 
 class Prepared(NamedTuple):
@@ -26,32 +29,84 @@ class Prepared(NamedTuple):
     manifest: DataFrame
 
 
+# What the feature pass writes, by kind: frames, the number of frames of each chunk, and each task's vector sums.
+FEATURES_SCHEMA = (
+    "utt_id bigint, frame_idx int, feat array<float>, unit int, n_frames bigint, "
+    "n array<bigint>, sum array<double>, sumsq array<double>, kind string"
+)
+
+
+def write_features(
+    chunks: DataFrame, key: str, path: str, sample_rate: float, width: int, hop: int, n_mels: int, hops: int = CHUNK_HOPS
+) -> None:
+    """Chunked waveforms to log-mel frames under ``path``, in one pass without a shuffle.
+
+    The frames are in ``kind=frames`` with the columns of ``FRAMES_SCHEMA``. The same pass adds them up in double
+    precision, before they are stored in single: one row of sums a task, one row with its number of frames a chunk.
+    """
+    many = chunk_hops(width, hop, hops)
+    fields = [x.split(" ") for x in FEATURES_SCHEMA.split(", ")]
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<float>": pa.list_(pa.float32())}
+    kinds |= {"array<bigint>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
+
+    def rows(size: int, label: str, /, **columns: pa.Array) -> pa.RecordBatch:
+        given = {**columns, "kind": pa.array([label] * size)}
+        made = [given[c].cast(kinds[t]) if c in given else pa.nulls(size, kinds[t]) for c, t in fields]
+        return pa.RecordBatch.from_arrays(made, [c for c, _ in fields])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Sums()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                signal = batch.column(2)[k].values
+                stack = chunk_frames(signal.cast(pa.float64()).to_numpy(zero_copy_only=False), width, hop, many)
+                if not len(stack):
+                    continue
+                feats = log_mel_matrix(stack, sample_rate, n_mels)
+                sums.add(feats)
+                utt = batch.column(0).take(pa.array(np.full(len(stack), k)))
+                index = pa.array(batch.column(1)[k].as_py() * many + np.arange(len(stack)))
+                yield rows(len(stack), "frames", utt_id=utt, frame_idx=index, feat=vectors(feats.astype(np.float32)))
+                yield rows(1, "counts", utt_id=utt.slice(0, 1), n_frames=pa.array([len(stack)]))
+        yield rows(1, "sums", **dict(zip(SUMS, sums.row())))
+
+    kept = chunks.where(F.col("samples").isNotNull()).select(F.col(key).cast("bigint"), "chunk", "samples")
+    kept.mapInArrow(task, FEATURES_SCHEMA).write.partitionBy("kind").parquet(path)
+
+
+def read_features(spark: SparkSession, path: str, kind: str, *columns: str) -> DataFrame:
+    """One kind of what ``write_features`` wrote."""
+    return spark.read.schema(FEATURES_SCHEMA).parquet(path).where(F.col("kind") == kind).select(*columns)
+
+
 def prepare_features(
-    samples: DataFrame,
+    chunks: DataFrame,
     key: str,
-    order: Sequence[Column],
-    value: str,
     sample_rate: float,
     width: int,
     hop: int,
     n_mels: int,
     utterances: DataFrame,
+    path: str,
+    hops: int = CHUNK_HOPS,
 ) -> Prepared:
-    """Signals to frames, written once; statistics and frame counts are aggregates of that table.
+    """Chunked waveforms (see ``chunk_samples`` and ``chunk_waveforms``) to frames at ``path``, statistics and manifest.
 
-    ``utterances`` holds ``(key, audio, tgt_text)``; one too short for a frame is listed with none.
+    Frames are written once and not read again: statistics come from the pass's sums, frame counts from
+    its rows per chunk. ``utterances`` holds ``(key, audio, tgt_text)``; one too short for a frame is listed with none.
     """
-    spread = spread_to_frames(samples, key, order, width, hop)
-    feats = materialise(log_mel(gather_frames(spread, key, value, width), key, "samples", sample_rate, n_mels), "frames")
-    counts = feats.groupBy(key).agg(F.count("*").alias("n_frames"))
-    manifest = utterances.join(counts, key, "left").select(
+    spark = chunks.sparkSession
+    write_features(chunks, key, path, sample_rate, width, hop, n_mels, hops)
+    frames = read_features(spark, path, "frames", *FRAMES_SCHEMA.names)
+    counts = read_features(spark, path, "counts", "utt_id", "n_frames").groupBy("utt_id").agg(F.sum("n_frames").alias("n_frames"))
+    manifest = utterances.join(counts.withColumnRenamed("utt_id", key), key, "left").select(
         key,
         F.col(key).cast("string").alias("id"),
         "audio",
         F.coalesce("n_frames", F.lit(0)).cast("bigint").alias("n_frames"),
         "tgt_text",
     )
-    return Prepared(feats, cmvn_by_dim(feats), manifest)
+    return Prepared(frames, cmvn_of_sums(read_features(spark, path, "sums", *SUMS)), manifest)
 
 
 def assemble_training_set(

@@ -486,15 +486,18 @@ def best_hypothesis(spark, folder):
 
 
 FRAME_WIDTH, FRAME_HOP = 8, 4
+SIGNAL_HOPS = 64
 
 
-def _spread(spark, folder):
-    return signal.spread_to_frames(standins.signals(spark, folder), "user_id", by_time(), FRAME_WIDTH, FRAME_HOP)
+def _chunks(spark, folder, width, hop):
+    """Signals as chunked waveforms, small chunks so that signals have several."""
+    return signal.chunk_samples(standins.signals(spark, folder), "user_id", by_time(), "value", width, hop, SIGNAL_HOPS)
 
 
 @query
 def frame_signal(spark, folder):
-    energy = signal.frame_energy(_spread(spark, folder), "user_id", "value", FRAME_WIDTH)
+    chunks = _chunks(spark, folder, FRAME_WIDTH, FRAME_HOP)
+    energy = signal.energy_of_chunks(chunks, "user_id", FRAME_WIDTH, FRAME_HOP, SIGNAL_HOPS)
     return energy.withColumn("energy", rounded("energy", 4))
 
 
@@ -771,10 +774,8 @@ MEL_WIDTH, MEL_HOP, N_MELS, SAMPLE_RATE = 16, 8, 4, 16000.0
 
 
 def _log_mel(spark, folder):
-    rows = standins.signals(spark, folder)
-    spread = signal.spread_to_frames(rows, "user_id", by_time(), MEL_WIDTH, MEL_HOP)
-    frames = signal.gather_frames(spread, "user_id", "value", MEL_WIDTH)
-    return signal.log_mel(frames, "user_id", "samples", SAMPLE_RATE, N_MELS)
+    chunks = _chunks(spark, folder, MEL_WIDTH, MEL_HOP)
+    return signal.log_mel_of_chunks(chunks, "user_id", SAMPLE_RATE, MEL_WIDTH, MEL_HOP, N_MELS, SIGNAL_HOPS)
 
 
 @query
@@ -785,8 +786,8 @@ def log_mel(spark, folder):
 
 @query
 def waveform_features(spark, folder):
-    frames = signal.frame_waveforms(_waveforms(spark, folder), "vec_id", "samples", MEL_WIDTH, MEL_HOP)
-    feats = signal.log_mel(frames, "vec_id", "samples", SAMPLE_RATE, N_MELS)
+    chunks = signal.chunk_waveforms(_waveforms(spark, folder), "vec_id", "samples", MEL_WIDTH, MEL_HOP, 3)
+    feats = signal.log_mel_of_chunks(chunks, "vec_id", SAMPLE_RATE, MEL_WIDTH, MEL_HOP, N_MELS, 3)
     cells = feats.select("vec_id", "frame_idx", F.posexplode_outer("feat").alias("mel", "x"))
     return cells.withColumn("x", rounded("x"))
 
@@ -829,15 +830,15 @@ def _prepared(spark, folder):
     )
     utterances = users.withColumn("audio", F.concat(F.lit("/fbank/"), F.col("user_id").cast("string"), F.lit(".npy")))
     return jobs.prepare_features(
-        standins.signals(spark, folder),
+        _chunks(spark, folder, MEL_WIDTH, MEL_HOP),
         "user_id",
-        by_time(),
-        "value",
         SAMPLE_RATE,
         MEL_WIDTH,
         MEL_HOP,
         N_MELS,
         utterances,
+        scratch_path(spark, "features"),
+        SIGNAL_HOPS,
     )
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
+from phonolake.operators import ordering
 from phonolake.operators.ordering import epoch_order, ordered_indices, ordered_scan, shard_of_batch
 from phonolake.operators.selection import collapse_repeats, get_or_last
 from phonolake.sources.lines import read_lines
@@ -139,3 +141,35 @@ def test_longest_first(spark):
 def test_batches_are_dealt_in_turn(spark):
     out = shard_of_batch(spark.range(7).withColumnRenamed("id", "batch_id"), 3).orderBy("batch_id").collect()
     assert [(r["shard"], r["step"]) for r in out] == [(0, 0), (1, 0), (2, 0), (0, 1), (1, 1), (2, 1), (0, 2)]
+
+
+def test_scan_needs_one_exchange(many_blocks):
+    """The rows are dealt by range once; nothing is shuffled by block."""
+    df = many_blocks.range(1000).selectExpr("id % 3 AS g", "id", "cast(id % 7 as double) AS x")
+    ordered = df.repartitionByRange("g", "id").sortWithinPartitions("g", "id").withColumn("_row", F.monotonically_increasing_id())
+    scanned = ordering.scan_partitions(ordered, ["g"], {"s": "x"}, {"p": "id"})
+    assert scanned._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_scan_carries_over_batches(many_blocks):
+    """Batches of three rows: places, sums and values before go on across them, NULL groups and cells included."""
+    many_blocks.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = [(None if k % 5 == 0 else k % 3, k, None if k % 4 == 0 else k, None if k % 6 == 0 else k / 4, f"v{k}") for k in range(200)]
+        df = many_blocks.createDataFrame(rows, "g int, k int, n int, x double, v string")
+        out = ordering.ordered_scan(df, [F.col("k")], ["g"], "at", {"sn": "n", "sx": "x"}, {"before": "v"}).collect()
+    finally:
+        many_blocks.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(out) == 200
+    for g in (None, 0, 1, 2):
+        own = sorted((r for r in out if r["g"] == g), key=lambda r: r["k"])
+        n, x, before = 0, 0.0, None
+        for at, r in enumerate(own):
+            assert (r["at"], r["sn"], r["before"]) == (at, n, before) and abs(r["sx"] - x) < 1e-9
+            n, x, before = n + (r["n"] or 0), x + (r["x"] or 0), r["v"]
+
+
+def test_sums_of_text_are_refused(spark):
+    df = spark.createDataFrame([(1, "a")], "k int, t string")
+    with pytest.raises(TypeError, match="needs numbers"):
+        ordering.ordered_scan(df, [F.col("k")], sums={"s": "t"})

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from phonolake.functions import sequences as seq
 from phonolake.functions import draws
 from phonolake.operators import masking, signal
+from phonolake.operators.features import cmvn_by_dim
+from phonolake.plans import jobs
+from phonolake.sources.features import read_frames
 
 
 def test_frames_of_a_hot_signal(many_blocks):
@@ -34,6 +37,64 @@ def test_frames_of_a_hot_signal(many_blocks):
         assert energy == pytest.approx({k: sum(x * x for x in v) for k, v in want.items()})
 
 
+@pytest.mark.parametrize("width,hop,hops", [(8, 4, 5), (5, 3, 1), (3, 5, 4), (20, 2, 1), (8, 4, 4096)])
+def test_chunks_hold_all_frames(many_blocks, width, hop, hops):
+    """One long signal over many chunks, short ones, from samples and from arrays, against slices."""
+    draw = random.Random(9)
+    values = {u: [float(draw.randrange(100)) for _ in range(n)] for u, n in {0: 900, 1: 0, 2: 1, 3: 7, 4: 8, 5: 21, 6: 63}.items()}
+    want = {(u, i // hop): vs[i : i + width] for u, vs in values.items() for i in range(0, len(vs) - width + 1, hop)}
+    tall = many_blocks.createDataFrame([(u, t, v) for u, vs in values.items() for t, v in enumerate(vs)], "u int, t int, v double")
+    wide = many_blocks.createDataFrame(list(values.items()), "u int, s array<double>")
+    for chunks in (
+        signal.chunk_samples(tall.repartition(5), "u", [F.col("t").asc()], "v", width, hop, hops),
+        signal.chunk_waveforms(wide, "u", "s", width, hop, hops),
+    ):
+        many = signal.chunk_hops(width, hop, hops)
+        got = {}
+        for r in chunks.collect():
+            assert len(r["samples"]) <= many * hop + max(width - hop, 0)
+            for k, x in enumerate(signal.chunk_frames(np.array(r["samples"]), width, hop, many)):
+                got[r["u"], r["chunk"] * many + k] = x.tolist()
+        assert got == want
+        energy = {(r["u"], r["frame_idx"]): r["energy"] for r in signal.energy_of_chunks(chunks, "u", width, hop, hops).collect()}
+        assert energy == pytest.approx({k: sum(x * x for x in v) for k, v in want.items()})
+
+
+def test_features_in_one_pass(many_blocks, tmp_path):
+    """Frames, statistics and counts of the written pass against numpy; no exchange behind the chunks."""
+    rng = np.random.default_rng(4)
+    waves = {u: rng.normal(size=n).round(3).tolist() for u, n in {0: 3000, 1: 15, 2: 16, 3: 200}.items()}
+    wide = many_blocks.createDataFrame(list(waves.items()), "u bigint, s array<double>").repartition(3)
+    chunks = signal.chunk_waveforms(wide, "u", "s", 16, 8, 10)
+    feats = signal.log_mel_of_chunks(chunks, "u", 16000.0, 16, 8, 4, 10)
+    assert feats._jdf.queryExecution().executedPlan().toString().count("Exchange") == wide._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    utterances = wide.selectExpr("u", "'a' AS audio", "'t' AS tgt_text")
+    path = str(tmp_path / "features")
+    made = jobs.prepare_features(chunks, "u", 16000.0, 16, 8, 4, utterances, path, 10)
+    want = {}
+    for u, w in waves.items():
+        stack = [w[i : i + 16] for i in range(0, len(w) - 15, 8)]
+        if stack:
+            want.update({(u, k): x for k, x in enumerate(signal.log_mel_matrix(np.array(stack), 16000.0, 4))})
+    stored = read_frames(many_blocks, f"{path}/kind=frames").collect()
+    assert {(r["utt_id"], r["frame_idx"]) for r in stored} == set(want) and len(stored) == len(want)
+    assert all(np.allclose(r["feat"], want[r["utt_id"], r["frame_idx"]], rtol=1e-6) for r in stored)
+    assert made.frames.count() == len(want) and made.frames.schema.names == ["utt_id", "frame_idx", "feat", "unit"]
+    grid = np.array(list(want.values()))
+    stats = {r["dim"]: r for r in made.stats.collect()}
+    assert sorted(stats) == [0, 1, 2, 3]
+    for d, r in stats.items():
+        assert r["n"] == len(grid) and r["sum"] == pytest.approx(grid[:, d].sum()) and r["std"] == pytest.approx(grid[:, d].std(), rel=1e-5)
+    assert {r["u"]: r["n_frames"] for r in made.manifest.collect()} == {u: max(0, 1 + (len(w) - 16) // 8) for u, w in waves.items()}
+
+
+def test_vector_sums_equal_cells(spark):
+    rows = [([1.0, 2.0, 3.0],), ([4.0, None, 6.0],), (None,), ([],), ([7.0],)]
+    df = spark.createDataFrame(rows, "feat array<float>").repartition(3)
+    got = {r["dim"]: (r["n"], r["sum"], r["sumsq"]) for r in cmvn_by_dim(df).collect()}
+    assert got == {0: (3, 12.0, 66.0), 1: (2, 2.0, 4.0), 2: (2, 9.0, 45.0)}
+
+
 def test_array_framing_matches(spark):
     df = spark.createDataFrame([(list(range(n)),) for n in (0, 7, 8, 12, 13)], "s array<int>")
     got = [r[0] for r in df.select(seq.signal_frames(F.col("s"), 8, 4)).collect()]
