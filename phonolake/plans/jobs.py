@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequences import argmax, best_path, stride_labels, strided_length, subsampled_length
+from ..functions.sequences import apply_cmvn, argmax, best_path, crop, pad, padding_mask, stride_labels, subsampled_length
 from ..functions.text import pieces_to_words, tokens
-from ..operators.batching import align_frame_labels, batch_by_bucket, pad_and_mask, with_target_size
+from ..operators.batching import batch_by_bucket, with_target_size
 from ..operators.features import SUMS, Sums, cmvn_of_sums
 from ..operators.filters import filter_by_size
 from ..operators.masking import span_mask
 from ..operators.scoring import score_pairs
 from ..operators.signal import CHUNK_HOPS, chunk_frames, chunk_hops, log_mel_matrix, vectors
 from ..session import materialise
-from ..sources.dictionary import decode_ids
+from ..sources.dictionary import PAD, decode_ids
 from ..sources.features import FRAMES_SCHEMA
 
 
@@ -109,42 +109,91 @@ def prepare_features(
     return Prepared(frames, cmvn_of_sums(read_features(spark, path, "sums", *SUMS)), manifest)
 
 
+class LabelSet(NamedTuple):
+    """Labels of one kind: their column, labels a second (-1 for a sequence), every which one a frame takes, and the padding id."""
+
+    column: str
+    rate: float
+    stride: int = 1
+    pad_id: int = PAD
+
+
+def plan_labels(planned: DataFrame, labels: Mapping[str, LabelSet], sample_rate: float, pad_audio: bool) -> DataFrame:
+    """From sizes alone, for each label set: where a sample's labels start, how many it takes, and the batch's most.
+
+    Reads ``batch_id, start, target_size`` and the sizes ``_size_*``. A window holds a batch, which its capacity bounds.
+    """
+    in_batch = Window.partitionBy("batch_id")
+    for name, kind in labels.items():
+        size = F.col(f"_size_{name}")
+        if kind.rate < 0:
+            first, taken = F.lit(0), size
+        else:
+            ratio = F.lit(kind.rate / sample_rate)
+            first = F.bround(F.col("start") * ratio).cast("int")
+            wanted = F.bround(F.col("target_size") * ratio).cast("int")
+            if not pad_audio:
+                wanted = F.least(wanted, F.min(size - first).over(in_batch))
+            taken = F.greatest(F.least(wanted, size - first), F.lit(0))
+        planned = planned.withColumn(f"_first_{name}", first).withColumn(f"_taken_{name}", taken)
+        planned = planned.withColumn(f"_most_{name}", F.max(f"_taken_{name}").over(in_batch))
+    return planned
+
+
 def assemble_training_set(
     samples: DataFrame,
     key: str,
     source: str,
-    labels: str,
+    labels: Mapping[str, LabelSet],
     start: Column,
     sample_rate: float,
-    label_rate: float,
     min_keep: int,
     max_sample_size: int,
     max_tokens: int,
     max_sentences: int,
     mask_prob: float,
+    stats: DataFrame | None = None,
+    pad_audio: bool = False,
     width: int = 64,
     ratio: int = 2,
     seed: int = 0,
 ) -> DataFrame:
-    """Filter, batch, crop to the batch's size, align and stride labels, draw the span mask.
+    """Filter, batch, crop or pad to the batch's size, normalise, align and stride labels, draw the span mask.
 
-    Batches are planned on keys and sizes alone, written once as planning reads
-    them more than once; arrays join the plan afterwards.
+    Batches, crops and label stretches are planned on keys and sizes alone, written once as planning
+    reads them more than once; the arrays join that plan in a single exchange. ``start`` is over ``n``,
+    ``target_size`` and the key. With ``stats`` (one row of ``mean`` and ``std``) a source is a list of frames
+    that are normalised before padding, and padding is zero frames. Adds ``padding_mask``, ``n_sub``, ``masked``
+    and, for each label set, ``target_*`` and its length before padding, ``length_*``.
     """
-    sized = materialise(samples.select(key, F.size(source).alias("n")), "sizes")
-    kept = filter_by_size(sized, "n", min_keep)
-    planned = batch_by_bucket(kept, key, "n", max_tokens, max_sentences, width).drop("bucket")
-    targeted = with_target_size(planned, "n", max_sample_size, pad_audio=False)
-    rows = samples.join(targeted.drop("n"), key)
-    cropped = pad_and_mask(rows, source, "target_size", start, F.lit(0), pad_audio=False)
-    aligned = align_frame_labels(
-        cropped, labels, "target_size", "start", label_rate, sample_rate, pad_id=1, pad_audio=False
-    )
+    sizes = [F.size(kind.column).alias(f"_size_{name}") for name, kind in labels.items()]
+    sized = materialise(samples.select(key, F.size(source).alias("n"), *sizes), "sizes")
+    planned = batch_by_bucket(filter_by_size(sized, "n", min_keep), key, "n", max_tokens, max_sentences, width).drop("bucket")
+    targeted = with_target_size(planned, "n", max_sample_size, pad_audio)
+    began = F.when(F.col("n") > F.col("target_size"), start).otherwise(F.lit(0)).cast("int")
+    rows = samples.join(plan_labels(targeted.withColumn("start", began), labels, sample_rate, pad_audio), key)
+
+    cut = crop(F.col(source), F.col("target_size"), F.col("start"))
+    filler = F.lit(0).cast(samples.schema[source].dataType.elementType) if stats is None else None
+    if stats is not None:
+        rows = rows.withColumn("_stats", stats.select(F.struct("mean", "std")).limit(1).scalar())
+        cut = F.transform(cut, lambda f: apply_cmvn(f, F.col("_stats.mean"), F.col("_stats.std")))
+        filler = F.transform("_stats.mean", lambda m: F.lit(0.0).cast("float"))
+    mask = padding_mask(F.col("n"), F.col("target_size"))
+    rows = rows.withColumn("padding_mask", mask).withColumn(source, pad(cut, F.col("target_size"), filler) if pad_audio else cut)
+
     frames = subsampled_length(F.col("target_size"), (5,) * (ratio.bit_length() - 1)).cast("int")
-    strided = aligned.withColumn("n_sub", strided_length(F.col("target"), frames, ratio)).withColumn(
-        "target", stride_labels(F.col("target"), frames, ratio)
-    )
-    return span_mask(strided, key, "n_sub", mask_prob, seed=seed)
+    aligned, lengths = [c for c in rows.columns if not c.startswith("_")], [frames]
+    for name, kind in labels.items():
+        taken = F.slice(kind.column, F.col(f"_first_{name}") + 1, F.col(f"_taken_{name}"))
+        padded = pad(taken, F.col(f"_most_{name}"), F.lit(kind.pad_id))
+        rows = rows.withColumn(f"target_{name}", padded).withColumn(f"length_{name}", F.col(f"_taken_{name}"))
+        if kind.rate >= 0:
+            lengths.append(F.floor(F.col(f"_most_{name}") / kind.stride).cast("int"))
+            rows = rows.withColumn(f"target_{name}", stride_labels(F.col(f"target_{name}"), frames, kind.stride))
+        aligned += [f"target_{name}", f"length_{name}"]
+    n_sub = F.least(*lengths) if len(lengths) > 1 else frames
+    return span_mask(rows.withColumn("n_sub", n_sub).select(*aligned, "n_sub"), key, "n_sub", mask_prob, seed=seed)
 
 
 def decode_and_score(

@@ -758,6 +758,32 @@ oracle(
 SELECT dim, n, round(sum, 4) AS sum, round(sumsq, 4) AS sumsq, round(mean::FLOAT::DOUBLE, 4) AS mean,
        round(sqrt(greatest(sumsq / n - mean * mean, 1e-8))::FLOAT::DOUBLE, 4) AS std FROM stats""",
 )
+oracle(
+    "assemble_padded",
+    f"""WITH {DOC_WORDS}, kept AS (SELECT doc_id, n FROM dw WHERE n >= 20),
+{buckets('kept', 'doc_id', 'n', 8000, 32, 64)}, {targeted('max', 'least({}, 256)')},
+stats AS (
+  SELECT m::FLOAT AS mean, sqrt(greatest(q - m * m, 1e-8))::FLOAT AS std FROM (
+    SELECT sum(l) / count(*) AS m, sum(l * l) / count(*) AS q FROM (
+      SELECT length(unnest(words))::DOUBLE AS l FROM dw))),
+cut AS (
+  SELECT *, list_transform(words, lambda w: length(w)) AS every,
+         round_even(start * 0.5::DOUBLE, 0)::INT AS ls, round_even(target * 0.5::DOUBLE, 0)::INT AS wanted FROM placed),
+halved AS (
+  SELECT *, list_filter(every, lambda x, i: i % 2 = 1)[ls + 1:ls + wanted] AS half FROM cut),
+most AS (
+  SELECT *, max(len(half)) OVER (PARTITION BY batch_id) AS most_half, max(n) OVER (PARTITION BY batch_id) AS most_every FROM halved),
+rows AS (SELECT *, least((target + 1) // 2, most_half)::INT AS n_sub FROM most),
+{spans('rows', 'doc_id', 'n_sub')}
+SELECT batch_id, rows.doc_id, start, n_sub,
+       array_to_string(list_concat(list_transform(every[start + 1:start + target], lambda x: round(((x::FLOAT - mean) / std)::DOUBLE * 1000)::BIGINT),
+         list_transform(range(n, target), lambda i: 0::BIGINT)), ' ') AS source,
+       array_to_string(list_transform(range(0, target), lambda i: CASE WHEN i >= n THEN '1' ELSE '0' END), '') AS padding_mask,
+       array_to_string(list_concat(half, list_transform(range(len(half), most_half), lambda i: 1))[1:n_sub], ' ') AS half,
+       len(half)::INT AS length_half,
+       array_to_string(list_concat(every, list_transform(range(n, most_every), lambda i: 1)), ' ') AS every, n::INT AS length_every, masked
+FROM rows JOIN masks ON masks.doc_id = rows.doc_id CROSS JOIN stats""",
+)
 oracle(
     "assemble_training_set",
     f"""WITH {DOC_WORDS}, kept AS (SELECT doc_id, n FROM dw WHERE n >= 20),

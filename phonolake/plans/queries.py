@@ -862,15 +862,13 @@ def assemble_training_set(spark, folder):
         F.transform("words", F.length).alias("source"),
         F.transform("words", lambda w: F.length(w) * 2).alias("labels"),
     )
-    spare = F.greatest(F.size("source") - F.col("target_size"), F.lit(0))
     rows = jobs.assemble_training_set(
         samples,
         "doc_id",
         "source",
-        "labels",
-        start=F.col("doc_id") % (spare + 1),
+        {"words": jobs.LabelSet("labels", 100.0, stride=2)},
+        start=_crop_start("doc_id", "n", "target_size"),
         sample_rate=100.0,
-        label_rate=100.0,
         min_keep=20,
         max_sample_size=256,
         max_tokens=8000,
@@ -884,7 +882,51 @@ def assemble_training_set(spark, folder):
         "start",
         "n_sub",
         joined("source").alias("source"),
-        joined("target").alias("target"),
+        joined("target_words").alias("target"),
+        joined("masked").alias("masked"),
+    )
+
+
+@query
+def assemble_padded(spark, folder):
+    """Normalised one-dimensional frames, padded, with frame labels at half the rate and sequence labels."""
+    words = standins.document_words(spark, folder)
+    lengths = F.transform("words", F.length)
+    samples = words.select(
+        "doc_id",
+        F.transform(lengths, lambda n: F.array(n.cast("float"))).alias("source"),
+        F.filter(lengths, lambda n, i: i % 2 == 0).alias("half"),
+        lengths.alias("every"),
+    )
+    stats = features.cmvn_row(features.cmvn_by_dim(samples.select(F.explode("source").alias("feat"))))
+    rows = jobs.assemble_training_set(
+        samples,
+        "doc_id",
+        "source",
+        {"half": jobs.LabelSet("half", 50.0), "every": jobs.LabelSet("every", -1.0)},
+        start=_crop_start("doc_id", "n", "target_size"),
+        sample_rate=100.0,
+        min_keep=20,
+        max_sample_size=256,
+        max_tokens=8000,
+        max_sentences=32,
+        mask_prob=0.8,
+        stats=stats,
+        pad_audio=True,
+        seed=1337,
+    )
+    values = F.transform(F.flatten("source"), lambda x: F.round(x.cast("double") * 1000).cast("bigint"))
+    return rows.select(
+        "batch_id",
+        "doc_id",
+        "start",
+        "n_sub",
+        joined(values).alias("source"),
+        bits("padding_mask").alias("padding_mask"),
+        joined("target_half").alias("half"),
+        "length_half",
+        joined("target_every").alias("every"),
+        "length_every",
         joined("masked").alias("masked"),
     )
 
