@@ -25,8 +25,6 @@ from phonolake.session import materialise
 #: At most so many labelled positives and unlabelled texts are trained on.
 SAMPLE_POSITIVE = 8000
 SAMPLE_UNLABELLED = 16000
-#: The prior is estimated on at most so many labels.
-SAMPLE_PRIOR = 1_000_000
 
 KINDS = 16
 KIND = np.full(256, 15, np.uint8)
@@ -123,18 +121,18 @@ def score_quality(
     """Score every row; learn only from documents outside the held-out fold.
 
     Returns ``doc, tag`` (see ``keyed``), ``held_out, score, predicted``. Positives are documents labelled 1;
-    unlabelled are those without a label. The prior is the share of 1 among the training labels. Null and empty
-    texts are scored by their lack of words. Without positives or unlabelled texts every score is the prior
-    (one half without labels). A null id is not held out and has no label; of several labels the highest
+    unlabelled are all training documents, with their labels hidden, as the risk asks for a sample of the whole. The
+    prior is the share of 1 among all training labels, negatives included. Null and empty texts are scored by their
+    lack of words. Without positives or training texts every score is the prior (one half without labels). A null id is not held out and has no label; of several labels the highest
     counts; rows of a repeated id are scored one by one. Other columns are not read.
     """
     base = keyed(docs, doc_id, text)
     known = materialise(known_labels(labels, "doc_id", label), "labels")
     train_known = known.filter(~held_out(F.col("doc"), folds, fold))
-    few = train_known.orderBy(F.xxhash64("doc"), "doc").limit(SAMPLE_PRIOR).agg(F.count("*"), F.sum((F.col("y") > 0).cast("int"))).first()
+    few = train_known.agg(F.count("*"), F.sum((F.col("y") > 0).cast("int"))).first()
     prior = min(max(((few[1] or 0) + 1) / (few[0] + 2), 0.01), 0.99)
     positive = train_known.filter("y > 0").orderBy(F.xxhash64("doc"), "doc").limit(SAMPLE_POSITIVE).select("doc")
-    unknown = base.select("doc").filter(~held_out(public_id(), folds, fold)).join(known, "doc", "left_anti").distinct()
+    unknown = base.select("doc").filter(~held_out(public_id(), folds, fold)).distinct()
     unknown = unknown.orderBy(F.xxhash64("doc"), "doc").limit(SAMPLE_UNLABELLED)
     model = train(sample_features(base, positive), sample_features(base, unknown), prior)
 
