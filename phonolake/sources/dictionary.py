@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..operators.lookup import as_lists, kept_sizes, look_up, share_table
 from ..operators.ordering import ordered_scan
 from .lines import read_lines, write_lines
 
@@ -63,35 +68,65 @@ def _looked_up(df: DataFrame, key: str, values: str, dictionary: DataFrame, on:
     return spread.join(dictionary, on, "left")
 
 
-def encode_tokens(df: DataFrame, key: str, tokens: str, dictionary: DataFrame, out: str = "ids") -> DataFrame:
-    """``(key, out)``: token arrays as ids, unknown tokens as ``<unk>``, no end symbol added."""
-    found = _looked_up(df, key, tokens, dictionary.select("symbol", "id"), "symbol")
-    coded = found.withColumn("found", F.when(F.col("pos").isNotNull(), F.coalesce("id", F.lit(UNK))))
+def _encode_joined(df: DataFrame, key: str, tokens: str, dictionary: DataFrame, out: str) -> DataFrame:
+    found = _looked_up(df, key, tokens, dictionary, "symbol")
+    coded = found.withColumn("found", F.when(F.col("pos").isNotNull(), F.coalesce("_value", F.lit(UNK))))
     encoded = _regrouped(coded, key, out)
     return encoded.withColumn(out, F.filter(out, lambda i: i.isNotNull()))
 
 
-def decode_ids(
-    df: DataFrame, key: str, ids: str, dictionary: DataFrame, out: str = "units", skip: Sequence[int] = (BOS, EOS)
-) -> DataFrame:
-    """``(key, out)``: id arrays as space-joined symbols; ``skip`` are left out, ids of no symbol are ``<unk>``.
+def encode_tokens(df: DataFrame, key: str, tokens: str, dictionary: DataFrame, out: str = "ids") -> DataFrame:
+    """``(key, out)``: token arrays as ids, unknown tokens as ``<unk>``, no end symbol added; NULL is empty.
 
-    Rows that share a key are joined into one, so ``key`` has to be unique.
+    The tasks look distinct tokens up a batch at a time, so nothing is shuffled. Only a dictionary too large to
+    send to them is joined, a row a token; that way needs a unique ``key``.
     """
-    found = _looked_up(df, key, ids, dictionary.select("id", "symbol"), "id")
+    stored, table = share_table(dictionary, "symbol", "id")
+    if table is None:
+        return _encode_joined(df, key, tokens, stored, out)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, _, ids = look_up(table.value, batch.column(1))
+            coded = as_lists(sizes, ids.cast(pa.int32()).fill_null(UNK))
+            yield pa.RecordBatch.from_arrays([batch.column(0), coded], [key, out])
+
+    rows = df.select(key, tokens)
+    return rows.mapInArrow(task, T.StructType([rows.schema[0], T.StructField(out, T.ArrayType(T.IntegerType()))]))
+
+
+def _decode_joined(df: DataFrame, key: str, ids: str, dictionary: DataFrame, out: str, skip: Sequence[int]) -> DataFrame:
+    found = _looked_up(df, key, ids, dictionary, "id")
     shown = F.col("pos").isNotNull() & ~F.coalesce(F.col("id").isin(*skip), F.lit(False))
-    named = found.withColumn("found", F.when(shown, F.coalesce("symbol", F.lit(SPECIALS[UNK]))))
+    named = found.withColumn("found", F.when(shown, F.coalesce("_value", F.lit(SPECIALS[UNK]))))
     return _regrouped(named, key, out).withColumn(out, F.array_join(out, " "))
 
 
-def check_vocabulary(
-    df: DataFrame, key: str, hyp: str, ref: str, vocabulary: DataFrame
+def decode_ids(
+    df: DataFrame, key: str, ids: str, dictionary: DataFrame, out: str = "units", skip: Sequence[int] = (BOS, EOS)
 ) -> DataFrame:
-    """Hypothesis tokens outside the vocabulary are dropped, reference tokens only reported.
+    """``(key, out)``: id arrays as space-joined symbols; ``skip`` are left out, ids of no symbol are ``<unk>``.
 
-    Gives ``(key, hyp, n_dropped, n_ref_missing)``. Both sides are looked up in
-    one join, so the token table is spread and gathered once.
+    NULL gives an empty text. Looked up as in ``encode_tokens``.
     """
+    stored, table = share_table(dictionary, "id", "symbol")
+    if table is None:
+        return _decode_joined(df, key, ids, stored, out, skip)
+    left_out = list(skip)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, elements, names = look_up(table.value, batch.column(1))
+            shown = ~pc.is_in(elements, value_set=pa.array(left_out, elements.type)).to_numpy(zero_copy_only=False)
+            words = names.fill_null(SPECIALS[UNK]).filter(pa.array(shown))
+            texts = pc.binary_join(as_lists(kept_sizes(sizes, shown), words), " ")
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts.cast(pa.string())], [key, out])
+
+    rows = df.select(key, ids)
+    return rows.mapInArrow(task, T.StructType([rows.schema[0], T.StructField(out, T.StringType())]))
+
+
+def _check_joined(df: DataFrame, key: str, hyp: str, ref: str, vocabulary: DataFrame) -> DataFrame:
     both = df.select(
         key,
         F.explode(
@@ -102,8 +137,7 @@ def check_vocabulary(
         ).alias("s"),
     )
     spread = both.select(key, "s.side", F.posexplode_outer("s.tokens").alias("pos", "symbol"))
-    known = vocabulary.select("symbol", F.lit(True).alias("known"))
-    looked = spread.join(known, "symbol", "left")
+    looked = spread.join(vocabulary.select("symbol", F.lit(True).alias("known")), "symbol", "left")
     is_hyp, is_ref = F.col("side") == "hyp", F.col("side") == "ref"
     missing = F.col("known").isNull() & F.col("pos").isNotNull()
     kept = F.collect_list(F.when(is_hyp & F.col("known"), F.struct("pos", "symbol")))
@@ -112,3 +146,29 @@ def check_vocabulary(
         F.count_if(is_hyp & missing).alias("n_dropped"),
         F.count_if(is_ref & missing).alias("n_ref_missing"),
     )
+
+
+def check_vocabulary(df: DataFrame, key: str, hyp: str, ref: str, vocabulary: DataFrame) -> DataFrame:
+    """Hypothesis tokens outside the vocabulary are dropped, reference tokens only reported.
+
+    Gives ``(key, hyp, n_dropped, n_ref_missing)``. Looked up as in ``encode_tokens``.
+    """
+    stored, table = share_table(vocabulary, "symbol", "symbol")
+    if table is None:
+        return _check_joined(df, key, hyp, ref, stored)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, words, known = look_up(table.value, batch.column(1))
+            kept = known.is_valid().to_numpy(zero_copy_only=False)
+            left = kept_sizes(sizes, kept)
+            ref_sizes, _, ref_known = look_up(table.value, batch.column(2))
+            ref_left = kept_sizes(ref_sizes, ref_known.is_valid().to_numpy(zero_copy_only=False))
+            columns = [batch.column(0), as_lists(left, words.filter(pa.array(kept)))]
+            counts = [pa.array((a - b).astype(np.int64)) for a, b in ((sizes, left), (ref_sizes, ref_left))]
+            yield pa.RecordBatch.from_arrays([*columns, *counts], [key, hyp, "n_dropped", "n_ref_missing"])
+
+    rows = df.select(key, F.col(hyp).alias("_hyp"), F.col(ref).alias("_ref"))
+    fields = [rows.schema[0], T.StructField(hyp, T.ArrayType(T.StringType()))]
+    counts = [T.StructField(c, T.LongType(), False) for c in ("n_dropped", "n_ref_missing")]
+    return rows.mapInArrow(task, T.StructType([*fields, *counts]))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from phonolake.operators import filters
+from phonolake.operators import filters, lookup
 from phonolake.operators.features import cmvn_by_dim, cmvn_row, normalise
 from phonolake.sources.lines import read_lines
 from phonolake.sources import byte_ranges, corpus, dictionary, features, reports
@@ -74,15 +76,37 @@ def test_dictionary_and_tokens(spark, tmp_path):
     assert {r["utt"]: r["units"] for r in names.collect()} == {1: "b a a c", 2: "", 3: "<unk> a"}
 
 
-def test_encoding_without_broadcast_gives_the_same(spark):
-    df = spark.createDataFrame([(i, ["hot"] * 50 + [f"w{i}"]) for i in range(60)], "utt int, t array<string>")
+def test_large_dictionaries_are_joined_with_the_same_results(spark, monkeypatch):
+    df = spark.createDataFrame([(i, ["hot"] * 50 + [f"w{i}", None], [f"w{i}", "x"]) for i in range(60)], "utt int, t array<string>, h array<string>")
+    words = dictionary.build_dictionary(df.where("utt < 50").withColumn("t", F.array_compact("t")), "t")
+
+    def results():
+        coded = dictionary.encode_tokens(df, "utt", "t", words)
+        names = dictionary.decode_ids(coded, "utt", "ids", words)
+        checked = dictionary.check_vocabulary(df, "utt", "h", "t", words)
+        return [sorted(map(str, x.collect())) for x in (coded, names, checked)]
+
+    sent = results()
+    monkeypatch.setattr(lookup, "TABLE_BYTES", 0)
+    assert results() == sent
+
+
+def test_tokens_are_not_shuffled(spark):
+    df = spark.createDataFrame([(1, ["a", "b"]), (2, None)], "utt int, t array<string>")
     words = dictionary.build_dictionary(df, "t")
-    wanted = {r["utt"]: r["ids"] for r in dictionary.encode_tokens(df, "utt", "t", words).collect()}
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert {r["utt"]: r["ids"] for r in dictionary.encode_tokens(df, "utt", "t", words).collect()} == wanted
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    ids = dictionary.encode_tokens(df, "utt", "t", words)
+    names = dictionary.decode_ids(ids, "utt", "ids", words)
+    checked = dictionary.check_vocabulary(df, "utt", "t", "t", words)
+    for result in (ids, names, checked):
+        assert "Exchange" not in result._jdf.queryExecution().executedPlan().toString()
+    assert {r["utt"]: r["units"] for r in names.collect()} == {1: "a b", 2: ""}
+
+
+def test_equal_numbers_are_told_apart(monkeypatch):
+    monkeypatch.setattr(lookup, "key_numbers", lambda keys: np.array([len(k) for k in keys.to_pylist()], dtype=np.int64))
+    table = lookup.sorted_table(pa.array(["aa", "b", "cc", "dd"]), pa.array([1, 2, 3, 4]))
+    sizes, _, values = lookup.look_up(table, pa.array([["dd", "b", "zz"], None, [None, "aa", "yyy"]]))
+    assert sizes.tolist() == [3, 0, 3] and values.to_pylist() == [4, 2, None, None, 1, None]
 
 
 def test_decoding_unknown_and_special_ids(spark):
