@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from phonolake.functions import sequences as seq
 from phonolake.operators import edit_distance, scoring
-from phonolake.operators.ctc import ctc_score, forward_score
+from phonolake.operators import ctc
+from phonolake.operators.ctc import ctc_score, forward_score, forward_scores
 
 
 def distance(a, b):
@@ -145,6 +146,25 @@ def test_ctc_impossible_and_long_targets(spark):
     assert 0 < forward_score(lp, draw.integers(1, 30, 120), 0) < math.inf
 
 
+@pytest.mark.parametrize("cells", [1, 60, 1 << 22])
+def test_ctc_blocks_equal_path_enumeration(monkeypatch, cells):
+    monkeypatch.setattr(ctc, "CELLS", cells)
+    draw = np.random.default_rng(3)
+    probs = [draw.dirichlet(np.ones(3), size=n) for n in (5, 1, 0, 3, 4, 6, 2, 3)]
+    targets = [draw.integers(1, 3, n) for n in (2, 0, 1, 4, 3, 0, 1, 2)]
+    got = forward_scores([np.log(p) if len(p) else np.empty((0, 1)) for p in probs], targets, 0)
+    for score, p, target in zip(got, probs, targets):
+        want = by_paths(p, target) if len(p) else math.inf
+        assert score == pytest.approx(want, abs=1e-12)
+
+
+def test_ctc_null_and_empty_rows(spark):
+    rows = [(1, None, [1]), (2, [[-0.7, -0.7]], None), (3, [], []), (4, None, None)]
+    df = spark.createDataFrame(rows, "id bigint, lp array<array<float>>, t array<int>")
+    got = {r["id"]: (r["n_tokens"], r["nll"]) for r in ctc_score(df, "id", "lp", "t").collect()}
+    assert got == {1: (1, math.inf), 2: (0, pytest.approx(0.7)), 3: (0, 0.0), 4: (0, 0.0)}
+
+
 def test_best_path_collapses_before_dropping_blanks(spark):
     df = spark.createDataFrame([([0, 1, 1, 0, 1, 2, 2, 0],), ([0, 0],), ([],)], "a array<int>")
     assert [r[0] for r in df.select(seq.best_path(F.col("a"))).collect()] == [[1, 1, 2], [], []]
