@@ -11,16 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import apply_cmvn, argmax, best_path, crop, pad, padding_mask, stride_labels, subsampled_length
-from ..functions.text import pieces_to_words, tokens
+from ..functions.text import fingerprint, pieces_to_words, tokens
 from ..operators.batching import batch_by_bucket, with_target_size
 from ..operators.features import SUMS, Sums, cmvn_of_sums
 from ..operators.filters import filter_by_size
 from ..operators.masking import span_mask
-from ..operators.scoring import score_pairs
+from ..operators.scoring import corpus_error_rate, score_pairs
 from ..operators.signal import CHUNK_HOPS, chunk_frames, chunk_hops, log_mel_matrix, vectors
 from ..session import materialise
 from ..sources.dictionary import PAD, decode_ids
 from ..sources.features import FRAMES_SCHEMA
+from ..sources.reports import report_text, write_outputs, write_reports
 
 
 class Prepared(NamedTuple):
@@ -197,19 +198,41 @@ def assemble_training_set(
 
 
 def decode_and_score(
-    frames: DataFrame, key: str, frame: str, logits: str, dictionary: DataFrame, refs: DataFrame, blank: int = 0
+    frames: DataFrame,
+    key: str,
+    frame: str,
+    logits: str,
+    dictionary: DataFrame,
+    refs: DataFrame,
+    blank: int = 0,
+    lengths: DataFrame | None = None,
 ) -> DataFrame:
     """Frame scores to best paths, symbols and words, scored per sentence against ``refs`` ``(key, ref)``.
 
-    A reference without hypothesis stays in: all its words are deletions.
+    A reference without hypothesis stays in: all its words are deletions. ``lengths`` ``(key, input_len)`` gives
+    the number of frames that count, in frame order; the others are padding. An utterance it doesn't list has no padding.
     """
     best = frames.select(key, frame, argmax(F.col(logits)).alias("_best"))
     paths = best.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(frame, "_best"))).alias("_rows"))
-    ids = paths.select(key, F.transform("_rows", lambda r: r["_best"]).alias("_ids")).select(
-        key, best_path(F.col("_ids"), blank).alias("ids")
-    )
+    used = None
+    if lengths is not None:
+        used = F.coalesce("input_len", F.size("_rows"))
+        paths = paths.join(lengths.select(key, "input_len"), key, "left")
+    units = paths.withColumn("_ids", F.transform("_rows", lambda r: r["_best"]))
+    ids = units.select(key, best_path(F.col("_ids"), blank, used).alias("ids"))
     hyps = decode_ids(ids, key, "ids", dictionary).withColumn("hyp", tokens(pieces_to_words(F.col("units"))))
     pairs = refs.join(hyps.select(key, "hyp"), key, "left").withColumn(
         "hyp", F.coalesce("hyp", F.array().cast("array<string>"))
     )
     return score_pairs(pairs, "hyp", "ref")
+
+
+def write_run(scored: DataFrame, key: str, kinds: dict[str, str], config: Column, path: str) -> None:
+    """The files of a scored run: each output kind's lines in ``outputs``, the error-rate report in ``reports``.
+
+    ``scored`` has a text column for each of ``kinds`` beside ``err`` and ``n_ref``; it is read twice.
+    """
+    write_outputs(scored, key, kinds, f"{path}/outputs")
+    report = report_text(F.col("wer"), F.col("err"), F.col("n_ref"), config)
+    totals = corpus_error_rate(scored).select(report.alias("value"), fingerprint(config).alias("run_id"))
+    write_reports(totals, f"{path}/reports")

@@ -137,17 +137,27 @@ def frames_roundtrip(spark, folder):
     )
 
 
+OUTPUTS = {"hypo.word": "hypo_word", "hypo.units": "hypo_units", "ref.word": "ref_word", "ref.units": "ref_units"}
+
+
+def _written_run(spark, folder):
+    """The four outputs and the report of a scored run, as files."""
+    texts = {
+        "hypo_word": F.array_join("hyp", " "),
+        "hypo_units": F.array_join(standins.to_pieces("hyp"), " "),
+        "ref_word": F.array_join("ref", " "),
+        "ref_units": F.array_join(standins.to_pieces("ref"), " "),
+    }
+    path = scratch_path(spark, "run")
+    scored = materialise(_scored(spark, folder), "scored").withColumns(texts)
+    jobs.write_run(scored, "utt_id", OUTPUTS, F.lit("nbest: 1\ntype: viterbi"), path)
+    return path
+
+
 @query
 def hyp_ref_lines(spark, folder):
-    pairs = standins.hyp_ref(spark, folder)
-    kinds = {
-        "hypo.word": F.array_join("hyp", " "),
-        "hypo.units": F.array_join(standins.to_pieces("hyp"), " "),
-        "ref.word": F.array_join("ref", " "),
-        "ref.units": F.array_join(standins.to_pieces("ref"), " "),
-    }
-    texts = pairs.select("utt_id", *[c.alias(k.replace(".", "_")) for k, c in kinds.items()])
-    return reports.hyp_ref_lines(texts, "utt_id", {k: k.replace(".", "_") for k in kinds})
+    path = _written_run(spark, folder)
+    return reports.read_outputs(spark, f"{path}/outputs", "utt_id").select("kind", "utt_id", "line")
 
 
 @query
@@ -177,12 +187,8 @@ def parse_reports(spark, folder):
 
 @query
 def wer_report(spark, folder):
-    totals = corpus_wer_totals(spark, folder)
-    config = F.lit("nbest: 1\ntype: viterbi")
-    return totals.select(
-        reports.report_text(F.col("wer"), F.col("err"), F.col("n_ref"), config).alias("report"),
-        txt.fingerprint(config).alias("run_id"),
-    )
+    path = _written_run(spark, folder)
+    return reports.read_reports(spark, f"{path}/reports").withColumnRenamed("value", "report")
 
 
 # --- projections and filters -------------------------------------------------------------------
@@ -805,16 +811,32 @@ def stream_cmvn(spark, folder):
     return _rounded_stats(running.stream_cmvn(frames))
 
 
+def _timed_pairs(spark, folder, copies):
+    """Pairs with an event time, each delivered several times."""
+    pairs = standins.as_hyp_ref(standins.as_turns(_stream(spark, folder, "conversations")))
+    return pairs.withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("utt_id"))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+
+
 @query
 def stream_wer(spark, folder):
-    pairs = standins.as_hyp_ref(standins.as_turns(_stream(spark, folder, "conversations")))
-    return running.stream_error_rate(pairs, "hyp", "ref").withColumn("wer", rounded("wer"))
+    """Every pair comes twice and counts once."""
+    pairs = _timed_pairs(spark, folder, 2)
+    return running.stream_error_rate(pairs, "hyp", "ref", key="utt_id", at="at").withColumn("wer", rounded("wer"))
+
+
+@query
+def stream_wer_missing(spark, folder):
+    """Every fifth hypothesis never comes, the others come twice; a reference waits an hour for its own."""
+    refs = _timed_pairs(spark, folder, 1).select("utt_id", "at", "ref")
+    hyps = _timed_pairs(spark, folder, 2).where("utt_id % 5 <> 0").select("utt_id", "at", "hyp")
+    rates = running.stream_missing_error_rate(refs, hyps, "utt_id", "at", "hyp", "ref")
+    return rates.withColumn("wer", rounded("wer"))
 
 
 @query
 def stream_throughput(spark, folder):
     rows = standins.timings(_stream(spark, folder, "events"))
-    rates = running.stream_throughput(rows, "ts", "tokens", "seconds")
+    rates = running.stream_throughput(rows, "ts", "tokens", "seconds", watermark="60 days")
     hour = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'1970-01-01 00:00:00', window_start)").alias("hour")
     return rates.select(
         hour, "sentences", "tokens", *[rounded(c) for c in ("seconds", "sentences_per_s", "tokens_per_s")]
@@ -931,13 +953,24 @@ def assemble_padded(spark, folder):
     )
 
 
-@query
-def decode_and_score(spark, folder):
+def _decoded(spark, folder, lengths=None):
     frames = standins.frames(spark, folder)
     words = _dictionary(spark, folder)
     names = dictionary.decode_ids(
         standins.unit_arrays(spark, folder).withColumn("units", seq.best_path(F.col("units"))), "utt_id", "units", words, "ref"
     )
     refs = names.withColumn("ref", txt.tokens(F.col("ref")))
-    scored = jobs.decode_and_score(frames, "utt_id", "frame_idx", "feat", words, refs)
+    scored = jobs.decode_and_score(frames, "utt_id", "frame_idx", "feat", words, refs, lengths=lengths)
     return scored.select("utt_id", F.array_join("hyp", " ").alias("hyp"), F.array_join("ref", " ").alias("ref"), "err", "n_ref")
+
+
+@query
+def decode_and_score(spark, folder):
+    return _decoded(spark, folder)
+
+
+@query
+def decode_and_score_cut(spark, folder):
+    """Frames from an utterance's input length on are padding; every ninth utterance has no length."""
+    utterances = standins.frames(spark, folder).select("utt_id").distinct()
+    return _decoded(spark, folder, utterances.where("utt_id % 9 <> 0").withColumn("input_len", _input_length()))

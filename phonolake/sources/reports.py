@@ -25,6 +25,22 @@ def hyp_ref_lines(df: DataFrame, key: str, kinds: dict[str, str]) -> DataFrame:
     )
 
 
+def write_outputs(df: DataFrame, key: str, kinds: dict[str, str], path: str) -> None:
+    """Each output kind of a decoding run as lines in a folder ``kind=...`` of its own, in key order.
+
+    A text with line breaks would be several lines; tokens joined by spaces have none.
+    """
+    write_lines(hyp_ref_lines(df, key, kinds), F.col("line"), [F.col(key).asc()], path, folders=["kind"])
+
+
+def read_outputs(spark: SparkSession, path: str, key: str, key_type: str = "bigint") -> DataFrame:
+    """``(kind, key, text, line)`` of what ``write_outputs`` wrote."""
+    lines = spark.read.schema("value string, kind string").text(path)
+    parts = r"^(.*) \(None-(.*)\)$"
+    number = F.regexp_extract("value", parts, 2).cast(key_type)
+    return lines.select("kind", number.alias(key), F.regexp_extract("value", parts, 1).alias("text"), F.col("value").alias("line"))
+
+
 def write_shards(rows: DataFrame, line: Column, order: str, path: str, shard: str = "shard") -> None:
     """Each data-parallel shard's lines in a folder of its own."""
     named = rows.withColumn(shard, F.lpad(F.col(shard).cast("string"), 6, "0"))
@@ -65,6 +81,17 @@ def parse_reports(reports: DataFrame, text: str = "value") -> DataFrame:
     )
 
 
+def write_reports(reports: DataFrame, path: str, text: str = "value", run: str = "run_id") -> None:
+    """One report a run, each a file in a folder ``run=...`` of its own."""
+    reports.select(text, run).repartition(run).write.partitionBy(run).text(path)
+
+
+def read_reports(spark: SparkSession, path: str, text: str = "value", run: str = "run_id", run_type: str = "bigint") -> DataFrame:
+    """``(text, run)``: the reports as they were written, without the line break that ends a file."""
+    files = spark.read.schema(f"{text} string, {run} {run_type}").text(path, wholetext=True)
+    return files.select(F.regexp_replace(text, r"\n\z", "").alias(text), run)
+
+
 def scan_reports(spark: SparkSession, path: str) -> DataFrame:
     """Read report files whole, one row each."""
     files = spark.read.text(path, wholetext=True)

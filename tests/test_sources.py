@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from phonolake.operators import filters, lookup
 from phonolake.operators.features import cmvn_by_dim, cmvn_row, normalise
+from phonolake.plans import jobs
 from phonolake.sources.lines import read_lines
 from phonolake.sources import byte_ranges, corpus, dictionary, features, reports
 
@@ -197,6 +198,18 @@ def test_report_texts(spark, tmp_path):
     assert (got["wer"], got["err"], got["n_ref"], got["config"]) == (4.924541828275215, 2679, 54401, "_name: null\nbeam: 50\n")
 
 
+def test_run_files_read_back(spark, tmp_path):
+    rows = [(10, "A (None-3)", "x", 1, 4), (9, "", "\u00e9 y", 0, 0), (2, "B", "", 2, 3)]
+    df = spark.createDataFrame(rows, "utt bigint, h string, r string, err bigint, n_ref bigint").repartition(3)
+    jobs.write_run(df, "utt", {"hypo.word": "h", "ref.word": "r"}, F.lit("beam: 50\n"), str(tmp_path / "run"))
+    got = reports.read_outputs(spark, str(tmp_path / "run/outputs"), "utt").collect()
+    assert {(r["kind"], r["utt"], r["text"]) for r in got} == {(k, u, t) for u, h, x, *_ in rows for k, t in (("hypo.word", h), ("ref.word", x))}
+    files = sorted((tmp_path / "run/outputs/kind=hypo.word").glob("part-*"))
+    assert "".join(f.read_text() for f in files) == "B (None-2)\n (None-9)\nA (None-3) (None-10)\n"
+    report = reports.read_reports(spark, str(tmp_path / "run/reports")).first()
+    assert report["value"].endswith("err / num_ref_words = 3 / 7\n\nbeam: 50\n") and report["run_id"]
+
+
 def test_shards_merge_in_shard_order(spark, tmp_path):
     rows = [(i, i % 3, f"line {i}") for i in range(30)]
     df = spark.createDataFrame(rows, "ind int, shard int, line string").repartition(5)

@@ -80,3 +80,52 @@ def test_streams_go_on_where_they_stopped(spark, tmp_path):
         assert got.asDict() == want.asDict()
     again = spark.readStream.schema(rows.schema).parquet(folder)
     assert running.stream_error_rate(again, "hyp", "ref", store=store).first().asDict() == want.asDict()
+
+
+def test_result_has_one_row_a_key_after_many_micro_batches(spark, tmp_path):
+    folder, store = str(tmp_path / "frames"), str(tmp_path / "store")
+    frames = spark.range(120).selectExpr("array(cast(id as float), cast(-id as float)) as feat")
+    frames.repartition(12).write.parquet(folder)
+    stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    got = {r["dim"]: r for r in running.stream_cmvn(stream, store=store).collect()}
+    assert {d: (r["n"], r["sum"]) for d, r in got.items()} == {0: (120, 7140.0), 1: (120, -7140.0)}
+    for slot in (0, 1):
+        assert spark.read.parquet(f"{store}/rows/slot={slot}").count() == 2
+
+
+def test_empty_stream(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    stream = spark.readStream.schema("feat array<float>").parquet(str(tmp_path / "none"))
+    assert running.stream_cmvn(stream).count() == 0
+
+
+def test_redelivered_and_missing_hypotheses(spark, tmp_path):
+    """Two streams in several micro-batches; references 0, 5, 10 ... never get a hypothesis."""
+    refs = spark.range(60).selectExpr("id as utt", "timestamp_seconds(1700000000 + id * 600) as at", "array('a', 'c', 'd') as ref")
+    hyps = refs.where("utt % 5 <> 0").selectExpr(
+        "utt", "at + INTERVAL 5 MINUTES as at", "IF(utt % 2 = 0, array('a', 'b'), array('a', 'c', 'd')) as hyp"
+    )
+    store = str(tmp_path / "store")
+
+    def told():
+        streams = [
+            spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+            for name, x in (("refs", refs), ("hyps", hyps))
+        ]
+        return running.stream_missing_error_rate(*streams, "utt", "at", "hyp", "ref", store=store)
+
+    def wanted(missing_before):
+        known = refs.join(hyps.select("utt", "hyp"), "utt", "left").where(f"hyp IS NOT NULL OR utt < {missing_before}")
+        full = known.withColumn("hyp", F.coalesce("hyp", F.array().cast("array<string>")))
+        return corpus_error_rate(score_pairs(full, "hyp", "ref")).first().asDict()
+
+    refs.coalesce(1).write.parquet(str(tmp_path / "refs"))
+    hyps.coalesce(1).write.parquet(str(tmp_path / "hyps"))
+    hyps.coalesce(1).write.mode("append").parquet(str(tmp_path / "hyps"))
+    # The watermark is an hour before the last of either stream (59 * 600 s); a reference waits an hour more.
+    assert told().first().asDict() == wanted(47)
+    late = "timestamp_seconds(1700000000 + 1000000) as at"
+    refs.limit(1).selectExpr("1000L as utt", late, "ref").write.mode("append").parquet(str(tmp_path / "refs"))
+    hyps.limit(1).selectExpr("1000L as utt", late, "array('a', 'c', 'd') as hyp").write.mode("append").parquet(str(tmp_path / "hyps"))
+    got, want = told().first().asDict(), wanted(60)
+    assert (got["n_sent"], got["err"], got["n_ref"]) == (want["n_sent"] + 1, want["err"], want["n_ref"] + 3)
