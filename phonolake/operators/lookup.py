@@ -10,8 +10,6 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
-
 # A table is sent to the tasks up to this many bytes (keys and 24 more an entry); a larger one is joined.
 TABLE_BYTES = 64 << 20
 
@@ -77,16 +75,15 @@ def as_lists(sizes: np.ndarray, values: pa.Array) -> pa.Array:
 
 
 def share_table(table: DataFrame, key: str, value: str) -> tuple[DataFrame, Broadcast | None]:
-    """The written ``(key, value)``, and its sorted form in every task if it is within ``TABLE_BYTES``.
+    """The ``(key, value)`` to join, and its sorted form in every task if it is within ``TABLE_BYTES``.
 
-    Keys are taken once each; NULL keys are left out.
+    A key listed twice has its least value; NULL keys are left out. The table is read once for its size
+    and once for its rows, so hand in one that is stored or cheap.
     """
     spark = table.sparkSession
-    rows = table.where(F.col(key).isNotNull()).select(key, F.col(value).alias("_value")).dropDuplicates([key])
-    stored = materialise(rows, "lookup")
+    rows = table.where(F.col(key).isNotNull()).select(key, F.col(value).alias("_value"))
     size = F.sum(F.octet_length(F.col(key).cast("string")) + F.octet_length(F.col("_value").cast("string")) + 24)
-    if (stored.agg(size).first()[0] or 0) > TABLE_BYTES:
-        return stored, None
-    small = stored.toArrow().combine_chunks()
-    whole = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in small.columns]
-    return stored, spark.sparkContext.broadcast(sorted_table(*whole))
+    if (rows.agg(size).first()[0] or 0) > TABLE_BYTES:
+        return rows.groupBy(key).agg(F.min("_value").alias("_value")), None
+    small = rows.toArrow().sort_by([(key, "ascending"), ("_value", "ascending")])
+    return rows, spark.sparkContext.broadcast(sorted_table(*[c.combine_chunks() for c in small.columns]))

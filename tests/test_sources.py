@@ -80,6 +80,8 @@ def test_dictionary_and_tokens(spark, tmp_path):
 def test_large_dictionaries_are_joined_with_the_same_results(spark, monkeypatch):
     df = spark.createDataFrame([(i, ["hot"] * 50 + [f"w{i}", None], [f"w{i}", "x"]) for i in range(60)], "utt int, t array<string>, h array<string>")
     words = dictionary.build_dictionary(df.where("utt < 50").withColumn("t", F.array_compact("t")), "t")
+    twice = spark.createDataFrame([("w1", 900, 1), (None, 901, 1)], "symbol string, id int, n bigint")
+    words = words.unionByName(twice)
 
     def results():
         coded = dictionary.encode_tokens(df, "utt", "t", words)
@@ -88,6 +90,7 @@ def test_large_dictionaries_are_joined_with_the_same_results(spark, monkeypatch)
         return [sorted(map(str, x.collect())) for x in (coded, names, checked)]
 
     sent = results()
+    assert "900" not in "".join(sent[0])
     monkeypatch.setattr(lookup, "TABLE_BYTES", 0)
     assert results() == sent
 
