@@ -28,6 +28,11 @@ def batch_capacity(size: Column, max_tokens: int | None, max_sentences: int | No
     return F.greatest(least, F.lit(1)).cast("bigint")
 
 
+def whole_batches(capacity: Column, multiple: int) -> Column:
+    """A batch's samples: its capacity cut to a multiple, or all of a capacity below one."""
+    return F.greatest(F.floor(capacity / multiple) * multiple, capacity % multiple).cast("bigint")
+
+
 def batch_by_bucket(
     df: DataFrame,
     key: str,
@@ -35,10 +40,12 @@ def batch_by_bucket(
     max_tokens: int | None = None,
     max_sentences: int | None = None,
     width: int = 256,
+    multiple: int = 1,
 ) -> DataFrame:
     """Batches inside length buckets: longest × count stays within ``max_tokens``.
 
-    A bucket's capacity follows from its upper bound. Sizes beyond the budget
+    All batches of a bucket but its last hold its capacity, cut to a multiple of
+    ``multiple`` (below one multiple, all of it). A bucket's capacity follows from its upper bound. Sizes beyond the budget
     share the last bucket with capacity one, so there are at most
     ``max_tokens / width + 1`` buckets when a token budget is given.
     """
@@ -49,7 +56,7 @@ def batch_by_bucket(
     capacity = batch_capacity(F.col("bucket") * width, max_tokens, max_sentences)
     bucketed = df.withColumn("bucket", bucket.cast("bigint"))
     placed = ordered_scan(bucketed, [F.col(size).desc(), F.col(key).desc()], ["bucket"], position="_at")
-    placed = placed.withColumn("_capacity", capacity)
+    placed = placed.withColumn("_capacity", whole_batches(capacity, multiple))
     per_bucket = placed.groupBy("bucket").agg(
         F.ceil(F.count("*") / F.first("_capacity")).cast("bigint").alias("_batches")
     )
@@ -87,8 +94,7 @@ def batch_greedy(
     placed = placed.withColumn("_capacity", batch_capacity(F.col(size), max_tokens, max_sentences))
 
     runs = placed.groupBy("_capacity").agg(F.min("pos").alias("begin"), (F.max("pos") + 1).alias("end"))
-    whole = F.floor(F.col("_capacity") / multiple) * multiple
-    step = F.greatest(whole, F.col("_capacity") % multiple).cast("bigint").alias("step")
+    step = whole_batches(F.col("_capacity"), multiple).alias("step")
     one_row = runs.agg(
         F.sort_array(F.collect_list(F.struct("begin", "end", F.col("_capacity").alias("capacity"), step))).alias("runs"),
         F.max("end").alias("n"),

@@ -37,6 +37,24 @@ def greedy_loop(sizes, max_tokens, max_sentences, multiple):
     return {key: number for number, members in enumerate(batches) for key, _ in members}
 
 
+@pytest.mark.parametrize("max_tokens, max_sentences, multiple", [(600, None, 1), (600, None, 8), (600, 11, 4), (None, 10, 8), (100, 3, 8)])
+def test_buckets_hold_multiples(many_blocks, max_tokens, max_sentences, multiple):
+    draw = random.Random(multiple)
+    sizes = [(i, draw.randrange(1, 90)) for i in range(300)]
+    df = many_blocks.createDataFrame(sizes, "ind bigint, size bigint")
+    out = batch_by_bucket(df, "ind", "size", max_tokens, max_sentences, width=16, multiple=multiple).collect()
+    want, number = {}, 0
+    last = 99 if max_tokens is None else max_tokens // 16 + 1
+    for bucket in range(1, 100):
+        members = sorted(((s, i) for i, s in sizes if min(-(-s // 16), last) == bucket), reverse=True)
+        most = min(max_sentences or 300, max(max_tokens // (bucket * 16), 1) if max_tokens else 300)
+        step = max(most // multiple * multiple, most % multiple)
+        for lo in range(0, len(members), step):
+            want.update({i: number for _, i in members[lo : lo + step]})
+            number += 1
+    assert {r["ind"]: r["batch_id"] for r in out} == want
+
+
 @pytest.mark.parametrize(
     "n, top, max_tokens, max_sentences, multiple",
     [
