@@ -15,9 +15,9 @@ among those before it. What the contexts named in vain is left out of the whole.
 sum to one and tokens are spelled prefix-free, so scores are
 log probabilities of texts; per byte they are bits per byte.
 
-Counts and statistics cover all training texts. Frequent words, picked from a
-sample but counted everywhere, are a table of bounded size; every other word is
-counted and scored once, where all its occurrences meet.
+Counts and statistics cover all training texts. Words are counted first, each where
+all its counts meet; those with the highest counts are a table of bounded size, that every
+task holds. Every other word is scored once and meets its occurrences in a join.
 """
 
 from __future__ import annotations
@@ -30,13 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phonolake.llm.running_contexts import OTHER, Running, Slots, learn_running, run_of
-from phonolake.llm.text import PRIME, chunks, cut_words, hash_spans, inverse, keyed, lower_ascii, mix, powers, public_id
+from phonolake.llm.text import PRIME, SPACE, Words, chunks, cut_words, hash_spans, keyed, lower_ascii, mix, public_id
 from phonolake.llm.toxicity import held_out
 from phonolake.session import materialise
 
-#: Frequent words held by every task, and the texts they are picked from.
+#: Frequent words held by every task, at most.
 FREQUENT = 1 << 18
-SAMPLE_TEXTS = 6000
+#: Bytes of text, and rows, whose words are counted at once.
+COUNT_BYTES, COUNT_ROWS = 1 << 22, 1 << 20
+#: Bytes of text whose tokens are learned from, or scored, at once.
+SCORE_BYTES = 1 << 19
 #: Slots of each context's table, as a power of two.
 SLOT_BITS = 18
 #: Bytes before, of each context.
@@ -223,7 +226,7 @@ def assemble(counts: np.ndarray, learned: list) -> Model:
 def lowered_words(data: np.ndarray, offsets: np.ndarray):
     data = lower_ascii(data)
     words = cut_words(data, offsets)
-    return data.tobytes(), words, hash_spans(data, words.starts, words.ends)
+    return data, words, hash_spans(data, words.starts, words.ends)
 
 
 def own_weight(t: np.ndarray) -> np.ndarray:
@@ -244,33 +247,22 @@ def own_past(row: np.ndarray, key: np.ndarray, first: np.ndarray) -> tuple[np.nd
     return order, again, np.where(again > 0, w / (1 - w) * again / np.maximum(t, 1), 0.0)
 
 
-def frequent_words(texts: DataFrame) -> np.ndarray:
-    """Sorted hashes of words that are frequent in a bounded, repeatable sample of the texts."""
-    few = texts.select("doc", "tag").orderBy(F.xxhash64("doc", "tag"), "doc", "tag").limit(SAMPLE_TEXTS).distinct()
+def heads_of(table: np.ndarray) -> np.ndarray:
+    """For ``find``: where in the sorted table the hashes of every first few bits begin."""
+    bits = len(table).bit_length()
+    return np.searchsorted(table, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.int64)
 
-    def task(batches):
-        for batch in batches:
-            for _, data, offsets in chunks(batch.column(0)):
-                key, n = np.unique(lowered_words(data, offsets)[2], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
-
-    rows = texts.join(F.broadcast(few), ["doc", "tag"]).select("text").mapInArrow(task, "key long, n long")
-    top = rows.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
-    return np.sort(top.column("key").to_numpy().view(np.uint64))
 
-
-def find(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def find(table: np.ndarray, key: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place in the sorted table, whether the key is there).
 
     Keys are hashes, so their first bits tell the place but for a few steps.
     """
     if not len(table):
         return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
-    shift = np.uint64(64 - len(table).bit_length())
-    heads = np.searchsorted(table, np.arange(1 << len(table).bit_length(), dtype=np.uint64) << shift)
-    at = np.minimum(heads.take((key >> shift).astype(np.int64)), len(table) - 1)
-    known = table.take(at) == key
-    left = np.flatnonzero(table.take(at) < key)
+    at = np.minimum(heads.take((key >> np.uint64(64 - len(table).bit_length())).astype(np.int64)), len(table) - 1)
+    met = table.take(at)
+    known, left = met == key, np.flatnonzero(met < key)
     while len(left):
         at[left] = np.minimum(at[left] + 1, len(table) - 1)
         here = table.take(at[left])
@@ -279,48 +271,52 @@ def find(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, known
 
 
-def occurrences(texts: DataFrame, frequent) -> DataFrame:
-    """``word, doc, tag, tf, train``: rare words by text, frequent ones by task (doc null), training occurrences in ``train``."""
+def spellings(body: np.ndarray, words: Words) -> pa.Array:
+    """The words, in order, as one column."""
+    ends = np.append(0, np.cumsum(words.ends - words.starts))
+    solid = body[~SPACE[body]].tobytes()
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(ends), pa.py_buffer(solid)])
+
+
+def count_words(texts: DataFrame) -> DataFrame:
+    """``word, c``: occurrences in training texts of every word of the texts and of the end, counted in all of them."""
 
     def task(batches):
-        table = frequent.value
-        own, text = np.zeros(len(table), np.int64), [None] * len(table)
-        ends = 0
+        parts, rows, ends = [], 0, 0
         for batch in batches:
-            learn = batch.column(3).to_numpy(zero_copy_only=False)
+            learn = batch.column(1).to_numpy(zero_copy_only=False)
             ends += int(learn.sum())
-            for base, data, offsets in chunks(batch.column(2)):
-                body, words, key = lowered_words(data, offsets)
-                row = words.rows()
-                at, known = find(table, key)
-                own += np.bincount(at[known], learn[base + row[known]], len(table)).astype(np.int64)
-                some, one = np.unique(at[known], return_index=True)
-                for k, w in zip(some.tolist(), np.flatnonzero(known)[one].tolist()):
-                    if text[k] is None:
-                        text[k] = body[words.starts[w] : words.ends[w]]
-                order, again, odds = own_past(row, key, words.first)
-                rare = ~known[order]
-                order, again, odds = order[rare], again[rare], odds[rare]
-                fresh = np.flatnonzero(again == 0)
-                tf, first = np.diff(np.append(fresh, len(order))), order[fresh]
-                spelled = [body[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist())]
-                where = pa.array(row[first] + base)
-                repeats = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(tf - 1)), pa.int32()), pa.array(odds[again > 0]))
-                train = tf * learn[base + row[first]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(spelled, pa.binary()), batch.column(0).take(where), batch.column(1).take(where), pa.array(tf), pa.array(train), repeats], NAMES
-                )
-        seen = [k for k, w in enumerate(text) if w is not None]
-        spelled = [text[k] for k in seen] + [END]
-        nothing = [pa.nulls(len(spelled), k) for k in (pa.int64(), pa.int32())]
-        train = pa.array([*own[seen].tolist(), ends], pa.int64())
-        zero, none = pa.array(np.zeros(len(spelled), np.int64)), pa.array([[]] * len(spelled), pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([pa.array(spelled, pa.binary()), *nothing, zero, train, none], NAMES)
-
-    return texts.mapInArrow(task, "word binary, doc long, tag int, tf long, train long, odds array<double>")
-
-
-NAMES = ["word", "doc", "tag", "tf", "train", "odds"]
+            for base, data, offsets in chunks(batch.column(0), COUNT_BYTES):
+                body = lower_ascii(data)
+                words = cut_words(body, offsets)
+                met = spellings(body, words).dictionary_encode()
+                n = np.bincount(met.indices.to_numpy(), learn[base + words.rows()], len(met.dictionary)).astype(np.int64)
+                parts.append(pa.table([met.dictionary, pa.array(n)], ["word", "n"]))
+                rows += len(n)
+                if rows > COUNT_ROWS:
+                    parts = [added(parts)]
+                    rows = len(parts[0])
+                    if rows > COUNT_ROWS // 2:
+                        yield from out(parts[0])
+                        parts, rows = [], 0
+        parts.append(pa.table([pa.array([END], pa.large_binary()), pa.array([ends], pa.int64())], ["word", "n"]))
+        yield from out(added(parts))
+
+    def added(parts):
+        return pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+    def out(table):
+        return table.cast(pa.schema([("word", pa.binary()), ("n", pa.int64())])).to_batches(1 << 16)
+
+    rows = texts.select("text", "learn").mapInArrow(task, "word binary, n long")
+    return rows.groupBy("word").agg(F.sum("n").alias("c"))
+
+
+def least_count(kinds: np.ndarray, counts: np.ndarray, most: int) -> int:
+    """The least count above which there are at most ``most`` words, where ``kinds`` words have each of the distinct ``counts``."""
+    order = np.argsort(-counts)
+    over = np.flatnonzero(np.cumsum(kinds[order]) > most)
+    return int(counts[order][over[0]]) if len(over) else 0
 
 
 def bit_counts(lexicon: DataFrame) -> np.ndarray:
@@ -383,6 +379,11 @@ class Counts:
     once: int
     twice: int
 
+    @staticmethod
+    def of(counts: np.ndarray, kinds: np.ndarray) -> Counts:
+        """From the distinct counts and how many tokens have each."""
+        return Counts(int(counts @ kinds), int(kinds.sum()), int(kinds[counts == 1].sum()), int(kinds[counts == 2].sum()))
+
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 1) / (self.total + self.kinds + 1))
 
@@ -396,42 +397,56 @@ class Counts:
         return np.where(c > 0, known, np.log10(share) + spelled)
 
 
-def frequent_scores(texts: DataFrame, shared, end: np.ndarray) -> DataFrame:
+def text_scores(texts: DataFrame, shared, end: np.ndarray) -> DataFrame:
     """Per text: tokens, and the sums over its frequent words and its end, with the bits that the words before all its tokens predict.
 
-    ``shared`` has the sorted hashes of those words, what an occurrence of each adds to known, base and score, and
-    the arrays of ``Running``.
+    Rows with a ``word`` are the text's other words: how often each is there (``tf``), and the odds that the text's past
+    gives to all but the first (``odds``). ``shared`` has the sorted hashes of the frequent words, what an occurrence of
+    each adds to known, base and score, and the arrays of ``Running``.
     """
 
     def task(batches):
         table, gain, cells, *learned = shared.value
-        running = Running(Slots(cells), *learned)
+        running, heads = Running(Slots(cells), *learned), heads_of(table)
         for batch in batches:
-            for base, data, offsets in chunks(batch.column(2)):
-                _, words, key = lowered_words(data, offsets)
+            for base, data, offsets in chunks(batch.column(2), SCORE_BYTES):
+                body, words, key = lowered_words(data, offsets)
                 row, n = words.rows(), len(offsets) - 1
-                order, _, odds = own_past(row, key, words.first)
-                at, known = find(table, key)
+                order, again, odds = own_past(row, key, words.first)
+                at, known = find(table, key, heads)
                 token, keys, place = run_of(words, key, np.where(known, at, OTHER), len(table))
                 cost, hit, vain = running.code(token, keys)
                 size = np.diff(words.first) + 1
                 own = own_weight((np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)).astype(float))
                 cost += np.where(hit, 0.0, np.log10(1 - own) - np.log10(1 - np.minimum((1 - own) * vain, 0.999)))
                 ends = hit[np.cumsum(size) - 1]
-                hit, at, known = hit[place][order], at[order], known[order]
-                worth = gain[:, at[known]] if len(table) else np.zeros((3, 0))
-                worth[2] = np.where(hit[known], 0.0, np.log10(10.0 ** worth[2] + odds[known]))
-                sums = [np.bincount(row[order][known], w, n) + e for w, e in zip(worth, end)]
+                sums = [np.zeros(n) + e for e in end]
                 sums[2] += np.bincount(np.repeat(np.arange(n), size), cost, n) - np.where(ends, end[2], 0.0)
-                columns = [c.slice(base, n) for c in (*batch.columns[:2], batch.column(3))]
-                columns += [pa.array(np.diff(words.first) + 1), *[pa.array(x) for x in sums]]
-                yield pa.RecordBatch.from_arrays(columns, ["doc", "tag", "learn", "n_tokens", *SUMS])
+                here, part = known[order], order[known[order]]
+                if len(part):
+                    worth = gain.take(at[part], axis=1)
+                    worth[2] = np.where(hit[place[part]], 0.0, np.log10(10.0 ** worth[2] + odds[here]))
+                    sums = [x + np.bincount(row[part], w, n) for x, w in zip(sums, worth)]
+                columns = [*[c.slice(base, n) for c in (*batch.columns[:2], batch.column(3))], pa.array(size)]
+                columns += [*[pa.array(x) for x in sums], *[pa.nulls(n, t) for t in KINDS[-3:]]]
+                yield pa.RecordBatch.from_arrays(columns, NAMES)
+                here = ~here
+                order, again, odds = order[here], again[here], odds[here]
+                fresh = np.flatnonzero(again == 0)
+                tf, first = np.diff(np.append(fresh, len(order))), order[fresh]
+                word = spellings(body, words).take(pa.array(first)).cast(pa.binary())
+                where = pa.array(row[first] + base)
+                repeats = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(tf - 1)), pa.int32()), pa.array(odds[again > 0]))
+                columns = [batch.column(0).take(where), batch.column(1).take(where), *[pa.nulls(len(tf), t) for t in KINDS[2:-3]]]
+                yield pa.RecordBatch.from_arrays([*columns, word, pa.array(tf), repeats], NAMES)
 
     kinds = ", ".join(f"{c} double" for c in SUMS)
-    return texts.mapInArrow(task, f"doc long, tag int, learn boolean, n_tokens long, {kinds}")
+    return texts.mapInArrow(task, f"doc long, tag int, learn boolean, n_tokens long, {kinds}, word binary, tf long, odds array<double>")
 
 
 SUMS = ["known", "base", "score"]
+NAMES = ["doc", "tag", "learn", "n_tokens", *SUMS, "word", "tf", "odds"]
+KINDS = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), *[pa.float64()] * 3, pa.binary(), pa.int64(), pa.list_(pa.float64())]
 
 
 def runs_of(shared):
@@ -439,9 +454,10 @@ def runs_of(shared):
 
     def runs(column):
         table = shared.value
-        for _, data, offsets in chunks(column):
+        heads = heads_of(table)
+        for _, data, offsets in chunks(column, SCORE_BYTES):
             _, words, key = lowered_words(data, offsets)
-            at, known = find(table, key)
+            at, known = find(table, key, heads)
             yield run_of(words, key, np.where(known, at, OTHER), len(table))[:2]
 
     return runs
@@ -463,7 +479,7 @@ def score_words(lexicon: DataFrame, model: Model, seen: Counts) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], ["word", "c", "common", "base", "score"])
 
     schema = "word binary, c long, common boolean, base double, score double"
-    return materialise(lexicon.select("word", "c", "common").mapInArrow(task, schema), "word-scores")
+    return materialise(lexicon.mapInArrow(task, schema), "word-scores")
 
 
 def rare_scores(rare: DataFrame, words: DataFrame) -> DataFrame:
@@ -487,17 +503,15 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
     with even bits. Other columns are not read.
     """
     spark = docs.sparkSession
-    texts = keyed(docs, doc_id, text)
-    frequent = frequent_words(texts)
-    texts = texts.withColumn("learn", ~held_out(public_id(), folds, fold))
-    met = materialise(occurrences(texts, spark.sparkContext.broadcast(frequent)), "occurrences")
-    lexicon = met.groupBy("word").agg(F.sum("train").alias("c"), F.bool_or(F.col("doc").isNull()).alias("common"))
-    lexicon = materialise(lexicon, "lexicon")
+    texts = keyed(docs, doc_id, text).withColumn("learn", ~held_out(public_id(), folds, fold))
+    lexicon = materialise(count_words(texts), "lexicon")
     learnt = lexicon.filter("c > 0")
-    one, two = F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)
-    seen = Counts(*learnt.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), one, two).first())
+    every = learnt.groupBy("c").agg(F.count("*").alias("kinds")).toArrow()
+    seen = Counts.of(every.column("c").to_numpy(), every.column("kinds").to_numpy())
+    least = least_count(every.column("kinds").to_numpy(), every.column("c").to_numpy(), FREQUENT)
+    common = ((F.col("c") > least) | (F.col("word") == F.lit(END))).alias("common")
     counts = bit_counts(learnt)
-    scored = score_words(lexicon, assemble(counts, learn_everywhere(learnt, counts)), seen)
+    scored = score_words(lexicon.select("word", "c", common), assemble(counts, learn_everywhere(learnt, counts)), seen)
     few = scored.filter("common").select("word", "c", "base", "score").toArrow()
     words, c = few.column("word").to_pylist(), few.column("c").to_numpy().astype(float)
     worth = np.stack([(c > 0).astype(float), few.column("base").to_numpy(), few.column("score").to_numpy()])
@@ -507,9 +521,9 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
     alone = stretch(np.clip(10.0 ** np.append(table[1][2], end[2]), 1e-12, 1 - 1e-12))
     model = learn_running(texts.filter("learn"), runs_of(spark.sparkContext.broadcast(table[0])), alone, seen.total)
     parts = (model.slots.cells, model.weights, model.curve, alone)
-    known = frequent_scores(texts, spark.sparkContext.broadcast((*table, *parts)), end)
-    rare = rare_scores(met.filter("doc IS NOT NULL").select("word", "doc", "tag", "tf", "odds"), scored)
-    known = materialise(known, "frequent")
+    met = materialise(text_scores(texts, spark.sparkContext.broadcast((*table, *parts)), end), "texts")
+    known = met.filter("word IS NULL").select("doc", "tag", "learn", "n_tokens", *SUMS)
+    rare = rare_scores(met.filter("word IS NOT NULL").select("word", "doc", "tag", "tf", "odds"), scored)
     same = known.groupBy("doc", "tag").agg(F.count("*").alias("rows"))
     rare = materialise(rare.join(same, ["doc", "tag"]), "rare")
     out = known.join(rare, ["doc", "tag"], "left")

@@ -13,6 +13,7 @@ import pytest
 
 from phonolake.llm import context_mixing
 from phonolake.llm.context_mixing import END, Counts, assemble, count_bits, context_keys, learn_online, score_texts, spell
+from phonolake.llm.running_contexts import OTHER
 from phonolake.llm.text import public_id
 
 
@@ -48,6 +49,29 @@ def test_counts_and_base(spark, monkeypatch, frequent):
     assert sum(r.score for r in held) > 1.1 * sum(r.base_score for r in held) and all(r.score < 0 for r in got)
 
 
+def test_frequent_words_are_counted_in_every_text(spark, monkeypatch):
+    monkeypatch.setattr(context_mixing, "SAMPLE_TEXTS", 5, raising=False)
+    monkeypatch.setattr(context_mixing, "FREQUENT", 20)
+    learnt, made = context_mixing.learn_running, []
+    monkeypatch.setattr(context_mixing, "learn_running", lambda texts, runs, *a: made.append(runs) or learnt(texts, runs, *a))
+    rows = [r for r in rows_of() if r[0] is not None and r[0] < 300]
+    score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    every = [(d, [w for w in plain_tokens(t) if w]) for d, t in rows]
+    c = Counter(w for d, ws in every if zlib.crc32(str(d).encode()) % 7 != 2 for w in [*ws, None])
+    least = min(f for f in [0, *c.values()] if sum(n > f for n in c.values()) <= 20)
+    named = {w for _, ws in every for w in ws if next(made[0](pa.array([w])))[0][0] != OTHER}
+    assert named == {w for w, n in c.items() if n > least and w} and 5 < len(named) < 20
+
+
+def test_words_are_counted_whole(spark):
+    rows = [("Ab ab  été", True), (None, True), ("", False), ("ab zz", False), ("x" * 5000 + " \u00a0y", True)] * 3
+    df = spark.createDataFrame(rows, "text string, learn boolean").repartition(2)
+    got = {bytes(r.word).decode(): r.c for r in context_mixing.count_words(df).collect()}
+    assert got == {"ab": 6, "été": 3, "zz": 0, "x" * 5000: 3, "\u00a0y": 3, "\n": 9}
+    least = lambda most: context_mixing.least_count(np.array([3, 1, 2]), np.array([1, 9, 4]), most)
+    assert [least(m) for m in (0, 1, 2, 3, 5, 6)] == [9, 4, 4, 1, 1, 0]
+
+
 def test_tokens_are_a_distribution():
     words = [b"ab", b"abc", b"b", END]
     counts = count_bits(words)
