@@ -38,8 +38,8 @@ from phonolake.session import materialise
 FREQUENT = 1 << 18
 #: Bytes of text, and rows, whose words are counted at once.
 COUNT_BYTES, COUNT_ROWS = 1 << 22, 1 << 20
-#: Bytes of text whose tokens are learned from, or scored, at once.
-SCORE_BYTES = 1 << 19
+#: Bytes of text scored at once.
+SCORE_BYTES = 1 << 18
 #: Slots of each context's table, as a power of two.
 SLOT_BITS = 18
 #: Bytes before, of each context.
@@ -50,6 +50,8 @@ START = 0.3
 GATES = 16
 CURVE = 33
 STEP_BYTES = 1 << 14
+#: First bytes of a token that are compared with the token before, and words that a task spells at once.
+SHARED, SPELL = 32, 1 << 17
 END = b"\n"
 #: Weight of a text's own past: grows to MOST with the tokens seen, half of it at HALF.
 MOST, HALF = 0.25, 60.0
@@ -81,7 +83,16 @@ def context_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def slots(data: np.ndarray, keys: np.ndarray, bit: int) -> np.ndarray:
     """Table slots of the contexts for one bit of every byte (0 is the highest)."""
     node = (np.uint64(1) << np.uint64(bit)) | (data.astype(np.uint64) >> np.uint64(8 - bit))
-    return (mix(keys + node * PRIME) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    return top_bits(keys + node * PRIME).view(np.int64)
+
+
+def top_bits(x: np.ndarray) -> np.ndarray:
+    """The first SLOT_BITS bits of ``mix(x)``, in place."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x >>= np.uint64(64 - SLOT_BITS)
+    return x
 
 
 def bit_of(data: np.ndarray, bit: int) -> np.ndarray:
@@ -100,16 +111,42 @@ def pieces(words: list[bytes], limit: int = STEP_BYTES):
         yield lo, len(words)
 
 
+def branches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of the bytes to look at, the place among them of each byte's own).
+
+    A byte of a token that is the same as in the token before, up to and with that byte, has the same contexts there;
+    tokens in order share most. Only the first SHARED bytes are compared.
+    """
+    size, count = np.diff(offsets), np.arange(len(offsets) - 1)
+    own, same = np.arange(len(data)), count > 0
+    for k in range(SHARED):
+        longer = size > k
+        byte = data.take(np.where(longer, offsets[:-1] + k, 0))
+        same[1:] &= longer[1:] & longer[:-1] & (byte[1:] == byte[:-1])
+        here = np.flatnonzero(same)
+        if not len(here):
+            break
+        first = np.maximum.accumulate(np.where(same, 0, count))
+        own[offsets[here] + k] = offsets[first[here]] + k
+    fresh = own == np.arange(len(own))
+    return np.flatnonzero(fresh), (np.cumsum(fresh) - 1)[own]
+
+
 def count_bits(words: list[bytes]) -> np.ndarray:
     """Counts of (context, slot, bit value) over distinct words."""
     table = np.zeros((CONTEXTS, 1 << SLOT_BITS, 2))
+    words = sorted(words)
     for lo, hi in pieces(words, 1 << 18):
         data, offsets = spell(words[lo:hi])
-        keys = context_keys(data, offsets)
-        for bit in range(8):
-            value, where = bit_of(data, bit), slots(data, keys, bit)
-            for k in range(CONTEXTS):
-                table[k] += np.bincount(2 * where[k] + value, minlength=2 << SLOT_BITS).reshape(-1, 2)
+        look, own = branches(data, offsets)
+        keys, data = context_keys(data, offsets)[:, look], data[look]
+        times, code = np.bincount(own).astype(float), np.empty((CONTEXTS, 8, len(look)), np.int64)
+        for at in range(0, len(look), STEP_BYTES):
+            part = slice(at, at + STEP_BYTES)
+            for bit in range(8):
+                code[:, bit, part] = 2 * slots(data[part], keys[:, part], bit) + bit_of(data[part], bit)
+        for k in range(CONTEXTS):
+            table[k] += np.bincount(code[k].reshape(-1), np.tile(times, 8), 2 << SLOT_BITS).reshape(-1, 2)
     return table
 
 
@@ -121,6 +158,14 @@ def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
 
 
+def dots(inputs, weights: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Sums over the inputs, each weighted by its column of ``weights`` in the position's row."""
+    total = 0
+    for x, column in zip(inputs, weights.T):
+        total = total + np.ascontiguousarray(column).take(row) * x
+    return total
+
+
 @dataclass
 class Mixer:
     """``weights``: one row per gate and bit; ``curve``: refined stretch at CURVE points per gate."""
@@ -154,7 +199,7 @@ def learn_online(counts: np.ndarray, words: list[bytes], rate: float = 0.3):
     mixer = Mixer.start()
     weights = mixer.weights.reshape(GATES, 8, CONTEXTS + 1).astype(np.float32)
     seen = np.zeros((2, GATES, CURVE))
-    every = np.arange(GATES)[:, None]
+    pairs = [np.ascontiguousarray(x, np.float32).reshape(-1, 2).view(np.float64)[:, 0] for x in counts]
     for lo, hi in pieces(words):
         data, offsets = spell(words[lo:hi])
         keys = context_keys(data, offsets)
@@ -164,19 +209,18 @@ def learn_online(counts: np.ndarray, words: list[bytes], rate: float = 0.3):
             one = value.astype(np.float32)
             total = []
             for k in range(CONTEXTS):
-                n = counts[k].take(where[k], axis=0)
-                ones, zeros = np.maximum(n[:, 1] - one, 0), np.maximum(n[:, 0] - (1 - one), 0)
+                n = pairs[k].take(where[k]).view(np.float32)
+                ones, zeros = np.maximum(n[1::2] - one, 0), np.maximum(n[::2] - (1 - one), 0)
                 np.log((ones + START) / (zeros + START), out=inputs[k])
                 total.append(ones + zeros)
             gate = gates(total[-1], total[-2])
-            member = gate == every
-            dot = np.einsum("kn,nk->n", inputs, weights[:, bit].take(gate, axis=0))
+            dot = dots(inputs, weights[:, bit], gate)
             p = squash(dot)
             place, part = curve_place(dot)
             code = (value.astype(np.int64) * GATES + gate) * CURVE + place
             seen += (np.bincount(code, 1 - part, seen.size) + np.bincount(code + 1, part, seen.size)).reshape(seen.shape)
-            step = (member * (one - p)).astype(np.float32) @ inputs.T
-            weights[:, bit] += rate * step / (member.sum(axis=1, dtype=np.float32)[:, None] + 20)
+            step = np.stack([np.bincount(gate, x, GATES) for x in inputs * (one - p)], axis=1)
+            weights[:, bit] += rate * step / (np.bincount(gate, minlength=GATES)[:, None] + 20)
     return weights.reshape(GATES * 8, CONTEXTS + 1).astype(float), seen, float(len(words))
 
 
@@ -190,24 +234,32 @@ class Model:
 
     def log10(self, words: list[bytes]) -> np.ndarray:
         """Log10 probability of each token."""
-        out = np.zeros(len(words))
-        for lo, hi in pieces(words, 1 << 16):
+        out, order = np.zeros(len(words)), sorted(range(len(words)), key=words.__getitem__)
+        words = [words[i] for i in order]
+        for lo, hi in pieces(words, 1 << 18):
             data, offsets = spell(words[lo:hi])
-            keys, total = context_keys(data, offsets), np.zeros(len(data))
-            for bit in range(8):
-                value, where = bit_of(data, bit), slots(data, keys, bit)
-                gate = self.level[-1][where[-1]].astype(np.int64) * 4 + self.level[-2][where[-2]]
-                weights = self.mixer.weights[gate * 8 + bit]
-                dot = weights[:, CONTEXTS] * 0.3
-                for k in range(CONTEXTS):
-                    dot += weights[:, k] * self.guess[k][where[k]]
-                place, part = curve_place(dot)
-                refined = self.mixer.curve[gate, place] * (1 - part) + self.mixer.curve[gate, place + 1] * part
-                p = (squash(dot) + squash(refined)) / 2
-                total += np.log10(np.where(value == 1, p, 1 - p))
-            out[lo:hi] = np.add.reduceat(total, offsets[:-1])
+            look, own = branches(data, offsets)
+            keys, data, total = context_keys(data, offsets)[:, look], data[look], np.ones(len(look))
+            for at in range(0, len(look), STEP_BYTES):
+                part = slice(at, at + STEP_BYTES)
+                self.spelled(data[part], keys[:, part], total[part])
+            out[order[lo:hi]] = np.add.reduceat(np.log10(total)[own], offsets[:-1])
         return out
 
+    def spelled(self, data: np.ndarray, keys: np.ndarray, total: np.ndarray) -> None:
+        """Multiply ``total`` by the probability of each byte in its contexts."""
+        curve = self.mixer.curve.reshape(-1)
+        for bit in range(8):
+            value, where = bit_of(data, bit), slots(data, keys, bit)
+            gate = self.level[-1].take(where[-1]).astype(np.int64) * 4 + self.level[-2].take(where[-2])
+            inputs = [*[self.guess[k].take(where[k]) for k in range(CONTEXTS)], 0.3]
+            dot = dots(inputs, self.mixer.weights, gate * 8 + bit)
+            place, part = curve_place(dot)
+            place += gate * CURVE
+            refined = curve.take(place) * (1 - part) + curve.take(place + 1) * part
+            p = (squash(dot) + squash(refined)) / 2
+            total *= np.where(value == 1, p, 1 - p)
+
 
 def assemble(counts: np.ndarray, learned: list) -> Model:
     """The model from the counts and the online passes of all tasks, weighted by what they saw."""
@@ -238,9 +290,12 @@ def own_past(row: np.ndarray, key: np.ndarray, first: np.ndarray) -> tuple[np.nd
 
     The last is for each word in order: w / (1 - w) times its share of the tokens before, w being the past's weight.
     """
-    order = np.argsort(mix(key + row.astype(np.uint64) * PRIME), kind="stable")
-    fresh = np.append(True, (key[order][1:] != key[order][:-1]) | (row[order][1:] != row[order][:-1]))[: len(order)]
-    count = np.arange(len(order))
+    code = mix(key + row.astype(np.uint64) * PRIME)
+    order, count = np.argsort(code), np.arange(len(code))
+    group = np.cumsum(np.append(False, np.diff(code[order]) != 0)[: len(order)])
+    order = np.sort((group << 32) | order) & 0xFFFFFFFF
+    named, text = key[order], row[order]
+    fresh = np.append(True, (named[1:] != named[:-1]) | (text[1:] != text[:-1]))[: len(order)]
     again = count - np.maximum.accumulate(np.where(fresh, count, 0)) if len(order) else count
     t = (order - first[row[order]]).astype(float)
     w = own_weight(t)
@@ -319,13 +374,26 @@ def least_count(kinds: np.ndarray, counts: np.ndarray, most: int) -> int:
     return int(counts[order][over[0]]) if len(over) else 0
 
 
+def gathered(batches, rows: int = SPELL):
+    """Consecutive batches as tables of so many rows or more, the last of what is left."""
+    parts, size = [], 0
+    for batch in batches:
+        parts.append(batch)
+        size += len(batch)
+        if size >= rows:
+            yield pa.Table.from_batches(parts)
+            parts, size = [], 0
+    if size:
+        yield pa.Table.from_batches(parts)
+
+
 def bit_counts(lexicon: DataFrame) -> np.ndarray:
     """The contexts' tables over all training words: summed per task, then by slot."""
 
     def task(batches):
         total = np.zeros((CONTEXTS, 1 << SLOT_BITS, 2))
-        for batch in batches:
-            total += count_bits(batch.column(0).to_pylist())
+        for table in gathered(batches):
+            total += count_bits(table.column(0).to_pylist())
         flat = total.reshape(-1)
         some = np.flatnonzero(flat)
         for lo in range(0, len(some), 1 << 16):
@@ -343,14 +411,8 @@ def learn_everywhere(lexicon: DataFrame, counts: np.ndarray) -> list:
     shared = lexicon.sparkSession.sparkContext.broadcast(counts.astype(np.float32))
 
     def task(batches):
-        words = []
-        for batch in batches:
-            words += batch.column(0).to_pylist()
-            if len(words) >= 1 << 17:
-                yield learned(words)
-                words = []
-        if words:
-            yield learned(words)
+        for table in gathered(batches):
+            yield learned(table.column(0).to_pylist())
 
     def learned(words):
         order = np.random.default_rng(len(words)).permutation(len(words))
@@ -455,7 +517,7 @@ def runs_of(shared):
     def runs(column):
         table = shared.value
         heads = heads_of(table)
-        for _, data, offsets in chunks(column, SCORE_BYTES):
+        for _, data, offsets in chunks(column):
             _, words, key = lowered_words(data, offsets)
             at, known = find(table, key, heads)
             yield run_of(words, key, np.where(known, at, OTHER), len(table))[:2]
@@ -472,11 +534,11 @@ def score_words(lexicon: DataFrame, model: Model, seen: Counts) -> DataFrame:
     def task(batches):
         guess, level, weights, curve = shared.value
         model, counts = Model(guess, level, Mixer(weights, curve)), Counts(*sums)
-        for batch in batches:
-            c = batch.column(1).to_numpy()
-            score = counts.token(c, model.log10(batch.column(0).to_pylist()))
-            made = [pa.array(counts.base(c)), pa.array(score)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], ["word", "c", "common", "base", "score"])
+        for table in gathered(batches):
+            c = table.column(1).to_numpy()
+            score = counts.token(c, model.log10(table.column(0).to_pylist()))
+            made = table.append_column("base", pa.array(counts.base(c))).append_column("score", pa.array(score))
+            yield from made.to_batches()
 
     schema = "word binary, c long, common boolean, base double, score double"
     return materialise(lexicon.mapInArrow(task, schema), "word-scores")

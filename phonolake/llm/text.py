@@ -102,14 +102,14 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     """A 64-bit content hash of each of the non-empty, ascending, disjoint spans."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    size = ends - starts
-    reach = np.append(starts[1:], ends[-1])
-    at = np.arange(int(ends[-1]) - int(starts[0])) - np.repeat(starts - starts[0], reach - starts)
-    table = powers(int(size.max()))
-    inside = at < np.repeat(size, reach - starts)
-    part = (data[starts[0] : ends[-1]].astype(np.uint64) + np.uint64(1)) * table[np.minimum(at, len(table) - 1)]
-    part[~inside] = 0
-    return mix(np.add.reduceat(part, starts - starts[0]) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    lo, hi = int(starts[0]), int(ends[-1])
+    sums = np.zeros(hi - lo + 1, np.uint64)
+    part = data[lo:hi].astype(np.uint64)
+    part += np.uint64(1)
+    part *= powers(hi - lo)
+    np.cumsum(part, out=sums[1:])
+    whole = (sums.take(ends - lo) - sums.take(starts - lo)) * powers(hi - lo, inverse()).take(starts - lo)
+    return mix(whole + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def first_seen(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -72,6 +72,17 @@ def test_words_are_counted_whole(spark):
     assert [least(m) for m in (0, 1, 2, 3, 5, 6)] == [9, 4, 4, 1, 1, 0]
 
 
+def test_shared_beginnings_are_looked_at_once():
+    words = [b"the", b"then", b"t", b"there", END, b"x" * 50, b"x" * 50 + b"y", "été".encode(), b"the-", b"a"]
+    counts = count_bits(words)
+    assert (counts == sum(count_bits([w]) for w in words)).all()
+    model = assemble(counts, [learn_online(counts, words)])
+    assert np.allclose(model.log10(words), [model.log10([w])[0] for w in words])
+    data, offsets = spell([b"the", b"then", b"a"])
+    look, own = context_mixing.branches(data, offsets)
+    assert look.tolist() == [0, 1, 2, 3, 7, 8, 9, 10] and own.tolist() == [0, 1, 2, 3, 0, 1, 2, 4, 5, 6, 7]
+
+
 def test_tokens_are_a_distribution():
     words = [b"ab", b"abc", b"b", END]
     counts = count_bits(words)
