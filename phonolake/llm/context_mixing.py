@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phonolake.llm.running_contexts import OTHER, Running, Slots, learn_running, run_of
@@ -326,6 +326,15 @@ def find(table: np.ndarray, key: np.ndarray, heads: np.ndarray) -> tuple[np.ndar
     return at, known
 
 
+def common_words(learnt: DataFrame, least: int, left: int) -> Column:
+    """Whether a word's count ``c`` is above the least one; of those that have just that, ``left`` are taken in order of a hash."""
+    mark = F.xxhash64("word")
+    ties = learnt.filter((F.col("c") == least) & (F.col("word") != F.lit(END))).select(mark.alias("mark"))
+    cut = ties.orderBy("mark").limit(left).agg(F.max("mark")).first()[0]
+    more = F.col("c") > least
+    return more if cut is None else more | ((F.col("c") == least) & (mark <= cut))
+
+
 def spellings(body: np.ndarray, words: Words) -> pa.Array:
     """The words, in order, as one column."""
     ends = np.append(0, np.cumsum(words.ends - words.starts))
@@ -571,7 +580,8 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
     every = learnt.groupBy("c").agg(F.count("*").alias("kinds")).toArrow()
     seen = Counts.of(every.column("c").to_numpy(), every.column("kinds").to_numpy())
     least = least_count(every.column("kinds").to_numpy(), every.column("c").to_numpy(), FREQUENT)
-    common = ((F.col("c") > least) | (F.col("word") == F.lit(END))).alias("common")
+    left = FREQUENT - int(every.column("kinds").to_numpy()[every.column("c").to_numpy() > least].sum())
+    common = (common_words(learnt, least, left) | (F.col("word") == F.lit(END))).alias("common")
     counts = bit_counts(learnt)
     scored = score_words(lexicon.select("word", "c", common), assemble(counts, learn_everywhere(learnt, counts)), seen)
     few = scored.filter("common").select("word", "c", "base", "score").toArrow()
