@@ -29,15 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phonolake.llm.running_contexts import OTHER, Running, Slots, learn_running, run_of
-from phonolake.llm.text import PRIME, SPACE, Words, chunks, cut_words, hash_spans, keyed, lower_ascii, mix, public_id
+from phonolake.llm.running_contexts import OTHER, STEP, Running, Slots, learn_running, run_of
+from phonolake.llm.text import PRIME, SPACE, Words, chunks, cut_words, hash_spans, keyed, lower_ascii, mix, public_id, row_ranges
 from phonolake.llm.toxicity import held_out
 from phonolake.session import materialise
 
 #: Frequent words held by every task, at most.
 FREQUENT = 1 << 18
 #: Bytes of text, and rows, whose words are counted at once.
-COUNT_BYTES, COUNT_ROWS = 1 << 22, 1 << 20
+COUNT_BYTES, COUNT_ROWS = 1 << 20, 1 << 20
 #: Bytes of text scored at once.
 SCORE_BYTES = 1 << 18
 #: Slots of each context's table, as a power of two.
@@ -132,21 +132,21 @@ def branches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.flatnonzero(fresh), (np.cumsum(fresh) - 1)[own]
 
 
-def count_bits(words: list[bytes]) -> np.ndarray:
-    """Counts of (context, slot, bit value) over distinct words."""
-    table = np.zeros((CONTEXTS, 1 << SLOT_BITS, 2))
+def count_bits(words: list[bytes], table: np.ndarray | None = None) -> np.ndarray:
+    """Counts of (context, slot, bit value) over distinct words, added to ``table`` in place if there is one."""
+    table = np.zeros((CONTEXTS, 1 << SLOT_BITS, 2)) if table is None else table
     words = sorted(words)
     for lo, hi in pieces(words, 1 << 18):
         data, offsets = spell(words[lo:hi])
         look, own = branches(data, offsets)
         keys, data = context_keys(data, offsets)[:, look], data[look]
-        times, code = np.bincount(own).astype(float), np.empty((CONTEXTS, 8, len(look)), np.int64)
-        for at in range(0, len(look), STEP_BYTES):
-            part = slice(at, at + STEP_BYTES)
-            for bit in range(8):
-                code[:, bit, part] = 2 * slots(data[part], keys[:, part], bit) + bit_of(data[part], bit)
+        times, code = np.tile(np.bincount(own).astype(float), 8), np.empty((8, len(look)), np.int64)
         for k in range(CONTEXTS):
-            table[k] += np.bincount(code[k].reshape(-1), np.tile(times, 8), 2 << SLOT_BITS).reshape(-1, 2)
+            for at in range(0, len(look), STEP_BYTES):
+                part = slice(at, at + STEP_BYTES)
+                for bit in range(8):
+                    code[bit, part] = 2 * slots(data[part], keys[k, part], bit) + bit_of(data[part], bit)
+            table[k] += np.bincount(code.reshape(-1), times, 2 << SLOT_BITS).reshape(-1, 2)
     return table
 
 
@@ -365,6 +365,8 @@ def count_words(texts: DataFrame) -> DataFrame:
                         parts, rows = [], 0
         parts.append(pa.table([pa.array([END], pa.large_binary()), pa.array([ends], pa.int64())], ["word", "n"]))
         yield from out(added(parts))
+        del parts
+        pa.default_memory_pool().release_unused()
 
     def added(parts):
         return pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
@@ -402,7 +404,7 @@ def bit_counts(lexicon: DataFrame) -> np.ndarray:
     def task(batches):
         total = np.zeros((CONTEXTS, 1 << SLOT_BITS, 2))
         for table in gathered(batches):
-            total += count_bits(table.column(0).to_pylist())
+            count_bits(table.column(0).to_pylist(), total)
         flat = total.reshape(-1)
         some = np.flatnonzero(flat)
         for lo in range(0, len(some), 1 << 16):
@@ -521,15 +523,31 @@ KINDS = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), *[pa.float64()] * 3, pa
 
 
 def runs_of(shared):
-    """Numbers and contexts of the tokens of a column of texts, for ``learn_running``."""
+    """Numbers and contexts of the tokens of a column of texts, for ``learn_running``.
+
+    A chunk comes in runs of whole learning steps and a rest, so that only some of its texts are taken apart at a time.
+    """
 
     def runs(column):
         table = shared.value
         heads = heads_of(table)
-        for _, data, offsets in chunks(column):
+
+        def run(data, offsets):
             _, words, key = lowered_words(data, offsets)
             at, known = find(table, key, heads)
-            yield run_of(words, key, np.where(known, at, OTHER), len(table))[:2]
+            return run_of(words, key, np.where(known, at, OTHER), len(table))[:2]
+
+        for _, data, offsets in chunks(column):
+            left = None
+            for _, *part in row_ranges(data, offsets, SCORE_BYTES):
+                new = run(*part)
+                left = new if left is None else [np.concatenate(x, axis=-1) for x in zip(left, new)]
+                whole = len(left[0]) // STEP * STEP
+                if whole:
+                    yield tuple(x[..., :whole] for x in left)
+                    left = [x[..., whole:] for x in left]
+            if len(left[0]):
+                yield tuple(left)
 
     return runs
 

@@ -279,7 +279,8 @@ def learn_running(texts: DataFrame, runs, alone: np.ndarray, tokens: int) -> Run
     def merge(batches):
         now, sums = None, None
         for batch in batches:
-            for block, values in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            for block, values in zip(batch.column(0).to_pylist(), batch.column(2)):
+                values = values.as_buffer()
                 if block != now:
                     if now is not None:
                         yield rows_of([now], 0, [sums])

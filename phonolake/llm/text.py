@@ -26,7 +26,7 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column, nulls as empty."""
     column = column.cast(pa.large_binary())
     if column.null_count:
-        column = pa.array([x or b"" for x in column.to_pylist()], pa.large_binary())
+        column = column.fill_null(b"")
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()
@@ -40,7 +40,11 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np
 
     A longer text is a chunk of its own, so memory follows the longest text only.
     """
-    data, offsets = raw(column)
+    yield from row_ranges(*raw(column), limit)
+
+
+def row_ranges(data: np.ndarray, offsets: np.ndarray, limit: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """As ``chunks``, of rows given by their bytes and offsets."""
     row = 0
     while row < len(offsets) - 1:
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -13,8 +14,8 @@ import pytest
 
 from phonolake.llm import context_mixing
 from phonolake.llm.context_mixing import END, Counts, assemble, count_bits, context_keys, learn_online, score_texts, spell
-from phonolake.llm.running_contexts import OTHER
-from phonolake.llm.text import public_id
+from phonolake.llm.running_contexts import OTHER, STEP, run_of
+from phonolake.llm.text import chunks, public_id
 
 
 def plain_tokens(text):
@@ -188,3 +189,42 @@ def test_certain_bits_stay_finite():
     weights, seen, _ = learn_online(counts, words * 50)
     assert np.isfinite(weights).all() and np.isfinite(seen).all()
     assert np.isfinite(assemble(counts, [(weights, seen, 3.0)]).log10(words)).all()
+
+
+def peak_mb(work):
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_task_takes_little_memory_besides_its_tables():
+    rng = np.random.default_rng(5)
+    words = [b"%x" % n for n in rng.integers(0, 1 << 60, 1 << 16).tolist()]
+    texts = pa.array([b" ".join(words[i] for i in rng.integers(0, 4000, 700)).decode() for _ in range(600)])
+    table = np.sort(np.array([context_mixing.hash_of(w) for w in words[:300]], np.uint64))
+    runs = context_mixing.runs_of(type("Shared", (), {"value": table}))
+    assert texts.nbytes > 5e6
+    assert peak_mb(lambda: [None for _ in runs(texts)]) < 40
+    assert peak_mb(lambda: count_bits(words)) < 110
+
+
+def test_runs_keep_the_steps_of_whole_chunks():
+    rng = np.random.default_rng(6)
+    sizes = [0, 3, *rng.integers(0, 5000, 300).tolist(), 400_000, 1]
+    texts = pa.array([None, *[" ".join(map(str, rng.integers(0, 99, n))) for n in sizes]])
+    table = np.sort(np.array([context_mixing.hash_of(b"%d" % n) for n in range(50)], np.uint64))
+    want = []
+    for _, data, offsets in chunks(texts):
+        _, words, key = context_mixing.lowered_words(data, offsets)
+        at, known = context_mixing.find(table, key, context_mixing.heads_of(table))
+        token, keys, _ = run_of(words, key, np.where(known, at, OTHER), len(table))
+        want += [(token[lo : lo + STEP], keys[:, lo : lo + STEP]) for lo in range(0, len(token), STEP)]
+    got = [
+        (token[lo : lo + STEP], keys[:, lo : lo + STEP])
+        for token, keys in context_mixing.runs_of(type("Shared", (), {"value": table}))(texts)
+        for lo in range(0, len(token), STEP)
+    ]
+    assert len(got) == len(want) and all((a == b).all() and (x == y).all() for (a, x), (b, y) in zip(got, want))
